@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from leafmill.llm import decontaminate, quality, simhash
+from leafmill.llm import chat, decontaminate, pieces, pii, quality, secret_scan, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_chat": chat.op6_chat,
+    "op9_pii": pii.op9_pii,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.OP1_SQL, "op6_chat": chat.OP6_SQL}
