@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import chat, decontaminate, pieces, pii, quality, secret_scan, simhash
+from leafmill.llm import chat, decontaminate, html_extract, licenses, pieces, pii, quality, secret_scan, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_chat": chat.op6_chat,
+    "op7_html_extract": html_extract.op7_html_extract,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_pii": pii.op9_pii,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
