@@ -1,10 +1,84 @@
-"""The corpus pipeline: each stage takes what its predecessor kept and calls one operator of leafmill.llm."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, encoding.
+
+Each stage takes all that its predecessor kept and calls one operator of leafmill.llm; all but the last return the
+columns of documents. Rows with null in any column, empty and repeated ones go through each stage as its operator
+says: the first stage already rejects texts that are null or have under ten words. Rows without a doc_id are never
+duplicates or contaminated, as nothing can be said of them by id.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm.common import checkpointed, table
+from leafmill.llm.decontaminate import decontaminate
+from leafmill.llm.pieces import encode
+from leafmill.llm.pii import sanitised
+from leafmill.llm.quality import fit, quality_rules
+from leafmill.llm.simhash import near_duplicates
+
+
+#: Ids of rows to be dropped that may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these ids. Few ids are broadcast, so texts are not dealt anew."""
+    ids = checkpointed(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the isolation forest keep. Judged row by row, so no text is dealt anew."""
+    return quality_rules(docs, fit(docs, table(spark, sf_dir, "labels")), keep_columns=True).where("kept").select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; of repeated rows of one id, one."""
+    found = checkpointed(near_duplicates(docs).select("doc_id", "component_id"))
+    unique = _without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    repeated = checkpointed(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return unique
+    # Only rows of ids that occur again are sorted out by id.
+    again = unique.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return _without(unique, repeated).unionByName(again)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ten words (or a whole shorter item) of the benchmark."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and what reveals it put as placeholders or removed; n_chars follows the text."""
+    return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces."""
+    made = encode(docs)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "decoded_sha256")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("simhash", near_duplicate),
+    ("decontaminate", contamination),
+    ("pii", personal_data),
+    ("sentencepiece", encoding),
+]
+
+#: None: hashes, forests, co-occurrence and pieces are beyond SQL. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = checkpointed(docs)
+    return docs
