@@ -31,7 +31,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the isolation forest keep. Judged row by row, so no text is dealt anew."""
-    return quality_rules(docs, fit(docs, table(spark, sf_dir, "labels")), keep_columns=True).where("kept").select(*docs.columns)
+    return quality_rules(docs, fit(docs, table(spark, sf_dir, "labels")), keep_columns=True)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
