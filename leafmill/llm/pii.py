@@ -154,10 +154,11 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if pairs.isEmpty():
         revealed = base.sparkSession.createDataFrame([], "id " + base.schema["id"].dataType.simpleString() + ", text_hash long, more array<struct<start:int,rank:int,kind:string,end:int>>, cut array<struct<start:int,end:int,removed:boolean>>")
     else:
-        wanted = held(pairs.select("term").distinct())
         words = source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        term_docs = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_n"))
-        known = pairs.join(held(term_docs), "term").join(held(entity_docs), "entity")
+        # Summed before anything is joined, so the rows that are joined do not grow with the number of terms asked for.
+        # An inner join: a semi-join would be moved below the sums.
+        term_docs = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_n")).join(held(pairs.select("term").distinct()), "term")
+        known = pairs.join(held(term_docs), "term").join(held(entity_docs.join(pairs.select("entity").distinct(), "entity", "left_semi")), "entity")
         p_entity = F.col("entity_n") / F.lit(max(n_docs, 1))
         disclosed = (F.log2(F.least(F.col("together") / F.col("term_n"), F.lit(1.0))) - F.log2(p_entity)) / -F.log2(p_entity)
         telling = held(known.where(p_entity < 1).withColumn("share", disclosed).where(F.col("share") >= DISCLOSED).select("entity", "term", "share"))
@@ -183,13 +184,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text rewritten: entities as [EMAIL], [IP], [CARD], [PHONE], terms as [TERM] or removed. A null text stays null."""
-    found = held(found_spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "spans", "cut").dropDuplicates(["_id", "_hash"]))
-    text = F.col(text_col)
-    kept = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit("")))).join(found, (docs[id_col].eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_hash")), "left")
-    removed = lambda s: F.exists("cut", lambda c: (c["start"] == s["start"]) & (c["end"] == s["end"]) & c["removed"])
+    # The join's own columns have names that documents do not.
+    own = {"id": "__pii_id", "text_hash": "__pii_hash", "spans": "__pii_spans", "cut": "__pii_cut"}
+    found = found_spans(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "text_hash"])
+    found = held(found.select(*[F.col(c).alias(n) for c, n in own.items()]))
+    text, spans = F.col(text_col), F.col("__pii_spans")
+    kept = docs.withColumn("__pii_of", F.xxhash64(F.coalesce(text, F.lit(""))))
+    kept = kept.join(found, kept[id_col].eqNullSafe(found["__pii_id"]) & (F.col("__pii_of") == F.col("__pii_hash")), "left")
+    removed = lambda s: F.exists("__pii_cut", lambda c: (c["start"] == s["start"]) & (c["end"] == s["end"]) & c["removed"])
     shown = lambda s: F.when((s["kind"] == "term") & removed(s), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     zero = F.struct(F.lit(0).alias("until"), F.array().cast("array<string>").alias("parts"))
-    parts = F.aggregate("spans", zero, lambda a, s: F.when(s["start"] < a["until"], F.struct(F.greatest(a["until"], s["end"]).alias("until"), a["parts"].alias("parts"))).otherwise(F.struct(
+    parts = F.aggregate(spans, zero, lambda a, s: F.when(s["start"] < a["until"], F.struct(F.greatest(a["until"], s["end"]).alias("until"), a["parts"].alias("parts"))).otherwise(F.struct(
         s["end"].alias("until"), F.concat(a["parts"], F.array(F.substring(text, a["until"] + 1, s["start"] - a["until"]), shown(s))).alias("parts"))))
     new = F.concat(F.array_join(parts["parts"], ""), F.substring(text, parts["until"] + 1, F.length(text)))
-    return kept.withColumn(text_col, F.when(F.col("spans").isNotNull(), new).otherwise(text)).select(*docs.columns)
+    return kept.withColumn(text_col, F.when(spans.isNotNull(), new).otherwise(text)).select(*docs.columns)
