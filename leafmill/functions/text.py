@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Closing signs that may follow a sentence end, and the spaces inside a line.
 CLOSERS = ")\\]\"'”’»」』"
@@ -20,7 +21,7 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: workers import this module, and have no session
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC. Spark has no function for it, so this one goes through Arrow."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

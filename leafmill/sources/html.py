@@ -198,7 +198,7 @@ def emit(node: Node, out: list[Block], skip: frozenset[int] = frozenset()) -> No
     run: list = []
 
     def flush(told: bool = False) -> None:
-        """told: the run is a paragraph of its own, whose images are part of its text; else they are blocks."""
+        """told: the run is a paragraph of its own, whose images are part of its text too; else they part it."""
         part: list = []
         for n in [*run, None]:
             if n is None or isinstance(n, Node) and n.tag == "img" and not told:
@@ -209,6 +209,10 @@ def emit(node: Node, out: list[Block], skip: frozenset[int] = frozenset()) -> No
                     out.append(Block("image", alt=alt))
             else:
                 part.append(n)
+        for n in run if told else ():
+            for image in find(n, {"img"}) if isinstance(n, Node) else ():
+                if alt := image.attributes.get("alt", "").strip():
+                    out.append(Block("image", alt=alt))
         run.clear()
 
     for c in node.children:

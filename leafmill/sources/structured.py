@@ -182,7 +182,7 @@ def read_yaml(text: str, options: Options) -> Result:
                 i = value_at(frame[1], bare, indent, i)
             break
     if len(text) < SHOWN:
-        out.blocks.append(Block("code", text.removesuffix("\n"), language="yaml"))
+        out.blocks.append(Block("code", text.removeprefix("\ufeff"), language="yaml"))
     return out
 
 
