@@ -46,10 +46,16 @@ def magic(content: Column) -> Column:
     return chain.when((pdf > 0) & (pdf % 2 == 1), found("pdf", "application/pdf", 0.99))
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and no more: parsing alone forgives what follows a value, so a sign is set after it."""
+    framed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"w":1}')))
+    return F.coalesce(F.try_variant_get(framed, "$.w", "int") == 1, F.lit(False))
+
+
 def is_ndjson(text: Column) -> Column:
     """Two non-blank lines at least, each a JSON object or array; the last of more than two may be cut."""
     lines = F.filter(F.split(text, "\r?\n", -1), lambda x: ~x.rlike(r"\A\s*\z"))
-    whole = lambda x: x.rlike(r"\A\s*[\[{]") & F.try_parse_json(x).isNotNull()
+    whole = lambda x: x.rlike(r"\A\s*[\[{]") & is_json(x)
     sure = F.when(F.size(lines) > 2, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     return text.rlike(r"\A\s*[\[{]") & (F.size(lines) >= 2) & F.forall(sure, whole)
 
@@ -71,7 +77,7 @@ def text_kind(text: Column) -> Column:
     delimited = delimited_kinds(s)
     after_doctype = r"<!doctype(?:[^<>\[\"']|\"[^\"]*\"|'[^']*'|\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\])*>\s*(?:<!--(?s:.*?)-->\s*|<\?(?s:.*?)\?>\s*)*"
     return (
-        F.when(s.rlike(r"\A[ \t\n\r\f]*[\[{]") & F.try_parse_json(s).isNotNull(), "json")
+        F.when(s.rlike(r"\A[ \t\n\r\f]*[\[{]") & is_json(s), "json")
         .when(starts("begin:vcalendar"), "ics").when(starts("begin:vcard"), "vcf")
         .when(s.rlike(r"\A\uFEFF?WEBVTT(?:[ \t\r\n]|\z)"), "vtt")
         .when(s.rlike(r"\A\s*[0-9]+[ \t]*\r?\n[0-9]{1,2}:[0-9]{2}:[0-9]{2}[,.][0-9]{1,3}[ \t]*-->"), "srt")

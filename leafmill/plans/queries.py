@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import cells as C
 from leafmill.functions import detect as D
 from leafmill.functions import text as T
+from leafmill.model import Options
 from leafmill.operators import blocks as B
+from leafmill.operators import chunks as K
+from leafmill.operators import render as R
 from leafmill.operators import tables as S
+from leafmill.plans import extract as E
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -266,3 +271,84 @@ def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 3).alias("n")).where("n > 0")
     return rows.select("n", C.letters_marker(F.col("n")).alias("letters"))
+
+
+def extracted(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("content"))
+    return E.extract(pages, options=Options(format="html", **options))
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS heading FROM pages""")
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.blocks_of(extracted(spark, sf_dir)).where("kind = 'heading'").select(F.col("doc_id").alias("page_id"), F.col("text").alias("heading"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_items FROM pages""")
+def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = E.blocks_of(extracted(spark, sf_dir)).where("kind = 'list'")
+    return lists.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(F.size("items")).alias("n_items"))
+
+
+@query()
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.blocks_of(extracted(spark, sf_dir)).select("doc_id", "ord", "parent_ord", "depth", "kind", "level", "text", "start", "end")
+
+
+@query()
+def page_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(spark, sf_dir, main_content=True).select(F.col("doc_id").alias("page_id"), "text")
+
+
+@query()
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.to_markdown(extracted(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), "markdown")
+
+
+@query()
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.to_json(extracted(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), "json")
+
+
+@query()
+def chunk_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.chunk_blocks(B.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "size")
+
+
+@query()
+def chunk_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations: each turn's role is a heading over what was said."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.array(
+        F.struct((2 * F.col("turn")).alias("ord"), F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.col("role").alias("text")),
+        F.struct((2 * F.col("turn") + 1).alias("ord"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.col("text").alias("text")))).alias("b")).select("conv_id", "b.*")
+    return K.with_context(K.chunk_blocks(said, "conv_id", "section", max_size=600), "conv_id")
+
+
+@query("SELECT * FROM (VALUES ('csv', 'csv', CAST(1 AS BIGINT)), ('json', 'json', CAST(2 AS BIGINT)), ('xml', 'xml', CAST(2 AS BIGINT)), ('md', 'markdown', CAST(2 AS BIGINT)), ('srt', 'srt', CAST(1 AS BIGINT)), ('eml', 'eml', CAST(2 AS BIGINT))) AS t(name, format, n_blocks)")
+def extract_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = {
+        "csv": "a,b\n1,2\n", "json": '{"k": 1}', "xml": "<?xml version='1.0'?><r><a>x</a><a>y</a></r>", "md": "# Head\n\n- one\n- two\n", "srt": "1\n00:00:01,000 --> 00:00:02,000\nHello\n",
+        "eml": "From: a@b.example\nTo: c@d.example\nSubject: s\n\nBody\n",
+    }
+    rows = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in files.items()], "name string, content binary")
+    return E.extract(rows, "name").select(F.col("doc_id").alias("name"), "format", F.size("blocks").cast("long").alias("n_blocks"))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'nation' || n_nationkey || '.txt' AS path, n_name AS text FROM nation""")
+def zip_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's name in a ZIP of its own; the child documents of the archives."""
+
+    def packed(frames):
+        import io
+        import zipfile
+
+        for pdf in frames:
+            made = []
+            for n, name in zip(pdf["n_nationkey"], pdf["n_name"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr(f"nation{n}.txt", name)
+                made.append((int(n), out.getvalue()))
+            yield pd.DataFrame(made, columns=["doc_id", "content"])
+
+    files = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(packed, "doc_id long, content binary")
+    return E.extract(files).where("depth = 1").select("doc_id", "path", "text")
