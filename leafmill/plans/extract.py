@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.model import Block, Options, ReadError, Result, document_text, flat, normalised
-from leafmill.sources import archives, delimited, detection, html, images, mail, markdown, office, structured, timed
+from leafmill.sources import archives, delimited, detection, html, images, latex, mail, markdown, office, rtf, structured, timed
 
 CONTRACT = (1, 0)
+#: Bytes of files whose rows a task gathers before it hands them on.
+HELD_BYTES = 8_000_000
 Reader = Callable[[bytes, Options], Result]
 
 
@@ -32,9 +34,9 @@ def read_text(text: str, options: Options) -> Result:
 
 TEXTS = {
     "txt": read_text, "csv": delimited.read, "tsv": delimited.read_tsv, "json": structured.read_json, "ndjson": structured.read_ndjson, "yaml": structured.read_yaml, "xml": structured.read_xml, "html": html.read,
-    "markdown": markdown.read, "srt": timed.read_cues, "vtt": timed.read_cues, "ics": timed.read_ics, "vcf": timed.read_vcf,
+    "markdown": markdown.read, "latex": latex.read, "srt": timed.read_cues, "vtt": timed.read_cues, "ics": timed.read_ics, "vcf": timed.read_vcf,
 }
-BYTES = {"eml": mail.read_eml, "mbox": mail.read_mbox, **dict.fromkeys(("png", "jpeg", "gif", "tiff", "webp", "bmp", "ico"), images.read)}
+BYTES = {"eml": mail.read_eml, "mbox": mail.read_mbox, "rtf": rtf.read, **dict.fromkeys(("png", "jpeg", "gif", "tiff", "webp", "bmp", "ico"), images.read)}
 PACKAGES = {
     "zip": archives.read_zip, "gzip": archives.read_gzip, "tar": archives.read_tar, **dict.fromkeys(("docx", "docm"), office.read_docx), **dict.fromkeys(("xlsx", "xlsm"), office.read_xlsx),
     **dict.fromkeys(("pptx", "pptm"), office.read_pptx), **dict.fromkeys(("odt", "ods", "odp"), office.read_odf), "epub": office.read_epub,
@@ -144,15 +146,26 @@ def extract(files: DataFrame, id_col: str = "doc_id", content_col: str = "conten
     """One row for each document: what it is, its text, and arrays of blocks, children and warnings; error where it failed."""
     from leafmill.model import BLOCKS
 
+    # Files are large: few of them go to a worker at once.
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     kind = files.schema[id_col].dataType.simpleString()
     name = F.col(name_col) if name_col else F.lit("")
     rows = files.select(F.col(id_col).alias("doc_id"), name.alias("name"), F.col(content_col).cast("binary").alias("content"))
     fields = [f.strip().split(" ")[0] for f in "doc_id path depth name size format mime_type confidence encoding metadata features text blocks children warnings error".split()]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        size = 0
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame([x for x in tree(r.doc_id, r.name or "", bytes(r.content or b""), options, registry)], columns=fields)
+                for row in tree(r.doc_id, r.name or "", bytes(r.content or b""), options, registry):
+                    held.append(row)
+                    size += row["size"]
+                    if len(held) >= 256 or size >= HELD_BYTES:
+                        yield pd.DataFrame(held, columns=fields)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=fields)
 
     return rows.mapInPandas(read, DOCUMENTS.format(id=kind, block=BLOCKS.simpleString()))
 

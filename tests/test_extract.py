@@ -65,6 +65,26 @@ def test_markup_readers():
     assert "menu" not in document_text(main.blocks) and main.blocks[0].text == "H"
 
 
+def test_latex_and_rtf():
+    tex = r"""\documentclass{a}\title{A \emph{T}}\author{X \and Y}% c
+\begin{document}\maketitle
+\section*{One}
+Text 5\% and $x^2$~caf\'e\cite{k}---end.
+
+\begin{enumerate}\item a \begin{itemize}\item b\end{itemize}\item c\end{enumerate}
+\begin{table}[h]\begin{tabular}{ll}H & K\\ \hline 1 & \multicolumn{1}{l}{2}\\\end{tabular}\caption{Cap}\end{table}
+\begin{verbatim}
+raw \x
+\end{verbatim}
+\end{document}"""
+    out = read(tex, "x.tex")
+    assert out.metadata == {"title": "A T", "authors": ["X", "Y"]}
+    assert shown(out.blocks) == [("heading", "A T"), ("heading", "One"), ("paragraph", "Text 5% and x^2 café—end."), ("list", "1. a\n  1. b\n2. c"), ("table", "H\tK\n1\t2"), ("paragraph", "Cap"), ("code", "raw \\x")]
+    rtf = rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}{\stylesheet{\s1\outlinelevel1 Heading 2;}}{\info{\title T}}\pard\s1 Head\par\pard caf\'e9 \u9731?{\*\gone x}{\deleted old}{\v hid}\par\trowd\cellx1\cellx2\intbl a\cell b\cell\row\pard last{\footnote note}\par}"
+    out = read(rtf, "x.rtf")
+    assert shown(out.blocks) == [("heading", "Head"), ("paragraph", "café ☃"), ("table", "a\tb"), ("paragraph", "last"), ("note", "note")] and out.metadata == {"title": "T"}
+
+
 def test_mail():
     raw = "From: =?utf-8?q?J=C3=B6?= <a@b.c>\nTo: d@e.f\nDate: Tue, 06 Oct 2026 11:30:00 +0200\nSubject: S\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: multipart/alternative; boundary=r\n\n--r\nContent-Type: text/html\n\n<p>H</p>\n--r\nContent-Type: text/plain\n\nPlain\n\nOn Monday X wrote:\n> old\n--r--\n--q\nContent-Type: text/csv; name=t.csv\nContent-Disposition: attachment; filename=t.csv\n\na,b\n1,2\n--q--\n"
     out = read(raw, "x.eml")
