@@ -26,7 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ SLOTS = 1 << 14
 RATE = 0.15
 #: Tokens of a mini-batch.
 STEP = 8192
-HEAVY_SHARE = 100_000
+HEAVY_SHARE = 200_000
 BLOCKS = 64
 END = b"\n"  # no word holds a line end
 #: Distinct tokens that a worker counts before it hands them on, and tokens that it knows by heart.
@@ -67,6 +67,36 @@ def shape_class(token: bytes) -> int:
     return SINGLE + zlib.crc32(token[-2:]) % (CLASSES - SINGLE)
 
 
+class Words(dict):
+    """Numbers of the tokens that a worker has met, and by number their hash, class and a small hash for features, and
+    the log of their count if it is at hand (else 1)."""
+
+    def __init__(self, single: dict[int, int], heavy: dict[int, int]):
+        super().__init__()
+        self.single, self.rows, self.table = single, [], np.zeros((0, 3), dtype=np.int64)
+        self.heavy, self.more, self.logs = heavy, [], np.zeros(0)
+
+    def __missing__(self, token: bytes) -> int:
+        h = hash_of(token)
+        k = self.single.get(h)
+        self.rows.append((h, shape_class(token) if k is None else k, (h >> 7) & 0x7FFFFFFF))
+        c = self.heavy.get(h)
+        self.more.append(1.0 if c is None else np.log10(c + 0.1))
+        self[token] = n = len(self)
+        return n
+
+    def arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if len(self) > KNOWN:
+            self.clear()
+            self.table, self.logs = self.table[:0], self.logs[:0]
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, dtype=np.int64)])
+            self.logs = np.concatenate([self.logs, self.more])
+            self.rows, self.more = [], []
+        return *self.table.take(at, axis=0).T, self.logs.take(at)
+
+
 @dataclass
 class Model:
     """total, distinct: N and V of the training tokens. single: token hash -> class. heavy: token hash -> count."""
@@ -78,21 +108,6 @@ class Model:
     class_total: np.ndarray
     class_distinct: np.ndarray
     weights: np.ndarray  # SLOTS + 1 rows, the last for the prior
-    known: dict = field(default_factory=dict, repr=False)
-
-    def look(self, token: bytes) -> tuple[int, int, int]:
-        """Hash, class, and a small hash for features."""
-        h = hash_of(token)
-        if len(self.known) >= KNOWN:
-            self.known.clear()
-        self.known[token] = out = (h, self.single.get(h, -1) if h in self.single else shape_class(token), (h >> 7) & 0x7FFFFFFF)
-        return out
-
-    def arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known, look = self.known, self.look
-        found = [known.get(w) or look(w) for w in words]
-        a = np.array(found, dtype=np.int64).reshape(-1, 3)
-        return a[:, 0], a[:, 1], a[:, 2]
 
     def log_z(self) -> np.ndarray:
         """log10 of each class's normaliser."""
@@ -104,32 +119,50 @@ MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=n
 
 def features(small: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Slots of each token's four context features. first: the tokens' distance from their document's start."""
-    before = [np.where(first >= k, np.roll(small, k), k) for k in (1, 2, 3)]
+    small, first = np.ascontiguousarray(small), np.minimum(first, 3).astype(np.int8)
+    before = [np.where(first >= k, np.concatenate([small[-k:], small[:-k]]), k) for k in (1, 2, 3)]
     mixed = [before[0] * MULTIPLIERS[0], (before[0] * 31 + before[1]) * MULTIPLIERS[1], before[1] * MULTIPLIERS[2], before[2] * MULTIPLIERS[3]]
     return np.stack([(m >> 13) & (SLOTS - 1) for m in mixed], axis=1)
 
 
 def log_probabilities(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Natural logs of the class probabilities, a row for each token."""
-    z = weights[slots[:, 0]]
+    z = weights.take(slots[:, 0], axis=0)
     for k in range(1, slots.shape[1]):
-        z += weights[slots[:, k]]
+        z += weights.take(slots[:, k], axis=0)
     z += weights[-1]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.minimum(z, 60, out=z)  # far from where a float overflows, and far beyond what training reaches
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
     return z
 
 
+def grouped_sums(p: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows of p by group: order has the groups' rows one after the other."""
+    out = p.take(order[starts], axis=0)
+    more, r = np.flatnonzero(sizes > 1), 1
+    while len(more) >= 32:  # the next row of each group that has one
+        out[more] += p.take(order[starts[more] + r], axis=0)
+        r += 1
+        more = more[sizes[more] > r]
+    for g in more:
+        out[g] += p.take(order[starts[g] + r : starts[g] + sizes[g]], axis=0).sum(axis=0)
+    return out
+
+
 def descend(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray, rate: float) -> None:
     """One gradient step over a mini-batch; a slot's gradient is divided by the root of its count in it."""
-    p = np.exp(log_probabilities(weights, slots))
+    p = log_probabilities(weights, slots)
+    np.exp(p, out=p)
     p[np.arange(len(p)), classes] -= 1
     for k in range(slots.shape[1]):
-        order = np.argsort(slots[:, k], kind="stable")
-        s = slots[order, k]
+        own = slots[:, k].astype(np.int16)  # sorted by digits, as it is short
+        order = np.argsort(own, kind="stable")
+        s = own[order]
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        sums = np.add.reduceat(p[order], starts, axis=0)
-        weights[s[starts]] -= (rate / np.sqrt(np.diff(np.r_[starts, len(s)]))[:, None]).astype(np.float32) * sums
+        sizes = np.diff(np.r_[starts, len(s)])
+        sums = grouped_sums(p, order, starts, sizes)
+        sums *= (rate / np.sqrt(sizes)).astype(np.float32)[:, None]
+        weights[s[starts]] -= sums
     weights[-1] -= rate / np.sqrt(len(p)) * p.sum(axis=0) * 0.1
 
 
@@ -157,12 +190,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """The task's weights times its tokens, as BLOCKS rows of bytes."""
-    weights, seen = model.weights.copy(), 0
+    weights, seen, known = model.weights.copy(), 0, Words(model.single, {})
     words: list[bytes] = []
     counts: list[int] = []
 
     def step() -> None:
-        _, classes, small = model.arrays(words)
+        _, classes, small, _ = known.arrays(words)
         slots = features(small, placed(counts))
         for k in range(0, len(words), STEP):
             descend(weights, slots[k : k + STEP], classes[k : k + STEP], RATE)
@@ -233,9 +266,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """For each document a row of its own, and a row for each distinct token whose count is not at hand."""
-    log_z, heavy = model.log_z(), model.heavy
-    heavy_h = np.array(sorted(heavy), dtype=np.int64)
-    heavy_log = np.log10(np.array([heavy[h] for h in heavy_h.tolist()]) + 0.1) if heavy else np.zeros(0)
+    log_z, every = model.log_z(), Words(model.single, model.heavy)
+    # A count at hand is a whole number and 0.1, so its log is never 1.
     names = ["id", "text_hash", "h", "n", "n_tokens", "known", "sum_log", "classes"]
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
@@ -245,26 +277,26 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             counts: list[int] = []
             marks: list[int] = []
             end = start
-            while end < len(texts) and len(words) < 8 * STEP:
+            while end < len(texts) and end - start < 4096 and len(words) < 8 * STEP:
                 more = tokens(texts[end])
                 words += more
                 counts.append(len(more))
                 marks.append(hash_of((texts[end] or "").encode("utf-8", "replace")))
                 end += 1
-            h, classes, small = model.arrays(words)
+            h, classes, small, count_logs = every.arrays(words)
             slots = features(small, placed(counts))
             logs = np.concatenate([log_probabilities(model.weights, slots[k : k + STEP])[np.arange(len(slots[k : k + STEP])), classes[k : k + STEP]] for k in range(0, len(words), STEP)])
             per = logs.astype(np.float64) / np.log(10) - log_z[classes]
             doc = np.repeat(np.arange(len(counts)), counts)
-            at = np.minimum(np.searchsorted(heavy_h, h), max(0, len(heavy_h) - 1))
-            is_heavy = heavy_h[at] == h if len(heavy_h) else np.zeros(len(h), dtype=bool)
+            is_heavy = count_logs != 1
             n = len(counts)
             known = np.bincount(doc, is_heavy, n).astype(np.int64)
-            sum_log = np.bincount(doc[is_heavy], heavy_log[at[is_heavy]], n)
+            sum_log = np.bincount(doc, np.where(is_heavy, count_logs, 0), n)
             by_class = np.bincount(doc, per, n)
             # Distinct rare tokens of each document.
             d, r = doc[~is_heavy], h[~is_heavy]
-            order = np.lexsort((r, d))
+            order = np.argsort(r, kind="stable")
+            order = order[np.argsort(d[order].astype(np.int16), kind="stable")]  # by digits: a batch has few documents
             d, r = d[order], r[order]
             new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])]) if len(d) else np.zeros(0, dtype=np.int64)
             times = np.diff(np.r_[new, len(d)])
