@@ -352,3 +352,84 @@ def zip_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(packed, "doc_id long, content binary")
     return E.extract(files).where("depth = 1").select("doc_id", "path", "text")
+
+
+@query("""SELECT conv_id, turn, text || chr(10) || 'Bye' AS text FROM conversations WHERE NOT regexp_matches(text, '(^|\\n)[ \\t]*(>|On |From:|__|--)')""")
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with quoted lines and a forwarded message added, which are cut away again."""
+    turns = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("(^|\\n)[ \\t]*(>|On |From:|__|--)"))
+    mail = F.concat(F.col("text"), F.lit("\n> earlier\nBye\n\nOn Monday, A B <a@b.c> wrote:\n> all of it\nmore"))
+    return turns.select("conv_id", "turn", T.drop_quoted(mail).alias("text"))
+
+
+@query("SELECT p_partkey, 'a/' || p_name || '/c.txt' AS path FROM part WHERE NOT contains(p_name, '/') AND NOT contains(p_name, chr(92))")
+def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").where(~F.col("p_name").rlike(r"[/\\]"))
+    return rows.select("p_partkey", T.clean_path(F.concat(F.lit("C:\\a\\.\\"), F.col("p_name"), F.lit("/..//c.txt"))).alias("path"))
+
+
+ROMAN = "['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1]"
+
+
+@query(f"""SELECT p_partkey, ['', 'm', 'mm', 'mmm'][n // 1000 + 1] || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || {ROMAN} AS marker
+  FROM (SELECT p_partkey, CAST(p_partkey % 3999 + 1 AS INTEGER) AS n FROM part)""")
+def roman_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", C.roman(F.col("p_partkey") % 3999 + 1).alias("marker"))
+
+
+@query("""WITH cells AS (SELECT CAST(n_regionkey AS BIGINT) AS sheet, CAST(n_nationkey AS BIGINT) + 1 AS row, CAST(length(n_name) AS BIGINT) AS col, n_name AS text FROM nation),
+box AS (SELECT sheet, min(row) AS r1, max(row) AS r2, min(col) AS c1, max(col) AS c2 FROM cells GROUP BY sheet),
+grid AS (SELECT sheet, unnest(generate_series(r1, r2)) AS row, c1, c2 FROM box), full_grid AS (SELECT sheet, row, unnest(generate_series(c1, c2)) AS col FROM grid)
+SELECT sheet, CAST(1 AS BIGINT) AS region, row, col, coalesce(text, '') AS text FROM full_grid LEFT JOIN cells USING (sheet, row, col)""")
+def region_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("sheet"), (F.col("n_nationkey").cast("long") + 1).alias("row"), F.length("n_name").cast("long").alias("col"), F.col("n_name").alias("text"))
+    return S.region_rows(cells, S.sheet_regions(cells)).select("sheet", "region", "row", "col", "text")
+
+
+@query("""SELECT CAST(p_size AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS BIGINT) AS row, CAST(unnest([1, 2, 3]) AS BIGINT) AS col, unnest([CAST(p_partkey AS VARCHAR), p_name || ',"' || p_brand || '"', p_type]) AS text FROM part""")
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as one CSV file for each size, read back to cells."""
+    line = S.csv_line([F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(',"'), "p_brand", F.lit('"')), F.col("p_type")])
+    files = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("doc_id")).agg(F.encode(B.ordered(line, F.col("p_partkey"), "\r\n"), "UTF-8").alias("content"))
+    tables = E.blocks_of(E.extract(files, options=Options(format="csv"))).where("kind = 'table'")
+    rows = tables.select("doc_id", "ord", F.posexplode("rows").alias("r", "cells")).select("doc_id", (F.col("ord") * 1000 + F.col("r") + 1).cast("long").alias("row"), F.posexplode("cells").alias("c", "cell"))
+    return rows.select("doc_id", "row", (F.col("c") + 1).cast("long").alias("col"), "cell.text")
+
+
+@query("""SELECT event_id, '$.' || key AS path, '$.' || key || ': ' || json_extract_string(props, '$.' || key) AS text FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
+def json_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.encode("props", "UTF-8").alias("content"))
+    return E.blocks_of(E.extract(files)).where("kind = 'paragraph'").select(F.col("doc_id").alias("event_id"), "path", "text")
+
+
+@query("""SELECT user_id, CAST(count(*) AS BIGINT) AS n_leaves FROM (SELECT user_id, unnest(json_keys(props)) AS key FROM events) GROUP BY user_id""")
+def ndjson_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one NDJSON file for each user, read back to leaves."""
+    files = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.encode(B.ordered(F.col("props"), F.col("event_id"), "\n"), "UTF-8").alias("content"))
+    found = E.blocks_of(E.extract(files, options=Options(format="ndjson"))).where("kind = 'paragraph'")
+    return found.groupBy(F.col("doc_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n_leaves"))
+
+
+@query("""SELECT conv_id, turn, 'message-' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn)) || '.eml' AS path, role || '@mail.example' AS sender FROM conversations""")
+def mailbox_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as mailboxes, a message for each turn; the messages' senders."""
+    message = F.concat(F.lit("From x\nFrom: "), F.col("role"), F.lit("@mail.example\nTo: all@mail.example\nSubject: "), F.col("turn").cast("string"), F.lit("\n\nbody\n\n"))
+    files = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.encode(B.ordered(message, F.col("turn"), ""), "UTF-8").alias("content"))
+    found = E.blocks_of(E.extract(files)).where("kind = 'table' and child_path <> ''")
+    value = lambda k: F.get(F.get("rows", k), 1)["text"]
+    return found.select(F.col("doc_id").alias("conv_id"), value(3).cast("long").alias("turn"), F.col("child_path").alias("path"), value(1).alias("sender"))
+
+
+@query()
+def document_chunks_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of pages with their headings, for retrieval."""
+    pages = E.blocks_of(extracted(spark, sf_dir)).where("kind in ('heading', 'paragraph')")
+    return K.with_context(K.chunk_blocks(pages, "doc_id", "section", max_size=800, overlap=100), "doc_id")
+
+
+@query("""SELECT doc_id, count(*) AS n_long FROM documents WHERE length(text) > 0 AND n_chars > 100 GROUP BY doc_id""")
+def transform_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-block hook as a filter: documents' texts as blocks, those over 100 characters kept."""
+    blocks = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    kept = B.transform_blocks(blocks, lambda df: df.withColumn("text", F.when(F.length("text") > 100, F.col("text"))))
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_long"))
