@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.model import Block, Cell, Options, block_text, document_text, flat, table_of, units
+from leafmill.model import Block, Cell, Options, ReadError, block_text, document_text, flat, table_of, units
 from leafmill.operators.chunks import chunk
 from leafmill.operators.render import escaped, markdown, to_json, to_markdown
 from leafmill.plans.extract import Plugin, Registry, blocks_of, children_of, extract, load_files, read_file, strict, warnings_of
@@ -85,6 +85,20 @@ raw \x
     assert shown(out.blocks) == [("heading", "Head"), ("paragraph", "café ☃"), ("table", "a\tb"), ("paragraph", "last"), ("note", "note")] and out.metadata == {"title": "T"}
 
 
+def test_pdf():
+    import zlib
+
+    page = zlib.compress(b"BT /F1 20 Tf 72 700 Td (Big Title) Tj /F1 10 Tf 0 -40 Td (First line of a para-) Tj 0 -12 Td (graph \\(one\\).) Tj 0 -60 Td [(Sec)-20(ond) -300 (para.)] TJ ET")
+    body = [b"<</Type/Catalog/Pages 2 0 R/Outlines 6 0 R/Lang(en)>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>", b"<</Length %d/Filter/FlateDecode>>\nstream\n%s\nendstream" % (len(page), page),
+            b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>", b"<</First 7 0 R>>", b"<</Title(Chapter)/Dest[3 0 R/Fit]>>", b"<</Title<FEFF0054>/CreationDate(D:20260401093000+02'00')>>"]
+    raw = b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k + 1, o) for k, o in enumerate(body)) + b"trailer <</Root 1 0 R/Info 8 0 R>>"
+    out = read(raw, "x.pdf")
+    assert out.metadata == {"title": "T", "created": "2026-04-01T09:30:00+02:00", "language": "en", "pageCount": 1}
+    assert shown(out.blocks[0].blocks) == [("heading", "Chapter"), ("heading", "Big Title"), ("paragraph", "First line of a paragraph (one)."), ("paragraph", "Second para.")]
+    with pytest.raises(ReadError):
+        read(raw.replace(b"/Root 1 0 R", b"/Root 1 0 R/Encrypt 9 0 R"), "x.pdf")
+
+
 def test_mail():
     raw = "From: =?utf-8?q?J=C3=B6?= <a@b.c>\nTo: d@e.f\nDate: Tue, 06 Oct 2026 11:30:00 +0200\nSubject: S\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: multipart/alternative; boundary=r\n\n--r\nContent-Type: text/html\n\n<p>H</p>\n--r\nContent-Type: text/plain\n\nPlain\n\nOn Monday X wrote:\n> old\n--r--\n--q\nContent-Type: text/csv; name=t.csv\nContent-Disposition: attachment; filename=t.csv\n\na,b\n1,2\n--q--\n"
     out = read(raw, "x.eml")
@@ -139,7 +153,7 @@ def test_extract_tables(spark, tmp_path):
     rows = {(r["doc_id"], r["path"]): r for r in out.collect()}
     assert {k[1] for k in rows if k[0] == "z"} == {"", "x.csv", "in.zip", "in.zip/deep.txt"} and rows["z", "in.zip/deep.txt"]["text"] == "deep"
     assert {k[1] for k in rows if k[0] == "t"} == {"", "a.tar", "a.tar/d/n.txt"}
-    assert {k: r["error"] for k, r in rows.items() if r["error"]} == {("bad", ""): "CORRUPT_FILE", ("pdf", ""): "UNSUPPORTED_FORMAT", ("bomb", ""): "LIMIT_EXCEEDED"}
+    assert {k: r["error"] for k, r in rows.items() if r["error"]} == {("bad", ""): "CORRUPT_FILE", ("pdf", ""): "CORRUPT_FILE", ("bomb", ""): "LIMIT_EXCEEDED"}
     assert rows["win", ""]["text"] == "café" and rows["wrong", ""]["format"] == "txt"
     assert {(r["doc_id"], r["code"]) for r in warnings_of(out).collect()} == {("win", "ENCODING_GUESSED"), ("wrong", "FORMAT_MISMATCH")}
     assert {r["status"] for r in children_of(out).where("doc_id = 'z'").collect()} == {"extracted", "skipped"}
