@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.model import Block, Options, ReadError, Result, document_text, flat, normalised
-from leafmill.sources import archives, delimited, detection, html, images, latex, mail, markdown, office, pdf, rtf, structured, timed
+from leafmill.sources import archives, delimited, detection, html, images, latex, mail, markdown, media, office, pdf, rtf, structured, timed
 
 CONTRACT = (1, 0)
 #: Bytes of files whose rows a task gathers before it hands them on.
@@ -36,10 +36,10 @@ TEXTS = {
     "txt": read_text, "csv": delimited.read, "tsv": delimited.read_tsv, "json": structured.read_json, "ndjson": structured.read_ndjson, "yaml": structured.read_yaml, "xml": structured.read_xml, "html": html.read,
     "markdown": markdown.read, "latex": latex.read, "srt": timed.read_cues, "vtt": timed.read_cues, "ics": timed.read_ics, "vcf": timed.read_vcf,
 }
-BYTES = {"eml": mail.read_eml, "mbox": mail.read_mbox, "rtf": rtf.read, "pdf": pdf.read, **dict.fromkeys(("png", "jpeg", "gif", "tiff", "webp", "bmp", "ico"), images.read)}
+BYTES = {"eml": mail.read_eml, "mbox": mail.read_mbox, "rtf": rtf.read, "pdf": pdf.read, **dict.fromkeys(("png", "jpeg", "gif", "tiff", "webp", "bmp", "ico"), images.read), **dict.fromkeys(("audio", "video"), media.read)}
 PACKAGES = {
     "zip": archives.read_zip, "gzip": archives.read_gzip, "tar": archives.read_tar, **dict.fromkeys(("docx", "docm"), office.read_docx), **dict.fromkeys(("xlsx", "xlsm"), office.read_xlsx),
-    **dict.fromkeys(("pptx", "pptm"), office.read_pptx), **dict.fromkeys(("odt", "ods", "odp"), office.read_odf), "epub": office.read_epub,
+    **dict.fromkeys(("pptx", "pptm"), office.read_pptx), **dict.fromkeys(("odt", "ods", "odp"), office.read_odf), "epub": office.read_epub, "vsdx": office.read_vsdx,
 }
 
 

@@ -304,7 +304,7 @@ def read_xlsx(raw: bytes, options: Options, spent: list[int]) -> Result:
     own = relations(part, book_name)
     of = lambda kind: next((t for k, t in own.values() if k == kind), None)
     strings_root = part(of("sharedStrings")) if of("sharedStrings") else None
-    text_of = lambda n: "".join(t.text or "" for t in every(n, "t") if True)
+    text_of = lambda n: "".join(t.text or "" for t in every(n, "t"))
     strings = ["".join(t.text or "" for c in s if local(c.tag) in ("t", "r") for t in ([c] if local(c.tag) == "t" else children(c, "t"))) for s in children(strings_root, "si")] if strings_root is not None else []
     styles = part(of("styles")) if of("styles") else None
     codes = {int(n.get("numFmtId", 0)): n.get("formatCode", "") for n in every(styles, "numFmt")} if styles is not None else {}
@@ -357,6 +357,13 @@ def read_xlsx(raw: bytes, options: Options, spent: list[int]) -> Result:
                 if key in cells:
                     cells[key].row_span, cells[key].col_span = int(a[4]) - int(a[2]) + 1, at(a[3]) - at(a[1]) + 1
         section.blocks = sheet_blocks(cells, options)
+        for kind, comments in relations(part, target).values():
+            told = part(comments) if kind == "comments" else None
+            authors = [a.text or "" for a in every(told, "author")] if told is not None else []
+            for c in every(told, "comment") if told is not None else ():
+                if text := text_of(c).strip():
+                    who = int(c.get("authorId", -1))
+                    section.blocks.append(Block("note", text, role="comment", author=(authors[who] or None) if options.metadata and 0 <= who < len(authors) else None, path=c.get("ref")))
         out.blocks.append(section)
     out.features["has_macros"] = any(n.endswith("vbaProject.bin") for n in names)
     return out
@@ -568,3 +575,28 @@ def read_epub(raw: bytes, options: Options, spent: list[int]) -> Result:
             inner = pages.read(chapter.decode("utf-8", "replace"), options)
             out.blocks.append(Block("section", role="part", title=titles.get(place), blocks=inner.blocks))
     return out
+
+
+# Drawings ---------------------------------------------------------------------------------------------------------
+
+
+def read_vsdx(raw: bytes, options: Options, spent: list[int]) -> Result:
+    """A section for each page of a drawing, a paragraph for each shape with text, in the order of the file."""
+    out = Result()
+    part, names = package(raw, options, spent)
+    main = next((t for k, t in relations(part, "").values() if k == "document"), "visio/document.xml")
+    pages_name = next((t for k, t in relations(part, main).values() if k == "pages"), "visio/pages/pages.xml")
+    root = part(pages_name)
+    if root is None:
+        raise ReadError("CORRUPT_FILE", "The drawing has no pages.")
+    properties(part, out, options)
+    own = relations(part, pages_name)
+    for page in children(root, "Page"):
+        link = first(page, "Rel")
+        target = own.get(attribute(link, "id") or "", ("", ""))[1] if link is not None else ""
+        body = part(target) if target else None
+        if body is None or page.get("Background") == "1" and not options.include_hidden:
+            continue
+        texts = ["".join(t.itertext()).strip() for t in every(body, "Text")]
+        out.blocks.append(Block("section", role="page", title=page.get("Name"), blocks=[Block("paragraph", t) for t in texts if t]))
+    return out

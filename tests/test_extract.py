@@ -85,6 +85,22 @@ raw \x
     assert shown(out.blocks) == [("heading", "Head"), ("paragraph", "café ☃"), ("table", "a\tb"), ("paragraph", "last"), ("note", "note")] and out.metadata == {"title": "T"}
 
 
+def test_media_and_drawings():
+    import struct
+
+    wav = b"RIFF" + struct.pack("<I", 36 + 8000) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", 8000) + bytes(8000)
+    assert read(wav, "x.wav").metadata == {"custom": [("duration", "1.000")]}
+    mp3 = b"ID3\x03\0\0\0\0\0\x20" + b"TIT2" + (5).to_bytes(4) + b"\0\0\0Song" + b"TPE1" + (3).to_bytes(4) + b"\0\0\0Me" + bytes(4) + b"\xff\xfb\x90\0" + bytes(15996)
+    assert read(mp3, "x.mp3").metadata == {"title": "Song", "authors": ["Me"], "custom": [("duration", "1.000")]}
+    rel = lambda kind, target: f'<Relationships><Relationship Id="r1" Type="http://x/{kind}" Target="{target}"/></Relationships>'
+    drawing = zipped({
+        "[Content_Types].xml": "<Types><Override ContentType='application/vnd.ms-visio.drawing.main+xml'/></Types>", "_rels/.rels": rel("document", "visio/document.xml"), "visio/document.xml": "<d/>", "visio/_rels/document.xml.rels": rel("pages", "pages/pages.xml"),
+        "visio/pages/pages.xml": '<Pages xmlns:r="http://r"><Page Name="P"><Rel r:id="r1"/></Page></Pages>', "visio/pages/_rels/pages.xml.rels": rel("page", "page1.xml"), "visio/pages/page1.xml": "<PageContents><Shapes><Shape><Text>Box <cp/>one</Text></Shape></Shapes></PageContents>",
+    })
+    out = read(drawing, "x.vsdx")
+    assert out.blocks[0].title == "P" and document_text(out.blocks) == "Box one"
+
+
 def test_pdf():
     import zlib
 
