@@ -28,10 +28,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds what a Python worker holds: texts can be long, so batches have few rows."""
+    """Bounds what a Python worker holds: texts can be long, so batches have few rows, and few bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` as UTF-8; none for null."""
-    return text.encode("utf-8", "replace").split() if text else []
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
