@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +31,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, OWN, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs beyond the least score of a piece.
 UNKNOWN_COST = 10.0
-#: Units whose paths a worker remembers.
-REMEMBERED = 400_000
+#: Units whose paths a worker remembers, in each of two generations: what the older one alone holds goes first.
+REMEMBERED = 100_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -88,6 +89,7 @@ class Model:
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if apart else re.compile(".+", re.S)
         self.known: dict[str, tuple[bytes, float]] = {}
+        self.older: dict[str, tuple[bytes, float]] = {}
 
     def path(self, unit: str) -> tuple[list[int], float]:
         """Ids of the best path through a unit, and its score."""
@@ -125,13 +127,15 @@ class Model:
         """Ids (int32) and the score of the whole text."""
         if not text:
             return np.zeros(0, dtype=np.int32), 0.0
-        known, parts, score = self.known, [], 0.0
+        known, older, parts, score = self.known, self.older, [], 0.0
         for unit in self.units.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE)):
             if (hit := known.get(unit)) is None:
-                ids, s = self.path(unit)
-                hit = (np.array(ids, dtype=np.int32).tobytes(), s)
+                if (hit := older.get(unit)) is None:
+                    ids, s = self.path(unit)
+                    hit = (array("i", ids).tobytes(), s)
                 if len(known) >= REMEMBERED:
-                    known.clear()
+                    self.older, self.known = known, {}
+                    known, older = self.known, known
                 if len(unit) <= 64:
                     known[unit] = hit
             parts.append(hit[0])
