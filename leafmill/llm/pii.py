@@ -8,8 +8,8 @@ entity's own information, is what share of it the term discloses. Terms in the e
 DISCLOSED of it, in SUPPORT distinct contexts or more, are spans of the kind `term`; sanitised() removes those that
 disclose nearly everything, and generalises the others.
 
-Contexts are counted once however many documents hold them, so copies of a document reveal nothing; and a
-document goes through the counts as a few short rows, never as a text.
+Contexts are counted once however many documents hold them, and those of a pair must not mostly begin and end with
+the same words, so exact and near copies of a document reveal nothing. A document goes through the counts as a few short rows, never as a text.
 
 Defined results: null and empty texts have no spans. Repeated rows of one id and text give as many rows. An empty
 table gives an empty result. Columns beside the id and the text are ignored whatever their names.
@@ -144,10 +144,13 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     value = F.lower(F.regexp_replace("s.value", r"[\x20().-]", ""))
     terms = F.concat(context_terms(F.col("s.before"), True, F.col("s.start")), context_terms(F.col("s.after"), False, F.col("s.end")))
     near = each.select("id", "text_hash", F.xxhash64("s.rank", value).alias("entity"), F.xxhash64("s.before", "s.after").alias("context"), terms.alias("terms"))
-    met = near.select("id", "text_hash", "entity", "context", F.explode("terms").alias("t")).select("id", "text_hash", "entity", "context", "t.*")
-    # One row for each context, then for each pair of term and entity; both are summed before their shuffles.
-    pairs = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    pairs = held(pairs.where(F.col("together") >= SUPPORT))
+    near = near.withColumn("edge", F.xxhash64(F.get("terms.term", 0), F.try_element_at("terms.term", F.lit(-1))))
+    met = near.select("id", "text_hash", "entity", "context", "edge", F.explode("terms").alias("t")).select("id", "text_hash", "entity", "context", "edge", "t.*")
+    # One row for each context, for each of their edges, then for each pair of term and entity; all are summed before
+    # their shuffles. Contexts that mostly begin and end alike are copies of one with small changes.
+    edges = met.select("entity", "term", "context", "edge").distinct().groupBy("entity", "term", "edge").agg(F.count(F.lit(1)).alias("n"))
+    pairs = edges.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.max("n").alias("alike"))
+    pairs = held(pairs.where((F.col("together") >= SUPPORT) & (2 * F.col("alike") <= F.col("together"))).drop("alike"))
     entity_docs = near.select("entity", "id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n"))
     n_docs = base.count()
 

@@ -38,10 +38,15 @@ def test_base_spans(spark, odd, nothing):
     assert [r["text"] for r in out.where("doc_id = 6").collect()] == ["Ä ß 日本語 \U0001f600 mail [EMAIL]"]
 
 
+NAMES = ["north", "river", "stone", "maple", "cloud", "amber"]
+
+
 def test_terms_that_reveal(spark):
-    rows = [(k, f"filler{k} words{k * 7} The courier Zebulon wrote to zeb@corp.example about item{k} again alpha{k}") for k in range(6)]
+    rows = [(k, f"filler{k} {NAMES[k]} came. The courier Zebulon wrote to zeb@corp.example about item{k} again {NAMES[5 - k]} alpha{k}") for k in range(6)]
     rows += [(100 + k, f"other plain text number {k} the courier went home") for k in range(40)] + [(300 + k, "copied Quorvex text mail q@r.st end") for k in range(9)]
+    rows += [(500 + k, f"near copies hold Vexley text{k} mail v@w.xy and more words end") for k in range(9)]
     out = {r["doc_id"]: r["text"] for r in sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("Zebulon" not in out[k] and "courier" in out[k] and "[EMAIL]" in out[k] for k in range(6))
     assert out[120] == rows[26][1]  # nothing protected, nothing changed
     assert out[300] == "copied Quorvex text mail [EMAIL] end"  # copies are one context
+    assert out[503] == "near copies hold Vexley text3 mail [EMAIL] and more words end"  # and near copies begin and end alike
