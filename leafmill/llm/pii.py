@@ -1,15 +1,15 @@
 """Personal data: patterns for the protected entities, and information-theoretic sanitisation of what reveals them.
 
 All in DataFrame functions. Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Their
-values are the protected entities. Around each one, the words within REACH characters are its context. From the whole
-corpus, P(entity | term) is estimated as the entity's distinct contexts with the term over the documents with the
-term, P(entity) as the entity's documents over all; the term's pointwise mutual information with the entity, over the
-entity's own information, is what share of it the term discloses. Terms in the entity's context that disclose at least
-DISCLOSED of it, in SUPPORT distinct contexts or more, are spans of the kind `term`; sanitised() removes those that
-disclose nearly everything, and generalises the others.
+values are the protected entities, and all words of the texts that hold one are terms that may reveal it. From the
+whole corpus, P(entity | term) is estimated as the distinct texts with both over the documents with the term, P(entity)
+as the entity's documents over all; the term's pointwise mutual information with the entity, over the entity's own information,
+is what share of it the term discloses. Terms that disclose at least DISCLOSED of it, in SUPPORT distinct texts or
+more, are spans of the kind `term` wherever they occur, in texts without the entity too; sanitised() removes those
+that disclose nearly everything, and generalises the others.
 
-Contexts are counted once however many documents hold them, and those of a pair must not mostly begin and end with
-the same words, so exact and near copies of a document reveal nothing. A document goes through the counts as a few short rows, never as a text.
+Texts with both are counted once however many documents hold them. The texts of a
+pair must not mostly begin and end with the same words, as near copies do. Only texts that hold an entity go through the counts with their words as a row.
 
 Defined results: null and empty texts have no spans. Repeated rows of one id and text give as many rows. An empty
 table gives an empty result. Columns beside the id and the text are ignored whatever their names.
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import checkpointed, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Characters on either side of an entity whose words are its context.
-REACH = 60
 SUPPORT = 3
 DISCLOSED = 0.9
 REMOVED = 0.97
@@ -84,22 +82,21 @@ def passes(kind: str, value: Column) -> Column:
 
 
 def spans_of(kind: str, text: Column, matches: Column) -> Column:
-    """Array of start, rank, kind, end, value, before, after: matches with their places, failing ones dropped."""
+    """Array of start, rank, kind, end, value: matches with their places, failing ones dropped."""
     rank = KINDS.index(kind)
 
     def placed(pieces: Column) -> Column:
         n = F.size(matches)
         before = F.slice(pieces, 1, n)
         ends = ends_of(F.zip_with(before, matches, lambda p, m: F.length(p) + F.length(m)))
-        each = F.arrays_zip(before, F.slice(matches, 1, n), F.slice(pieces, 2, n), ends)
+        each = F.arrays_zip(before, F.slice(matches, 1, n), ends)
         return F.transform(each, lambda x: F.struct(
-            (x["3"] - F.length(x["1"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["3"].alias("end"), x["1"].alias("value"),
-            F.right(x["0"], F.lit(REACH + 1)).alias("before"), F.left(x["2"], F.lit(REACH + 1)).alias("after")))
+            (x["2"] - F.length(x["1"])).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["2"].alias("end"), x["1"].alias("value")))
 
     return F.filter(let(F.split(text, PATTERNS[kind], -1), placed), lambda s: passes(kind, s["value"]))
 
 
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string,before:string,after:string>>"
+SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
 def with_spans(df: DataFrame, text: Column, into: str) -> DataFrame:
@@ -115,18 +112,19 @@ def with_spans(df: DataFrame, text: Column, into: str) -> DataFrame:
     return df.withColumn(into, F.array_sort(F.concat(*[f"_{k}" for k in KINDS[:-1]]))).drop(*[f"_{k}" for k in KINDS[:-1]])
 
 
-def context_terms(side: Column, left: bool, at: Column) -> Column:
-    """Array of term, start, end of the words on one side of a span; `at` is where the side meets the span."""
-    base = at - F.length(side) if left else at
+def terms_of(text: Column) -> Column:
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower)
+
+
+def placed_terms(text: Column, wanted: Column) -> Column:
+    """Array of term, start, end of every occurrence of the wanted terms."""
 
     def placed(words: Column) -> Column:
-        rest = F.slice(F.split(side, TERM, -1), 1, F.size(words))
+        rest = F.slice(F.split(text, TERM, -1), 1, F.size(words))
         ends = ends_of(F.zip_with(rest, words, lambda p, m: F.length(p) + F.length(m)))
-        return F.zip_with(words, ends, lambda m, e: F.struct(F.lower(m).alias("term"), (base + e - F.length(m)).alias("start"), (base + e).alias("end")))
+        return F.zip_with(words, ends, lambda m, e: F.struct(F.lower(m).alias("term"), (e - F.length(m)).alias("start"), e.alias("end")))
 
-    # The window may cut the word at its far edge.
-    whole = (lambda t: t["start"] > base) if left else (lambda t: t["end"] < base + F.length(side))
-    return F.filter(let(F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), placed), lambda t: (F.length(side) <= REACH) | whole(t))
+    return F.filter(let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), placed), lambda t: F.array_contains(wanted, t["term"]))
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -135,42 +133,47 @@ def held(df: DataFrame) -> DataFrame:
 
 
 def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_hash, copies, spans: a row for each distinct document; spans are the base ones and terms, sorted."""
+    """id, text_hash, base, spans, cut: a row for each document; spans are the base ones and terms, sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    base = checkpointed(with_spans(source, F.col("text"), "spans").drop("text"))
-    hit = base.where(F.size("spans") > 0)
-    each = hit.select("id", "text_hash", F.explode("spans").alias("s"))
-    value = F.lower(F.regexp_replace("s.value", r"[\x20().-]", ""))
-    terms = F.concat(context_terms(F.col("s.before"), True, F.col("s.start")), context_terms(F.col("s.after"), False, F.col("s.end")))
-    near = each.select("id", "text_hash", F.xxhash64("s.rank", value).alias("entity"), F.xxhash64("s.before", "s.after").alias("context"), terms.alias("terms"))
-    near = near.withColumn("edge", F.xxhash64(F.get("terms.term", 0), F.try_element_at("terms.term", F.lit(-1))))
-    met = near.select("id", "text_hash", "entity", "context", "edge", F.explode("terms").alias("t")).select("id", "text_hash", "entity", "context", "edge", "t.*")
-    # One row for each context, for each of their edges, then for each pair of term and entity; all are summed before
-    # their shuffles. Contexts that mostly begin and end alike are copies of one with small changes.
-    edges = met.select("entity", "term", "context", "edge").distinct().groupBy("entity", "term", "edge").agg(F.count(F.lit(1)).alias("n"))
-    pairs = edges.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.max("n").alias("alike"))
-    pairs = held(pairs.where((F.col("together") >= SUPPORT) & (2 * F.col("alike") <= F.col("together"))).drop("alike"))
-    entity_docs = near.select("entity", "id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n"))
-    n_docs = base.count()
+    some = F.size("spans") > 0
+    base = with_spans(source, F.col("text"), "spans")
+    base = checkpointed(base.withColumn("terms", F.when(some, terms_of(F.col("text")))).drop("text"))
+    entity = F.transform("spans", lambda s: F.xxhash64(s["rank"], F.lower(F.regexp_replace(s["value"], r"[\x20().-]", ""))))
+    texts = checkpointed(base.where(some).select("text_hash", "terms", F.array_distinct(entity).alias("entities")).dropDuplicates(["text_hash"]))
+    n_texts = base.count()
+    each = texts.select("text_hash", F.explode("entities").alias("entity"))
+    often = held(base.where(some).select(F.explode(F.array_distinct(entity)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where(F.col("entity_n") >= SUPPORT))
+    edge = F.xxhash64(F.get("terms", 0), F.try_element_at("terms", F.lit(-1)))
+    mentions = checkpointed(each.join(often, "entity").join(texts.select("text_hash", edge.alias("cluster")), "text_hash"))
+    # One row for each text, for each of their edges, then for each pair of term and entity; all are summed before
+    # their shuffles.
+    met = mentions.join(texts.select("text_hash", "terms"), "text_hash").select("entity", "entity_n", "cluster", F.explode("terms").alias("term"))
+    met = met.groupBy("entity", "entity_n", "term", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    pairs = met.groupBy("entity", "entity_n", "term").agg(F.sum("n").alias("together"), F.max("n").alias("alike")).where((F.col("together") >= SUPPORT) & (2 * F.col("alike") <= F.col("together")))
+    p_entity = F.col("entity_n") / F.lit(max(n_texts, 1))
+    # What the texts with entities say of a term already bounds its share; common words end here.
+    least_n = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("least_n"))
+    bounded = pairs.where(p_entity < 1).join(least_n, "term").where(F.col("together") >= F.col("least_n") * F.pow(p_entity, F.lit(1 - DISCLOSED)) * 0.999999)
+    pairs = held(bounded.select("entity", "entity_n", "term", "together"))
 
     if pairs.isEmpty():
-        revealed = base.sparkSession.createDataFrame([], "id " + base.schema["id"].dataType.simpleString() + ", text_hash long, more array<struct<start:int,rank:int,kind:string,end:int>>, cut array<struct<start:int,end:int,removed:boolean>>")
+        revealed = base.sparkSession.createDataFrame([], "text_hash long, more array<struct<start:int,rank:int,kind:string,end:int>>, cut array<struct<start:int,end:int,removed:boolean>>")
     else:
-        words = source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        # Summed before anything is joined, so the rows that are joined do not grow with the number of terms asked for.
-        # An inner join: a semi-join would be moved below the sums.
-        term_docs = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_n")).join(held(pairs.select("term").distinct()), "term")
-        known = pairs.join(held(term_docs), "term").join(held(entity_docs.join(pairs.select("entity").distinct(), "entity", "left_semi")), "entity")
-        p_entity = F.col("entity_n") / F.lit(max(n_docs, 1))
+        words = source.select("text_hash", F.explode(terms_of(F.col("text"))).alias("term"))
+        # An inner join: a semi-join would be moved below the explode.
+        term_texts = words.join(held(pairs.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("term_n"))
         disclosed = (F.log2(F.least(F.col("together") / F.col("term_n"), F.lit(1.0))) - F.log2(p_entity)) / -F.log2(p_entity)
-        telling = held(known.where(p_entity < 1).withColumn("share", disclosed).where(F.col("share") >= DISCLOSED).select("entity", "term", "share"))
-        revealed = met.join(telling, ["entity", "term"]).groupBy("id", "text_hash").agg(
-            F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"), "end")).alias("more"),
-            F.collect_set(F.struct("start", "end", (F.col("share") >= REMOVED).alias("removed"))).alias("cut"))
+        telling = pairs.join(held(term_texts), "term").withColumn("share", disclosed).where(F.col("share") >= DISCLOSED)
+        telling = held(telling.groupBy("term").agg((F.max("share") >= REMOVED).alias("removed")))
+        marked = words.join(telling, "term").groupBy("text_hash").agg(F.collect_set("term").alias("wanted"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+        revealed = source.join(held(marked), "text_hash").select("text_hash", "gone", placed_terms(F.col("text"), F.col("wanted")).alias("at")).dropDuplicates(["text_hash"]).select(
+            "text_hash",
+            F.transform("at", lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end"))).alias("more"),
+            F.transform("at", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.array_contains("gone", t["term"]).alias("removed"))).alias("cut"))
     plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     revealed = held(revealed)
-    return base.select("id", "text_hash", plain.alias("base")).join(revealed, ["id", "text_hash"], "left").select(
+    return base.select("id", "text_hash", plain.alias("base")).join(revealed, "text_hash", "left").select(
         "id", "text_hash", "base", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))).alias("spans"),
         F.coalesce(F.col("cut"), F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("cut"))
 

@@ -50,3 +50,21 @@ def test_terms_that_reveal(spark):
     assert out[120] == rows[26][1]  # nothing protected, nothing changed
     assert out[300] == "copied Quorvex text mail [EMAIL] end"  # copies are one context
     assert out[503] == "near copies hold Vexley text3 mail [EMAIL] and more words end"  # and near copies begin and end alike
+
+
+def cleaned(spark, rows):
+    return {r["doc_id"]: r["text"] for r in sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def others(n):
+    return [(1000 + k, f"other plain text number {k} the courier went home") for k in range(n)]
+
+
+def test_terms_of_whole_texts(spark):
+    far = " ".join(["the courier went home"] * 20)
+    rows = [(k, f"{NAMES[k]} {k * 7} ab{k} Zebulon wrote to zeb@corp.example {far} cd{k} Zebulon said ef{k} {NAMES[5 - k]}") for k in range(4)]
+    rows += [(10 + k, f"{NAMES[k]} gh{k} {k} The farmer Yorick came {far} and mailed yor@corp.example ij{k} {NAMES[5 - k]}") for k in range(4)]
+    out = cleaned(spark, [*rows, (50, "only Zebulon is here"), *others(40)])
+    assert all("Zebulon" not in out[k] and out[k].count("courier") == 20 for k in range(4))
+    assert all("Yorick" not in out[10 + k] for k in range(4))  # more than 60 characters off
+    assert "Zebulon" not in out[50] and out[50].startswith("only ") and out[50].endswith(" is here")
