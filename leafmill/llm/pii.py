@@ -4,12 +4,12 @@ All in DataFrame functions. Base spans are e-mail addresses, IP addresses, card
 values are the protected entities, and all words of the texts that hold one are terms that may reveal it. From the
 whole corpus, P(entity | term) is estimated as the distinct texts with both over the documents with the term, P(entity)
 as the entity's documents over all; the term's pointwise mutual information with the entity, over the entity's own information,
-is what share of it the term discloses. Terms that disclose at least DISCLOSED of it, in SUPPORT distinct texts or
+is what share of it the term discloses. Terms that disclose at least DISCLOSED of it, in SUPPORT independent texts or
 more, are spans of the kind `term` wherever they occur, in texts without the entity too; sanitised() removes those
 that disclose nearly everything, and generalises the others.
 
-Texts with both are counted once however many documents hold them. The texts of a
-pair must not mostly begin and end with the same words, as near copies do. Only texts that hold an entity go through the counts with their words as a row.
+Texts with both are counted once however many documents hold them. Near copies (texts that are alike in their words, found
+by min-wise hashes) count as one independent text. Only texts that hold an entity go through the counts with their words as a row.
 
 Defined results: null and empty texts have no spans. Repeated rows of one id and text give as many rows. An empty
 table gives an empty result. Columns beside the id and the text are ignored whatever their names.
@@ -23,11 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import checkpointed, table
+from leafmill.llm.components import components
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
 DISCLOSED = 0.9
 REMOVED = 0.97
+#: Texts are near copies if their sets of words are so much alike (Jaccard).
+ALIKE = 0.8
+#: Texts are compared that share the least hashes of all ROWS of one of BANDS: nine tenths of the pairs that are just so much alike.
+BANDS = 8
+ROWS = 6
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -127,30 +133,54 @@ def placed_terms(text: Column, wanted: Column) -> Column:
     return F.filter(let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), placed), lambda t: F.array_contains(wanted, t["term"]))
 
 
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w)))
+
+
+def bands_of(words: Column) -> Column:
+    """Array of BANDS hashes, each of ROWS min-wise hashes of a text's words."""
+    least = lambda k: F.array_min(F.transform(words, lambda x: F.xxhash64(x, F.lit(k))))
+    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+
+
 def held(df: DataFrame) -> DataFrame:
     df = checkpointed(df)
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def independent(mentions: DataFrame, texts: DataFrame) -> DataFrame:
+    """mentions with `cluster`: one value for texts that are near copies of each other."""
+    asked = mentions.select("text_hash").distinct()
+    near = checkpointed(texts.join(held(asked), "text_hash", "left_semi").select("text_hash", F.explode(bands_of(F.col("words"))).alias("band")))
+    first = near.groupBy("band").agg(F.min("text_hash").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = near.join(held(first), "band").where("text_hash <> b").select(F.col("text_hash").alias("a"), "b").distinct()
+    words = lambda name: texts.select(F.col("text_hash").alias(name), F.col("words").alias(f"words_{name}"))
+    same, both = F.size(F.array_intersect("words_a", "words_b")), F.size("words_a") + F.size("words_b")
+    edges = met.join(words("a"), "a").join(words("b"), "b").where(same >= ALIKE * (both - same)).select("a", "b")
+    roots = components(edges).withColumnRenamed("node", "text_hash")
+    return mentions.join(held(roots), "text_hash", "left").withColumn("cluster", F.coalesce("root", "text_hash")).drop("root")
+
+
 def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, base, spans, cut: a row for each document; spans are the base ones and terms, sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     some = F.size("spans") > 0
     base = with_spans(source, F.col("text"), "spans")
-    base = checkpointed(base.withColumn("terms", F.when(some, terms_of(F.col("text")))).drop("text"))
+    base = checkpointed(base.withColumn("words", F.when(some, words_of(F.col("text")))).withColumn("terms", F.when(some, terms_of(F.col("text")))).drop("text"))
     entity = F.transform("spans", lambda s: F.xxhash64(s["rank"], F.lower(F.regexp_replace(s["value"], r"[\x20().-]", ""))))
-    texts = checkpointed(base.where(some).select("text_hash", "terms", F.array_distinct(entity).alias("entities")).dropDuplicates(["text_hash"]))
+    texts = checkpointed(base.where(some).select("text_hash", "words", "terms", F.array_distinct(entity).alias("entities")).dropDuplicates(["text_hash"]))
     n_texts = base.count()
     each = texts.select("text_hash", F.explode("entities").alias("entity"))
     often = held(base.where(some).select(F.explode(F.array_distinct(entity)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where(F.col("entity_n") >= SUPPORT))
-    edge = F.xxhash64(F.get("terms", 0), F.try_element_at("terms", F.lit(-1)))
-    mentions = checkpointed(each.join(often, "entity").join(texts.select("text_hash", edge.alias("cluster")), "text_hash"))
-    # One row for each text, for each of their edges, then for each pair of term and entity; all are summed before
+    mentions = checkpointed(independent(checkpointed(each.join(often, "entity")), texts))
+    live = mentions.select("entity", "cluster").distinct().groupBy("entity").count().where(F.col("count") >= SUPPORT).drop("count")
+    mentions = mentions.join(held(live), "entity")
+    # One row for each text, for each of their clusters, then for each pair of term and entity; all are summed before
     # their shuffles.
     met = mentions.join(texts.select("text_hash", "terms"), "text_hash").select("entity", "entity_n", "cluster", F.explode("terms").alias("term"))
     met = met.groupBy("entity", "entity_n", "term", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    pairs = met.groupBy("entity", "entity_n", "term").agg(F.sum("n").alias("together"), F.max("n").alias("alike")).where((F.col("together") >= SUPPORT) & (2 * F.col("alike") <= F.col("together")))
+    pairs = met.groupBy("entity", "entity_n", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
     p_entity = F.col("entity_n") / F.lit(max(n_texts, 1))
     # What the texts with entities say of a term already bounds its share; common words end here.
     least_n = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("least_n"))

@@ -68,3 +68,15 @@ def test_terms_of_whole_texts(spark):
     assert all("Zebulon" not in out[k] and out[k].count("courier") == 20 for k in range(4))
     assert all("Yorick" not in out[10 + k] for k in range(4))  # more than 60 characters off
     assert "Zebulon" not in out[50] and out[50].startswith("only ") and out[50].endswith(" is here")
+
+
+def test_near_copies_beside_independent_texts(spark):
+    old = [(k, f"filler{k} words{k * 7} The courier Zebulon wrote to zeb@corp.example about item{k} again alpha{k}") for k in range(6)]
+    out = cleaned(spark, [*old, *others(40)])
+    assert all("Zebulon" not in out[k] and "courier" in out[k] and "[EMAIL]" in out[k] for k in range(6))
+    letter = [(100 + k, f"dear reader this is our yearly letter number{k} which Zebulon signed so write to zeb@corp.example soon") for k in range(10)]
+    out = cleaned(spark, [*old[:3], *letter, *others(40)])
+    assert all("Zebulon" not in out[k] for k in [0, 1, 2, *range(100, 110)])
+    assert out[104] == "dear reader this is our yearly letter number4 which  signed so write to [EMAIL] soon"
+    out = cleaned(spark, [*letter, *others(40)])
+    assert all("Zebulon" in out[k] for k in range(100, 110))
