@@ -2,13 +2,13 @@
 
 All in DataFrame functions. Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Their
 values are the protected entities, and all words of the texts that hold one are terms that may reveal it. From the
-whole corpus, P(entity | term) is estimated as the distinct texts with both over the documents with the term, P(entity)
-as the entity's documents over all; the term's pointwise mutual information with the entity, over the entity's own information,
+whole corpus, P(entity | term) is estimated as the texts with both over the texts with the term, P(entity) as the
+entity's texts over all; the term's pointwise mutual information with the entity, over the entity's own information,
 is what share of it the term discloses. Terms that disclose at least DISCLOSED of it, in SUPPORT independent texts or
 more, are spans of the kind `term` wherever they occur, in texts without the entity too; sanitised() removes those
 that disclose nearly everything, and generalises the others.
 
-Texts with both are counted once however many documents hold them. Near copies (texts that are alike in their words, found
+All counts are of distinct texts, so copies change nothing. Near copies (texts that are alike in their words, found
 by min-wise hashes) count as one independent text. Only texts that hold an entity go through the counts with their words as a row.
 
 Defined results: null and empty texts have no spans. Repeated rows of one id and text give as many rows. An empty
@@ -170,9 +170,9 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = checkpointed(base.withColumn("words", F.when(some, words_of(F.col("text")))).withColumn("terms", F.when(some, terms_of(F.col("text")))).drop("text"))
     entity = F.transform("spans", lambda s: F.xxhash64(s["rank"], F.lower(F.regexp_replace(s["value"], r"[\x20().-]", ""))))
     texts = checkpointed(base.where(some).select("text_hash", "words", "terms", F.array_distinct(entity).alias("entities")).dropDuplicates(["text_hash"]))
-    n_texts = base.count()
+    n_texts = base.select("text_hash").distinct().count()
     each = texts.select("text_hash", F.explode("entities").alias("entity"))
-    often = held(base.where(some).select(F.explode(F.array_distinct(entity)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where(F.col("entity_n") >= SUPPORT))
+    often = held(each.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_n")).where(F.col("entity_n") >= SUPPORT))
     mentions = checkpointed(independent(checkpointed(each.join(often, "entity")), texts))
     live = mentions.select("entity", "cluster").distinct().groupBy("entity").count().where(F.col("count") >= SUPPORT).drop("count")
     mentions = mentions.join(held(live), "entity")
@@ -192,7 +192,7 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     else:
         words = source.select("text_hash", F.explode(terms_of(F.col("text"))).alias("term"))
         # An inner join: a semi-join would be moved below the explode.
-        term_texts = words.join(held(pairs.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("term_n"))
+        term_texts = words.join(held(pairs.select("term").distinct()), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("term_n"))
         disclosed = (F.log2(F.least(F.col("together") / F.col("term_n"), F.lit(1.0))) - F.log2(p_entity)) / -F.log2(p_entity)
         telling = pairs.join(held(term_texts), "term").withColumn("share", disclosed).where(F.col("share") >= DISCLOSED)
         telling = held(telling.groupBy("term").agg((F.max("share") >= REMOVED).alias("removed")))

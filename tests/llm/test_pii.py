@@ -80,3 +80,10 @@ def test_near_copies_beside_independent_texts(spark):
     assert out[104] == "dear reader this is our yearly letter number4 which  signed so write to [EMAIL] soon"
     out = cleaned(spark, [*letter, *others(40)])
     assert all("Zebulon" in out[k] for k in range(100, 110))
+
+
+def test_copies_change_no_share(spark):
+    texts = [f"{NAMES[k]}{k} {k * 7} ab{k} Zebulon wrote to zeb@corp.example cd{k} ef{k} {k}" for k in range(3)]
+    rows = list(enumerate(texts))
+    once, copied = cleaned(spark, [*rows, *others(400)]), cleaned(spark, [*rows, *[(10 + k, texts[0]) for k in range(90)], *others(400)])
+    assert all("Zebulon" not in x[k] for x in (once, copied) for k in range(3)) and once[0] == copied[0] == copied[99]
