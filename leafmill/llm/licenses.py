@@ -77,9 +77,11 @@ RULES = [
 ]
 _RULES = sorted(((name, [(x.strip("[]"), x[0] == "[") for x in rule.split()]) for name, rule in RULES), key=lambda r: -sum(not o for _, o in r[1]))
 _PATTERNS = {k: re.compile(p) for k, p in SENTENCES.items()}
-#: No sentence pattern matches a text without one of these.
+#: No sentence pattern matches a normalised sentence without one of these.
 _HINTS = ("licen", "copyright", "redistribut", "permission", "warrant", "spdx", "public domain", "as is", "as-is", "in no event", "advertising", "neither the name",
-          "free software", "either version", "later version", "in the hope", "under cc", "under a cc", "rights reserved")
+          "free software", "either version", "later version", "in the hope", "creative commons", " cc", "copyleft", "rights reserved")
+#: The rarest word of each: normalising joins no words, so these stand in the raw text whatever signs or line ends part the words.
+_WORDS = re.compile(r"licen|copyright|redistribut|permission|warrant|spdx|domain|(?<![^\W_])(?:as|cc|event|either|neither|hope|later|free)|advertising|creative|copyleft|reserved")
 _SPEAKS = re.compile(r"\b(?:licensed|released|distributed|available) under\b.*\b(?:licen[sc]e|cc|copyleft)\b|\bsee licen[sc]e\b")
 # A sentence ends at a stop before white space, or at an empty line.
 _END = re.compile(r"(?<!dentifier)[.;:!?](?=[\"')\]]*(?:\s|$))|\n[ \t]*(?:[#*/;%-]+[ \t]*)?\n")
@@ -109,6 +111,8 @@ def identified(text: str) -> list[tuple[str, dict[str, str], int, int, int]]:
     """(identifier, named groups, number of the sentence, start, end) of the licence sentences in order."""
     found = []
     for n, (a, b) in enumerate(sentences(text)):
+        if not _WORDS.search(text[a:b].lower()):
+            continue
         bare = normalised(text[a:b])
         if not any(h in bare for h in _HINTS):
             continue
@@ -146,10 +150,7 @@ def _named(name: str, groups: dict[str, str]) -> str:
 
 def scan(text: str | None) -> list[tuple[str, int, int, str]]:
     """(licence, start, end, identifiers) of all findings in order."""
-    low = " ".join(text.lower().split()) if text else ""
-    if not any(h in low for h in _HINTS):
-        return []
-    ids = identified(text)
+    ids = identified(text) if text else []
     found, at, used = [], 0, set()
     while at < len(ids):
         if at in used:

@@ -1,3 +1,5 @@
+import re
+
 from leafmill.llm.licenses import license_scan, scan
 
 MIT = """// Copyright (c) 2020 Foo Bar. All rights reserved.
@@ -29,3 +31,50 @@ def test_rules():
 
 def test_odd_rows(odd, nothing):
     assert license_scan(odd).count() == odd.count() and license_scan(nothing).count() == 0
+
+
+def examples(pattern):
+    """Texts that a pattern matches: each choice of each branch once, optional parts both ways."""
+    from re import _parser as parser
+
+    def made(parsed):
+        outs = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                first = next((x for x in arg if str(x[0]) in ("LITERAL", "RANGE")), None)
+                more = [chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])]
+            elif name == "ANY":
+                more = ["x"]
+            elif name == "BRANCH":
+                more = [x for way in arg[1] for x in made(way)]
+            elif name == "SUBPATTERN":
+                more = made(arg[3])
+            elif name in ("MAX_REPEAT", "POSSESSIVE_REPEAT"):
+                more = [x * n for x in made(arg[2]) for n in {arg[0], min(arg[1], max(arg[0], 1))}]
+            else:
+                assert name in ("AT", "ASSERT_NOT"), name
+                continue
+            outs = [a + x for a in outs for x in more][:5000]
+        return outs
+
+    return set(made(parser.parse(pattern)))
+
+
+def test_no_hint_hides_a_pattern():
+    from leafmill.llm.licenses import _HINTS, _WORDS, SENTENCES
+
+    for key, pattern in SENTENCES.items():
+        for x in examples(pattern):
+            assert re.search(pattern, x), (key, x)
+            assert any(h in x for h in _HINTS) and _WORDS.search(x), (key, x)
+
+
+def test_references_by_other_words():
+    from leafmill.llm.licenses import scan
+
+    for text, name in (("Available under the CC BY 4.0.", "CC-BY-4.0"), ("Released under Creative Commons BY-SA 4.0.", "CC-BY-SA-4.0"), ("Distributed under the Creative Commons BY 3.0.", "CC-BY-3.0"), ("Dedicated to CC0 1.0.", "CC0-1.0")):
+        assert [x[0] for x in scan(text)] == [name]
+    assert [x[0] for x in scan("# This is free and unencumbered software released into the public\n# domain.")] == ["Unlicense"]
