@@ -5,19 +5,24 @@ escapes, base64) are decoded to a new layer, compressed bytes are inflated, and
 regions in turn, until none is new. A layer that the document has had already is not decoded again, which ends cycles.
 Each character of a layer knows the characters of the text that it came from, so finds are spans of the text.
 
-Defined results: null and empty texts have no spans. Repeated rows each give their row. A layer whose compressed
-bytes inflate to more than INFLATED bytes is read up to there (a decompression bomb must not end an executor); texts
-and all other layers are read whole. Columns beside the id and the text are ignored whatever their names.
+Base64 that is wrapped over lines is joined before it is decoded.
+
+Defined results: null and empty texts have no spans. Repeated rows each give their row. Compressed bytes are inflated
+to their end, all members of them, as a stream of pieces of INFLATED characters (a decompression bomb must not end an
+executor); each piece begins with the last OVERLAP characters of the one before. Only an encoded region that is longer
+than that and lies over such a border is decoded in parts. Texts and all other layers are read whole. Columns beside the id and the text are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +31,9 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import small_batches, table
 
 INFLATED = 1 << 24
+OVERLAP = 1 << 20
+#: Bytes that are inflated at once.
+STEP = 1 << 16
 KINDS = ("assign", "access", "hex")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,6 +43,9 @@ _URL = re.compile(r"""[^\s"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s"'<>%]*)+""")
 _ESCAPED = re.compile(r"""(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:[^\s"'<>\\]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))*[^\s"'<>\\]*""")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++={0,2}(?=\W|$))+")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -83,21 +94,82 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r" or c == "\x7f")
-    return text if text and not odd else None
+    return text if text and not _ODD.search(text) else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        try:
-            return zlib.decompressobj(47).decompress(raw, INFLATED)
-        except zlib.error:
-            return None
-    return None
+class _Same:
+    """A place that all characters of an inflated layer have."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, _: int) -> int:
+        return self.place
 
 
-def _from_base64(text: str) -> tuple[str, str, list[int], list[int]] | None:
-    """(way, decoded, starts, ends); None if it decodes to no text."""
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def _members(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """The inflated bytes of all members of a compressed stream, up to its end or to the first fault."""
+    machine = zlib.decompressobj(47)
+    try:
+        for chunk in stream:
+            while chunk:
+                if machine.eof:
+                    if chunk[0] not in b"\x1f\x78":
+                        return
+                    machine = zlib.decompressobj(47)
+                if out := machine.decompress(chunk, STEP):
+                    yield out
+                chunk = machine.unused_data if machine.eof else machine.unconsumed_tail
+        while not machine.eof and (out := machine.decompress(b"", STEP)):
+            yield out
+    except zlib.error:
+        return
+
+
+def _pieces(stream: Iterator[bytes]) -> Iterator[str]:
+    """The text of a stream in pieces that overlap; ends where it is no text."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    held, n, new = [], 0, 0
+    try:
+        for chunk in stream:
+            held.append(decoder.decode(chunk))
+            n, new = n + len(held[-1]), new + len(held[-1])
+            if n >= INFLATED:
+                text = "".join(held)
+                if _ODD.search(text):
+                    return
+                yield text
+                held = [text[-OVERLAP:]]
+                n, new = len(held[0]), 0
+    except UnicodeDecodeError:
+        return
+    if new and not _ODD.search(text := "".join(held)):
+        yield text
+
+
+def _inflated(raw: bytes) -> tuple[str, Iterator[str]]:
+    """What was done to compressed bytes, and the pieces of text that they hold."""
+    way, head, stream = "", raw, (raw[i : i + STEP] for i in range(0, len(raw), STEP))
+    while _packed(head):
+        chunk = next(stream, b"")
+        inner = _members(chain([chunk], stream))
+        first = next(inner, b"")
+        if not first:  # text may look compressed: it begins with "x "
+            return way, _pieces(chain([chunk], stream))
+        while len(first) < STEP and (more := next(inner, b"")):
+            first += more
+        if first == head:  # bytes that inflate to themselves
+            return way, iter(())
+        way, head, stream = way + "/inflate", first, chain([first], inner)
+    return way, _pieces(stream)
+
+
+def _from_base64(text: str, places: list[int] | None = None) -> tuple | None:
+    """(way, decoded, starts, ends, further pieces); None if it decodes to no text. `places` are those of the characters."""
     body = text.rstrip("=")
     if len(body) % 4 == 1:
         return None
@@ -105,32 +177,76 @@ def _from_base64(text: str) -> tuple[str, str, list[int], list[int]] | None:
         raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
         return None
-    way, whole = "base64", False
-    while (more := _inflated(raw)) is not None:
-        raw, way, whole = more, way + "/inflate", True
+    if _packed(raw):
+        way, pieces = _inflated(raw)
+        if way and (out := next(pieces, None)) is None:
+            return None
+    else:
+        way = ""
+    if way:
+        return ("base64" + way, out, _Same(0), _Same(places[-1] + 1 if places else len(text)), pieces)
     if (out := _readable(raw)) is None:
         return None
-    if whole:
-        return way, out, [0] * len(out), [len(text)] * len(out)
     starts, ends, at = [], [], 0
     for c in out:
         n = len(c.encode("utf-8"))
         starts.append(at // 3 * 4 + at % 3), ends.append(min(len(text), (at + n - 1) // 3 * 4 + (at + n - 1) % 3 + 2))
         at += n
-    return way, out, starts, ends
-
-
-def _regions(text: str) -> Iterator[tuple[str, int, str, list[int], list[int]]]:
-    """(way, start in text, decoded, starts, ends) of each region that decodes to something else."""
+    if places:
+        starts, ends = [places[x] for x in starts], [places[x - 1] + 1 for x in ends]
+    return "base64", out, starts, ends, iter(())
+
+
+def _wrapped(text: str, m: re.Match) -> Iterator[tuple[int, int, tuple]]:
+    """(start, end, decoded) of the wrapped blocks of a run of lines: lines of one length, and a shorter last one.
+
+    The first line may begin after other words, so it may be shorter than the second.
+    """
+    lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+    k, failed = 0, []
+    while k + 1 < len(lines):
+        width = lines[k + 1][1] - lines[k + 1][0]
+        if lines[k + 1][1] == lines[-1][1] or width < lines[k][1] - lines[k][0]:
+            width = max(width, lines[k][1] - lines[k][0])
+        end = k + 1
+        while end < len(lines) and lines[end][1] - lines[end][0] == width and text[lines[end - 1][1] - 1] != "=":
+            end += 1
+        ways = [end] if end > k + 1 else []
+        if end < len(lines) and lines[end][1] - lines[end][0] < width and text[lines[end - 1][1] - 1] != "=":
+            ways = [end + 1, *ways]
+        for stop in ways:
+            places = [i for a, b in lines[k:stop] for i in range(a, b)]
+            first = places[0]
+            if x := _from_base64("".join(text[a:b] for a, b in lines[k:stop]), [i - first for i in places]):
+                yield first, places[-1] + 1, x
+                k = stop
+                break
+        else:
+            # The first line of a block may be another text's; what fails without it too is no block.
+            failed.append(end)
+            k = max(k + 1, end - 1) if failed[-2:] == [end, end] else k + 1
+
+
+def _regions(text: str) -> Iterator[tuple]:
+    """(way, start in text, decoded, starts, ends, further pieces) of each region that decodes to something else."""
     if "%" in text:
         for m in _URL.finditer(text):
             if (x := _percent(m[0])) and x[0] != m[0]:
-                yield "url", m.start(), *x
+                yield "url", m.start(), *x, iter(())
     if "\\" in text:
         for m in _ESCAPED.finditer(text):
-            yield "unicode", m.start(), *_unescaped(m[0])
+            yield "unicode", m.start(), *_unescaped(m[0]), iter(())
+    until = [(-1, -1)]
+    for m in _WRAPPED.finditer(text):
+        for a, b, x in _wrapped(text, m):
+            until.append((a, b))
+            yield x[0], a, *x[1:]
+    k = 0
     for m in _BASE64.finditer(text):
-        if x := _from_base64(m[0]):
+        while k + 1 < len(until) and until[k + 1][0] <= m.start():
+            k += 1
+        # The lines of a block are not decoded again one by one.
+        if not until[k][0] <= m.start() < until[k][1] and (x := _from_base64(m[0])):
             yield x[0], m.start(), *x[1:]
 
 
@@ -138,24 +254,41 @@ def layered(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, way, start, end) of all finds; way is empty for those of the text itself, else how it was decoded."""
     found = [(kind, "", a, b) for kind, a, b in scan(text)]
     seen = {hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()}
-    todo: list[tuple[str, str, list[int] | None, list[int] | None]] = [("", text, None, None)]
+
+    def look(out: str, path: str, own: tuple) -> bool:
+        """Scans a layer; False if it has been there already."""
+        mark = hashlib.blake2b(out.encode("utf-8", "replace") + str(own[0][0]).encode(), digest_size=16).digest()
+        if mark in seen:
+            return False
+        seen.add(mark)
+        for kind, a, b in scan(out):
+            first, last = own[0][a], own[1][b - 1]
+            if not any(k == kind and s < last and first < e for k, _, s, e in found):
+                found.append((kind, path, first, last))
+        return True
+
+    todo: list[tuple] = [("", text, None, iter(()))]
     while todo:
-        way, layer, froms, tos = todo.pop()
-        for how, at, out, starts, ends in _regions(layer):
-            mark = hashlib.blake2b(out.encode("utf-8", "replace") + str(froms[at] if froms else at).encode(), digest_size=16).digest()
-            if not out or mark in seen:
+        way, layer, own, rest = todo.pop()
+        if layer is None:  # one further piece at a time
+            if (layer := next(rest, None)) is None:
+                continue
+            todo.append((way, None, own, rest))
+            if not look(layer, way, own):
+                continue
+        for how, at, out, starts, ends, further in _regions(layer):
+            if not out:
                 continue
-            seen.add(mark)
-            if froms is None:
-                own = [at + x for x in starts], [at + x for x in ends]
+            if isinstance(starts, _Same):
+                last = at + ends[0]
+                mine = (_Same(at), _Same(last)) if own is None else (_Same(own[0][at]), _Same(own[1][last - 1]))
+            elif own is None:
+                mine = [at + x for x in starts], [at + x for x in ends]
             else:
-                own = [froms[at + x] for x in starts], [tos[max(at, at + x - 1)] for x in ends]
+                mine = [own[0][at + x] for x in starts], [own[1][max(at, at + x - 1)] for x in ends]
             path = f"{way}/{how}" if way else how
-            for kind, a, b in scan(out):
-                first, last = own[0][a], own[1][b - 1]
-                if not any(k == kind and s < last and first < e for k, _, s, e in found):
-                    found.append((kind, path, first, last))
-            todo.append((path, out, *own))
+            if look(out, path, mine):
+                todo += [(path, None, mine, further), (path, out, mine, iter(()))]
     return sorted(found, key=lambda x: (x[2], KINDS.index(x[0]), x[1], x[3]))
 
 

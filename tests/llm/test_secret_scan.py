@@ -37,3 +37,32 @@ def test_layers_map_to_the_text():
 def test_odd_rows(odd, nothing):
     assert secret_scan(odd).count() == odd.count() and secret_scan(nothing).count() == 0
     assert all(r["spans"] == [] for r in secret_scan(odd).where("doc_id in (2, 3, 4)").collect())
+
+
+def packed(*members):
+    return base64.b64encode(b"".join(gzip.compress(m.encode(), mtime=0) for m in members)).decode()
+
+
+def test_compressed_layers_are_read_to_the_end():
+    filler = "plain words and no more " * (1 << 20)  # 24 MiB
+    for region in (packed(filler + SECRET), packed("a" + "é" * (1 << 23) + SECRET), packed("first member ", SECRET), packed("é" + filler, filler + "é", SECRET)):
+        assert ("assign", "base64/inflate", 3, 3 + len(region)) in layered(f"at {region} end")
+    twice = base64.b64encode(gzip.compress(gzip.compress((filler + SECRET).encode()))).decode()
+    assert layered(twice) == [("assign", "base64/inflate/inflate", 0, len(twice))]
+
+
+def test_wrapped_base64():
+    words = " ".join(f"word{k * k}" for k in range(90))
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\n  "):
+            wrap = lambda x: end.join(x[k : k + width] for k in range(0, len(x), width))  # noqa: B023, E731
+            region = wrap(packed(words + SECRET))
+            assert ("assign", "base64/inflate", 7, 7 + len(region)) in layered(f"begin:\n{region}\nend of it")
+            for lead in range(30, 70, 3):  # the secret at many places about the line ends
+                text = "x" * lead + SECRET + words
+                clear = base64.b64encode(text.encode()).decode()
+                block = wrap(clear)
+                found = [f for f in layered(f"see\n{block}\nend") if f[0] == "assign"]
+                a, b = text.index("password"), text.index("12\" y") + 2
+                place = [4 + k for k, c in enumerate(block) if c not in " \r\n"]
+                assert found == [("assign", "base64", place[a // 3 * 4 + a % 3], place[(b - 1) // 3 * 4 + (b - 1) % 3 + 1] + 1)]
