@@ -1,16 +1,20 @@
 """Secret scans with a recursive decoding worklist.
 
-Three base kinds are searched in the text itself. Then regions that look encoded (URL percent escapes, \\u and \\x
-escapes, base64) are decoded to a new layer, compressed bytes are inflated, and each layer is scanned and searched for
-regions in turn, until none is new. A layer that the document has had already is not decoded again, which ends cycles.
-Each character of a layer knows the characters of the text that it came from, so finds are spans of the text.
+Three base kinds are searched in the text itself. Then the text is decoded to new layers: percent escapes and \\u and
+\\x escapes all over it, base64 region by region (wrapped lines joined first), and compressed bytes inflated. Each
+layer is scanned and decoded in turn until none is new. A layer that has been at its place already is not taken up
+again, and bytes that inflate to what they came from, over any number of steps, end there, so no cycle goes on.
 
-Base64 that is wrapped over lines is joined before it is decoded.
+Layers are decoded byte by byte where they are no UTF-8: odd bytes and control characters stand for themselves and
+hide nothing. Each layer knows how its places lie in the one before, so finds are spans of the text; all finds of an
+inflated layer have the span of the region that held it, each its own row. A find that lies within one of its kind
+that is there already (the same characters, met again after decoding their surroundings) is not told twice.
 
 Defined results: null and empty texts have no spans. Repeated rows each give their row. Compressed bytes are inflated
 to their end, all members of them, as a stream of pieces of INFLATED characters (a decompression bomb must not end an
 executor); each piece begins with the last OVERLAP characters of the one before. Only an encoded region that is longer
-than that and lies over such a border is decoded in parts. Texts and all other layers are read whole. Columns beside the id and the text are ignored whatever their names.
+than that and lies over such a border is decoded in parts. Texts and all other layers are read whole, in time that
+grows with their length. Columns beside the id and the text are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,10 @@ import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import chain
 
 import pyarrow as pa
@@ -34,18 +41,19 @@ INFLATED = 1 << 24
 OVERLAP = 1 << 20
 #: Bytes that are inflated at once.
 STEP = 1 << 16
+#: No secret has fewer characters.
+LEAST = 16
 KINDS = ("assign", "access", "hex")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_URL = re.compile(r"""[^\s"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s"'<>%]*)+""")
-_ESCAPED = re.compile(r"""(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})(?:[^\s"'<>\\]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))*[^\s"'<>\\]*""")
-_ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++={0,2}(?=\W|$))+")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
-_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -57,54 +65,120 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _percent(text: str) -> tuple[str, list[int], list[int]] | None:
-    """Decoded text, and for each of its characters the start and the end in `text`."""
-    out, starts, ends, i = [], [], [], 0
-    while i < len(text):
-        raw, j = bytearray(), i
-        while text[j : j + 1] == "%" and re.match(r"[0-9A-Fa-f]{2}", text[j + 1 : j + 3]):
-            raw.append(int(text[j + 1 : j + 3], 16))
-            j += 3
-        if not raw:
-            out.append(text[i]), starts.append(i), ends.append(i + 1)
-            i += 1
-            continue
-        at = i
-        for c in raw.decode("utf-8", "replace"):
-            n = len(c.encode("utf-8")) if c != "�" else 1
-            out.append(c), starts.append(min(at, j - 3)), ends.append(min(at + 3 * n, j))
-            at += 3 * n
-        i = j
-    return "".join(out), starts, ends
-
-
-def _unescaped(text: str) -> tuple[str, list[int], list[int]]:
-    out, starts, ends, at = [], [], [], 0
-    for m in [*_ONE_ESCAPE.finditer(text), None]:
-        for k in range(at, m.start() if m else len(text)):
-            out.append(text[k]), starts.append(k), ends.append(k + 1)
-        if m:
-            out.append(chr(int(m[1] or m[2], 16))), starts.append(m.start()), ends.append(m.end())
-            at = m.end()
-    return "".join(out), starts, ends
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not _ODD.search(text) else None
+def as_text(raw: bytes) -> str:
+    """Bytes as text; those that are no UTF-8 are a (surrogate) character each, so places can be told."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def size_of(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")) - 2 * sum(1 for c in text if "\udc80" <= c <= "\udcff")
+
+
+# Places -----------------------------------------------------------------------------------------------------------
+# Each maps a span of a layer to the span of the layer before that it was decoded from.
+
+
+@dataclass
+class Escaped:
+    """A text in which some runs were decoded: of each its place after and before decoding, what it became, and where
+    each of its characters ends before decoding, from the run's start on."""
+
+    after: list[int] = field(default_factory=list)
+    before: list[int] = field(default_factory=list)
+    runs: list[tuple[int, list[int] | None, str]] = field(default_factory=list)  # decoded length, ends, decoded
+
+    def place(self, at: int) -> tuple[int, int]:
+        """Start and end of the character at a place."""
+        k = bisect_right(self.after, at) - 1
+        if k < 0:
+            return at, at + 1
+        n, ends, made = self.runs[k]
+        if at >= self.after[k] + n:  # beyond the run: as it was
+            start = self.before[k] + ends[-1] + at - self.after[k] - n
+            return start, start + 1
+        j = at - self.after[k]
+        return self.before[k] + (ends[j - 1] if j else 0), self.before[k] + ends[j]
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return self.place(a)[0], self.place(b - 1)[1]
+
+
+@dataclass
+class FromBase64:
+    """A region's decoded bytes as text. places: those of the region's characters, if they do not follow on each other."""
 
+    text: str
+    at: int
+    length: int
+    places: list[int] | None = None
 
-class _Same:
-    """A place that all characters of an inflated layer have."""
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        first = size_of(self.text[:a])
+        last = first + size_of(self.text[a:b]) - 1
+        start, end = first // 3 * 4 + first % 3, min(self.length, last // 3 * 4 + last % 3 + 2)
+        return (self.at + start, self.at + end) if self.places is None else (self.places[start], self.places[end - 1] + 1)
 
-    def __init__(self, place: int):
-        self.place = place
 
-    def __getitem__(self, _: int) -> int:
-        return self.place
+@dataclass
+class Inflated:
+    """All that was packed in a region lies where the region does."""
+
+    start: int
+    end: int
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return self.start, self.end
+
+
+@dataclass
+class Layer:
+    text: str
+    way: str = ""
+    places: object = None
+    above: Layer | None = None
+
+    def in_text(self, a: int, b: int) -> tuple[int, int]:
+        """The span of the document's text that a span of this layer came from."""
+        layer = self
+        while layer.above is not None:
+            a, b = layer.places.span(a, b)
+            layer = layer.above
+        return a, b
+
+
+# Decoding ---------------------------------------------------------------------------------------------------------
+
+
+def _decoded(text: str, pattern: re.Pattern, decode) -> tuple[str, Escaped] | None:
+    """The text with all runs of escapes decoded; None if it has none."""
+    out, places, at, n = [], Escaped(), 0, 0
+    for m in pattern.finditer(text):
+        made, ends = decode(m[0])
+        out += [text[at : m.start()], made]
+        n += m.start() - at
+        places.after.append(n), places.before.append(m.start()), places.runs.append((len(made), ends, made))
+        n, at = n + len(made), m.end()
+    return ("".join([*out, text[at:]]), places) if at else None
+
+
+def _percent(run: str) -> tuple[str, list[int]]:
+    made, ends, at = as_text(bytes.fromhex(run.replace("%", ""))), [], 0
+    for c in made:
+        at += 3 * size_of(c)
+        ends.append(at)
+    return made, ends
+
+
+def _escapes(run: str) -> tuple[str, list[int]]:
+    """Two \\u escapes that are a pair of surrogates are one character."""
+    made, ends = [], []
+    for m in _ONE_ESCAPE.finditer(run):
+        c = int(m[1] or m[2], 16)
+        if made and 0xDC00 <= c < 0xE000 and 0xD800 <= ord(made[-1]) < 0xDC00:
+            made[-1], ends[-1] = chr(0x10000 + ((ord(made[-1]) - 0xD800) << 10) + c - 0xDC00), m.end()
+        else:
+            made.append(chr(c)), ends.append(m.end())
+    return "".join(made), ends
 
 
 def _packed(raw: bytes) -> bool:
@@ -131,30 +205,32 @@ def _members(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _pieces(stream: Iterator[bytes]) -> Iterator[str]:
-    """The text of a stream in pieces that overlap; ends where it is no text."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
+    """The text of a stream in pieces that overlap."""
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
     held, n, new = [], 0, 0
-    try:
-        for chunk in stream:
-            held.append(decoder.decode(chunk))
-            n, new = n + len(held[-1]), new + len(held[-1])
-            if n >= INFLATED:
-                text = "".join(held)
-                if _ODD.search(text):
-                    return
-                yield text
-                held = [text[-OVERLAP:]]
-                n, new = len(held[0]), 0
-    except UnicodeDecodeError:
-        return
-    if new and not _ODD.search(text := "".join(held)):
-        yield text
+    for chunk in stream:
+        held.append(decoder.decode(chunk))
+        n, new = n + len(held[-1]), new + len(held[-1])
+        if n >= INFLATED:
+            text = "".join(held)
+            yield text
+            held = [text[-OVERLAP:]]
+            n, new = len(held[0]), 0
+    held.append(decoder.decode(b"", True))
+    if new + len(held[-1]):
+        yield "".join(held)
 
 
 def _inflated(raw: bytes) -> tuple[str, Iterator[str]]:
     """What was done to compressed bytes, and the pieces of text that they hold."""
-    way, head, stream = "", raw, (raw[i : i + STEP] for i in range(0, len(raw), STEP))
+    way, head, stream = "", raw[:STEP], (raw[i : i + STEP] for i in range(0, len(raw), STEP))
+    seen = set()
     while _packed(head):
+        # What follows is settled by these bytes: the same ones again would go on for ever.
+        mark = hashlib.blake2b(head, digest_size=16).digest()
+        if mark in seen:
+            return way, iter(())
+        seen.add(mark)
         chunk = next(stream, b"")
         inner = _members(chain([chunk], stream))
         first = next(inner, b"")
@@ -162,14 +238,12 @@ def _inflated(raw: bytes) -> tuple[str, Iterator[str]]:
             return way, _pieces(chain([chunk], stream))
         while len(first) < STEP and (more := next(inner, b"")):
             first += more
-        if first == head:  # bytes that inflate to themselves
-            return way, iter(())
-        way, head, stream = way + "/inflate", first, chain([first], inner)
+        way, head, stream = way + "/inflate", first[:STEP], chain([first], inner)
     return way, _pieces(stream)
 
 
-def _from_base64(text: str, places: list[int] | None = None) -> tuple | None:
-    """(way, decoded, starts, ends, further pieces); None if it decodes to no text. `places` are those of the characters."""
+def _from_base64(text: str) -> tuple[str, str | Iterator[str]] | None:
+    """(way, the text decoded, or the pieces of what was packed); None for what is no base64 or is too short to matter."""
     body = text.rstrip("=")
     if len(body) % 4 == 1:
         return None
@@ -179,26 +253,20 @@ def _from_base64(text: str, places: list[int] | None = None) -> tuple | None:
         return None
     if _packed(raw):
         way, pieces = _inflated(raw)
-        if way and (out := next(pieces, None)) is None:
-            return None
-    else:
-        way = ""
-    if way:
-        return ("base64" + way, out, _Same(0), _Same(places[-1] + 1 if places else len(text)), pieces)
-    if (out := _readable(raw)) is None:
-        return None
-    starts, ends, at = [], [], 0
-    for c in out:
-        n = len(c.encode("utf-8"))
-        starts.append(at // 3 * 4 + at % 3), ends.append(min(len(text), (at + n - 1) // 3 * 4 + (at + n - 1) % 3 + 2))
-        at += n
-    if places:
-        starts, ends = [places[x] for x in starts], [places[x - 1] + 1 for x in ends]
-    return "base64", out, starts, ends, iter(())
+        if way:
+            return "base64" + way, pieces
+    return ("base64", as_text(raw)) if len(raw) >= LEAST else None
+
 
+def _likely(found: tuple[str, str | Iterator[str]] | None) -> bool:
+    """Whether decoded bytes are packed ones or mostly text, so the lines that they came from belong together."""
+    if not found or not isinstance(found[1], str):
+        return bool(found)
+    return sum(map(str.isprintable, found[1])) + sum(map(found[1].count, "\n\r\t")) >= 0.7 * len(found[1])
 
-def _wrapped(text: str, m: re.Match) -> Iterator[tuple[int, int, tuple]]:
-    """(start, end, decoded) of the wrapped blocks of a run of lines: lines of one length, and a shorter last one.
+
+def _wrapped(text: str, m: re.Match) -> Iterator[tuple[list[tuple[int, int]], tuple]]:
+    """(lines, decoded) of the wrapped blocks of a run of lines: lines of one length, and a shorter last one.
 
     The first line may begin after other words, so it may be shorter than the second.
     """
@@ -215,80 +283,109 @@ def _wrapped(text: str, m: re.Match) -> Iterator[tuple[int, int, tuple]]:
         if end < len(lines) and lines[end][1] - lines[end][0] < width and text[lines[end - 1][1] - 1] != "=":
             ways = [end + 1, *ways]
         for stop in ways:
-            places = [i for a, b in lines[k:stop] for i in range(a, b)]
-            first = places[0]
-            if x := _from_base64("".join(text[a:b] for a, b in lines[k:stop]), [i - first for i in places]):
-                yield first, places[-1] + 1, x
+            found = _from_base64("".join(text[a:b] for a, b in lines[k:stop]))
+            if _likely(found):
+                yield lines[k:stop], found
                 k = stop
                 break
         else:
-            # The first line of a block may be another text's; what fails without it too is no block.
+            # The first line of a block may be another text's; what fails without it too is no block of text, and its
+            # bytes are looked through as they are.
             failed.append(end)
-            k = max(k + 1, end - 1) if failed[-2:] == [end, end] else k + 1
-
-
-def _regions(text: str) -> Iterator[tuple]:
-    """(way, start in text, decoded, starts, ends, further pieces) of each region that decodes to something else."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            if (x := _percent(m[0])) and x[0] != m[0]:
-                yield "url", m.start(), *x, iter(())
-    if "\\" in text:
-        for m in _ESCAPED.finditer(text):
-            yield "unicode", m.start(), *_unescaped(m[0]), iter(())
-    until = [(-1, -1)]
+            if failed[-2:] == [end, end]:
+                for stop in ways[:1]:
+                    if found := _from_base64("".join(text[a:b] for a, b in lines[k:stop])):
+                        yield lines[k:stop], found
+                k = max(k + 1, end - 1)
+            else:
+                k += 1
+
+
+def _layers(above: Layer) -> Iterator[tuple[Layer, Iterator[str] | None]]:
+    """The layers below one, and of an inflated one the pieces of its text."""
+    text, way = above.text, f"{above.way}/" if above.way else ""
+    if "%" in text and (x := _decoded(text, _PERCENT, _percent)):
+        yield Layer(x[0], way + "url", x[1], above), None
+    if "\\" in text and (x := _decoded(text, _ESCAPES, _escapes)):
+        yield Layer(x[0], way + "unicode", x[1], above), None
+
+    def region(found: tuple, start: int, end: int, places: list[int] | None) -> tuple[Layer, Iterator[str] | None]:
+        how, made = found
+        if isinstance(made, str):
+            length = len(places) if places else end - start
+            return Layer(made, way + how, FromBase64(made, start, length, places), above), None
+        return Layer("", way + how, Inflated(start, end), above), made
+
+    done = [(-1, -1)]
     for m in _WRAPPED.finditer(text):
-        for a, b, x in _wrapped(text, m):
-            until.append((a, b))
-            yield x[0], a, *x[1:]
+        for lines, found in _wrapped(text, m):
+            done.append((lines[0][0], lines[-1][1]))
+            yield region(found, *done[-1], [i for a, b in lines for i in range(a, b)])
     k = 0
     for m in _BASE64.finditer(text):
-        while k + 1 < len(until) and until[k + 1][0] <= m.start():
+        while k + 1 < len(done) and done[k + 1][0] <= m.start():
             k += 1
         # The lines of a block are not decoded again one by one.
-        if not until[k][0] <= m.start() < until[k][1] and (x := _from_base64(m[0])):
-            yield x[0], m.start(), *x[1:]
+        if not done[k][0] <= m.start() < done[k][1] and (found := _from_base64(m[0])):
+            yield region(found, *m.span(), None)
+
+
+class _Spans:
+    """Spans of one kind, none within another: whether a new one lies within one of them."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> bool:
+        """False if it lies within one that is there."""
+        k = bisect_right(self.starts, a) - 1
+        if k >= 0 and self.ends[k] >= b:
+            return False
+        first = bisect_left(self.starts, a)
+        last = max(first, bisect_right(self.ends, b))  # these lie within the new one
+        self.starts[first:last], self.ends[first:last] = [a], [b]
+        return True
 
 
 def layered(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, way, start, end) of all finds; way is empty for those of the text itself, else how it was decoded."""
-    found = [(kind, "", a, b) for kind, a, b in scan(text)]
-    seen = {hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()}
-
-    def look(out: str, path: str, own: tuple) -> bool:
-        """Scans a layer; False if it has been there already."""
-        mark = hashlib.blake2b(out.encode("utf-8", "replace") + str(own[0][0]).encode(), digest_size=16).digest()
-        if mark in seen:
+    found: list[tuple[str, str, int, int]] = []
+    spans = {k: _Spans() for k in KINDS}
+    seen: set[tuple[int, bytes]] = set()
+
+    def new(layer: Layer) -> bool:
+        """Scans a layer; False if it has been at its place already."""
+        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        place = layer.in_text(0, 1)[0] if layer.text else 0
+        if (place, mark) in seen:
             return False
-        seen.add(mark)
-        for kind, a, b in scan(out):
-            first, last = own[0][a], own[1][b - 1]
-            if not any(k == kind and s < last and first < e for k, _, s, e in found):
-                found.append((kind, path, first, last))
+        seen.add((place, mark))
+        own = [(kind, *layer.in_text(a, b)) for kind, a, b in scan(layer.text)] if len(layer.text) >= LEAST else []
+        fresh = [s for s in own if spans[s[0]].add(*s[1:])] if not isinstance(layer.places, Inflated) else own
+        found.extend((kind, layer.way, a, b) for kind, a, b in fresh)
         return True
 
-    todo: list[tuple] = [("", text, None, iter(()))]
+    # Layers are taken up in the order of their depth, so a find is told by its shortest way; of an inflated one, a
+    # piece and all below it is done before the next piece is read.
+    root = Layer(text)
+    new(root)
+    todo: list[tuple[deque[Layer], list]] = [(deque([root]), [iter(())])]
     while todo:
-        way, layer, own, rest = todo.pop()
-        if layer is None:  # one further piece at a time
-            if (layer := next(rest, None)) is None:
-                continue
-            todo.append((way, None, own, rest))
-            if not look(layer, way, own):
-                continue
-        for how, at, out, starts, ends, further in _regions(layer):
-            if not out:
-                continue
-            if isinstance(starts, _Same):
-                last = at + ends[0]
-                mine = (_Same(at), _Same(last)) if own is None else (_Same(own[0][at]), _Same(own[1][last - 1]))
-            elif own is None:
-                mine = [at + x for x in starts], [at + x for x in ends]
+        queue, now = todo[-1]
+        if (step := next(now[0], None)) is None:
+            if queue:
+                now[0] = _layers(queue.popleft())
             else:
-                mine = [own[0][at + x] for x in starts], [own[1][max(at, at + x - 1)] for x in ends]
-            path = f"{way}/{how}" if way else how
-            if look(out, path, mine):
-                todo += [(path, None, mine, further), (path, out, mine, iter(()))]
+                todo.pop()
+        elif isinstance(step, Layer):
+            if new(step):
+                todo.append((deque([step]), [iter(())]))
+        elif step[1] is not None:
+            above, pieces = step
+            todo.append((deque(), [(Layer(x, a.way, a.places, a.above) for a in [above] for x in pieces)]))
+        elif new(step[0]):
+            queue.append(step[0])
     return sorted(found, key=lambda x: (x[2], KINDS.index(x[0]), x[1], x[3]))
 
 
