@@ -4,8 +4,9 @@ A page is read to leaf blocks of text. Each block is a vector of its hashed tag
 ids and roles), its hashed words and a few figures; a bidirectional LSTM in numpy reads the whole sequence, so each
 block is judged in the context of the page. Blocks labelled as main text are joined by line ends in page order.
 
-The labeller is trained on the driver by fit(), from pages that html_training makes by rule, with a fixed seed: it is
-the same each time, is of a fixed size (some 200 kB) and goes to the workers with the job.
+The labeller is trained by fit() on pages that html_training makes by rule, with a fixed seed. That takes some four
+minutes, so its weights (some 150 kB) lie beside this module; `python -m leafmill.llm.html_extract` makes them anew.
+They go to the workers with the job.
 
 Defined results: null and empty pages give an empty text, as do pages without main text. Repeated rows each give
 their row, an empty table gives none. Pages are read whole, whatever their length. Columns beside the three are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,45 +26,70 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import small_batches, table
 from leafmill.llm.html_blocks import Block, blocks
+from leafmill.llm.html_blocks import Path as Element
 from leafmill.llm.html_training import Maker
 
 PATH, WORDS, FIGURES, HIDDEN = 384, 32, 8, 24
-TRAINING_PAGES = 3000
-EPOCHS = 8
+TRAINING_PAGES = 10_000
+EPOCHS = 10
 #: What a page's texts weigh against its tags: words of pages to come are mostly unknown.
 TEXT_WEIGHT = 0.12
+#: What a block's share of linked characters weighs among its figures.
+LINK_WEIGHT = 6
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
+MARKS = b".,:;!?*%$&|"
 
 
 @lru_cache(maxsize=200_000)
-def slot(token: str, size: int) -> tuple[int, float]:
+def slot(token: str) -> tuple[int, float]:
     h = zlib.crc32(token.encode("utf-8", "replace"))
-    return h % size, 1.0 if h >> 31 else -1.0
+    return h % PATH, 1.0 if h >> 31 else -1.0
 
 
-@lru_cache(maxsize=20_000)
-def path_vector(tags: tuple[str, ...], names: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, dtype=np.float32)
-    tokens = {f"t:{t}" for t in tags} | {f"n:{n}" for n in names} | {f"l:{tags[-1] if tags else ''}", f"p:{'/'.join(tags[-2:])}"}
-    for t in tokens:
-        k, sign = slot(t, PATH)
-        v[k] += sign
-    return v
+def path_vector(path: Element) -> np.ndarray:
+    """The summed tokens of an element and all around it, and its last tags."""
+    todo = []
+    while path.vector is None:
+        todo.append(path)
+        if path.above is None:
+            path.vector = np.zeros(PATH, dtype=np.float32)
+        else:
+            path = path.above
+    for p in reversed(todo):
+        v = p.vector = (p.above.vector if p.above else p.vector).copy()
+        for sign, tokens in ((-1, () if p.above is None else last_tags(p.above)), (1, (*p.tokens, *last_tags(p)))):
+            for t in tokens:
+                k, way = slot(t)
+                v[k] += sign * way
+    return path.vector if not todo else todo[0].vector
 
 
-def vector(b: Block, place: float) -> np.ndarray:
-    words = b.text.lower().split()
-    seen = sorted(set(words[:64]))[:32]
-    w = np.zeros(WORDS, dtype=np.float32)
-    for x in seen:
-        k, sign = slot(x.strip(".,:;!?*%$&|"), WORDS) if len(x) < 24 else (0, 0.0)
-        w[k] += sign
-    n = len(b.text)
-    figures = np.array([np.log1p(n) / 8, np.log1p(len(words)) / 5, min(1.0, b.linked / n), b.text[-1] in ".!?", len(b.tags) / 10, place, "©" in b.text, 1], dtype=np.float32)
-    return np.concatenate([path_vector(b.tags, b.names), TEXT_WEIGHT / np.sqrt(max(1, len(seen))) * w, TEXT_WEIGHT * figures])
+def last_tags(path: Element) -> tuple[str, str]:
+    return f"l:{''.join(path.tags[-1:])}", f"p:{'/'.join(path.tags)}"
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    return np.array([vector(b, k / len(page)) for k, b in enumerate(page)], dtype=np.float32).reshape(len(page), PATH + WORDS + FIGURES)
+    x = np.zeros((len(page), PATH + WORDS + FIGURES), dtype=np.float32)
+    hashes, sizes, figures = [], [], []
+    for k, b in enumerate(page):
+        x[k, :PATH] = b.path.vector if b.path.vector is not None else path_vector(b.path)
+        # Distinct words of the whole block.
+        words = set(b.text.lower().encode("utf-8", "replace").translate(None, MARKS).split())
+        hashes += map(zlib.crc32, words)
+        sizes.append(len(words))
+        n = len(b.text)
+        figures.append((n, b.text.count(" "), min(1.0, b.linked / n), b.text[-1] in ".!?", min(50, b.path.depth) / 10, k / len(page), "©" in b.text, 1))
+    if not page:
+        return x
+    h = np.array(hashes, dtype=np.int64)
+    count = np.array(sizes)
+    at = np.repeat(np.arange(len(page)) * WORDS, count) + h % WORDS
+    words = np.bincount(at, np.where(h >> 31, 1.0, -1.0), len(page) * WORDS).reshape(-1, WORDS)
+    x[:, PATH : PATH + WORDS] = TEXT_WEIGHT * words / np.sqrt(np.maximum(1, count))[:, None]
+    f = np.array(figures, dtype=np.float32)
+    f[:, 0], f[:, 1], f[:, 2] = np.log1p(f[:, 0]) / 8, np.log1p(f[:, 1]) / 5, LINK_WEIGHT * f[:, 2]
+    x[:, PATH + WORDS :] = TEXT_WEIGHT * f
+    return x
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -82,8 +109,8 @@ class Labeller:
             self.w |= {f"{k}x": rng.normal(0, 1 / np.sqrt(d), (d, 4 * h)), f"{k}h": rng.normal(0, 1 / np.sqrt(h), (h, 4 * h)), f"{k}_b": bias}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _run(self, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """x: time x pages x inputs; states beyond a page's end stay as they are."""
+    def _run(self, side: str, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """x: time x pages x inputs; states beyond a page's end stay as they are. keep: gates too, for gradients."""
         t, b, _ = x.shape
         z = (x.reshape(t * b, -1) @ self.w[f"{side}x"] + self.w[f"{side}_b"]).reshape(t, b, -1)
         h = c = np.zeros((b, HIDDEN), dtype=np.float32)
@@ -94,7 +121,8 @@ class Labeller:
             m = mask[k][:, None]
             c_new = f * c + i * g
             tc = np.tanh(c_new)
-            kept.append((k, h, c, i, f, o, g, tc, m))
+            if keep:
+                kept.append((k, h, c, i, f, o, g, tc, m))
             c, h = np.where(m, c_new, c), np.where(m, o * tc, h)
             out[k] = h
         return out, kept
@@ -105,7 +133,7 @@ class Labeller:
         return (both @ self.w["out"] + self.w["out_b"])[:, :, 0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        runs = {k: self._run(k, x, mask) for k in "fb"}
+        runs = {k: self._run(k, x, mask, keep=True) for k in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         p = sigmoid((both @ self.w["out"] + self.w["out_b"])[:, :, 0])
         n = mask.sum()
@@ -153,7 +181,6 @@ def labelled(seed: int, pages: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-@cache
 def fit(seed: int = 3, pages: int = TRAINING_PAGES, epochs: int = EPOCHS) -> Labeller:
     """The labeller, trained by Adam on made pages of like length together."""
     data = sorted(labelled(seed, pages), key=lambda d: len(d[0]))
@@ -177,6 +204,15 @@ def fit(seed: int = 3, pages: int = TRAINING_PAGES, epochs: int = EPOCHS) -> Lab
     return model
 
 
+@cache
+def shipped() -> Labeller:
+    """The labeller with the weights beside this module."""
+    model = Labeller()
+    with np.load(WEIGHTS) as held:
+        model.w = {k: held[k].astype(np.float32) for k in model.w}
+    return model
+
+
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     """The main text of each page. Pages of like length are labelled together, up to some 50,000 blocks at once."""
     read = [blocks(p) for p in pages]
@@ -194,7 +230,7 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
 def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url and text (the main text), for each row."""
     small_batches(pages.sparkSession)
-    shared = model or fit()
+    shared = model or shipped()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,3 +243,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in fit().w.items()})

@@ -11,19 +11,22 @@ NOTICE = ["We use cookies to improve your experience.", "This site uses cookies.
 ADVERT = ["Advertisement", "Sponsored", "Buy now and save 50%", "{s}", "{s} {s}", "Limited offer: {s}"]
 COMMENT = ["{w} says:", "Reply", "{s}", "{s} {s}", "3 comments", "Posted by {w} on 12 May", "Leave a comment", "Great article, thanks!"]
 FORM = ["Name", "Email", "Message", "Send", "Your name", "Subscribe", "Search", "Submit", "Password", "{s}"]
-#: What a page has beside its article: texts, tags that may hold them, and names of classes and ids.
+TEASER = ["{s}", "Read more", "Related: {s}", "{s} {s}", "More on {w}", "You may also like"]
+#: What a page has beside its article: texts, tags that may hold them, and names of classes and ids, in some languages.
 CHROME = {
-    "menu": (MENU, ["nav", "div", "ul", "section"], "menu nav navbar navigation main-nav topnav breadcrumb breadcrumbs tabs toolbar pagination pager site-nav links skip share social toc"),
-    "header": (MENU + ["{s}", "{W}"], ["header", "div"], "header masthead site-header top topbar banner logo branding page-header head hero"),
-    "footer": (FOOT, ["footer", "div", "section"], "footer site-footer bottom foot colophon copyright legal credits footer-links"),
-    "sidebar": (MENU + ["{s}", "Related articles", "Popular posts", "Tags"], ["aside", "div", "section"], "sidebar side aside widget related recommended secondary rail right-column popular trending tags categories more-stories"),
-    "notice": (NOTICE, ["div", "section", "aside", "dialog", "p"], "cookie cookies consent notice alert banner gdpr popup modal overlay newsletter message warning cookie-banner promo-bar disclaimer"),
-    "advert": (ADVERT, ["div", "aside", "section", "ins"], "ad ads advert advertisement sponsor sponsored promo banner-ad adsbox ad-slot ad-container google-ad commercial promotion"),
-    "form": (FORM, ["form", "div"], "form search search-form login signup contact-form subscribe newsletter-form searchbox field"),
-    "comments": (COMMENT, ["section", "div", "aside", "ol", "article"], "comments comment comment-list responses discussion disqus replies comment-body reader-comments user-comments"),
+    "menu": (MENU, ["nav", "div", "ul", "section", "table"], "menu nav navbar navigation main-nav topnav breadcrumb breadcrumbs tabs toolbar pagination pager site-nav links skip share social toc hauptmenü navigazione rubriques"),
+    "header": (MENU + ["{s}", "{W}"], ["header", "div"], "header masthead site-header top topbar banner logo branding page-header head hero kopfzeile entete cabecera"),
+    "footer": (FOOT, ["footer", "div", "section"], "footer site-footer bottom foot colophon copyright legal credits footer-links pied fusszeile pie impressum"),
+    "sidebar": (MENU + ["{s}", "Related articles", "Popular posts", "Tags"], ["aside", "div", "section"], "sidebar side aside widget related recommended secondary rail right-column popular trending tags categories more-stories seitenleiste barre-laterale"),
+    "teaser": (TEASER, ["div", "section", "ul"], "teaser teasers related-links related-posts read-next more-news promo-list recommendations verwandt lire-aussi relacionados card-list"),
+    "notice": (NOTICE, ["div", "section", "aside", "dialog", "p"], "cookie cookies consent notice alert banner gdpr popup modal overlay newsletter message warning cookie-banner promo-bar disclaimer hinweis avertissement aviso"),
+    "advert": (ADVERT, ["div", "aside", "section", "ins"], "ad ads advert advertisement sponsor sponsored promo banner-ad adsbox ad-slot ad-container google-ad commercial promotion anzeige werbung publicite pub publicidad"),
+    "form": (FORM, ["form", "div"], "form search search-form login signup contact-form subscribe newsletter-form searchbox field suche recherche buscar"),
+    "comments": (COMMENT, ["section", "div", "aside", "ol", "article"], "comments comment comment-list responses discussion disqus replies comment-body reader-comments user-comments commentaires commentaire kommentare kommentar comentarios comentario reacties avis reviews leserbriefe"),
 }
-#: Elements that hold an article, and names they may have.
-HOLDERS = [("article", ""), ("main", ""), ("article", "post"), ("article", "entry"), ("div", "content"), ("div", "article"), ("div", "post-content"), ("div", "entry-content"), ("div", "main-content"), ("section", "article-body"), ("div", "story"), ("main", "content"), ("div", "text"), ("div", "post"), ("div", "body")]
+#: Elements that hold an article, and names they may have; only the first two may have none.
+HOLDERS = ["article", "main", "div", "section"]
+HOLDER_NAMES = "post entry content article post-content entry-content main-content article-body story text body main page-content single hentry artikel contenu contenido blog-post document".split()
 
 
 class Maker:
@@ -62,19 +65,28 @@ class Maker:
             text += f' <a href="/{self.word()}">{self.sentence(1, 4)}</a>'
         return text + ("<br>" if self.r.random() < 0.1 else "")
 
+    def linked(self, text: str) -> str:
+        return f'<a href="/{self.word()}">{text}</a>'
+
     def chrome(self, kind: str, inside: bool = False) -> str:
         texts, tags, names = CHROME[kind]
         tag = self.r.choice(tags)
+        if kind in ("menu", "teaser") and self.r.random() < 0.25:
+            return self.links_alone(texts)
         # Without a telling tag (and inside an article) the name must tell.
         told = tag in ("nav", "header", "footer", "aside", "form") and not (inside and tag in ("header", "footer"))
         attribute = self.attribute(names, not told)
         items = [self.filled(self.r.choice(texts)) for _ in range(self.r.randint(1, 6))]
         shape = self.r.random()
-        link = lambda t: f'<a href="/{self.word()}">{t}</a>' if kind in ("menu", "sidebar", "header") or self.r.random() < 0.2 else t
-        if tag == "p" or kind == "advert" and shape < 0.6:
+        link = lambda t: self.linked(t) if kind in ("menu", "sidebar", "header", "teaser") or self.r.random() < 0.2 else t
+        if tag == "table":
+            body = "".join("<tr>" * (not k or shape < 0.5) + f"<td>{link(t)}</td>" for k, t in enumerate(items))
+        elif tag == "p" or kind == "advert" and shape < 0.6:
             body = self.filled(self.r.choice(texts))
         elif kind == "form":
             body = "".join(f"<label>{t}</label><input>" if self.r.random() < 0.5 else f"<p>{t}<input></p>" for t in items) + "<button>Send</button>"
+        elif kind == "teaser" and tag != "ul" and shape < 0.6:
+            body = "".join(f"<{h}>{link(t)}</{h}>" + (f"<p>{self.sentence()}</p>" if self.r.random() < 0.6 else "") for t in items for h in [self.r.choice(["h2", "h3", "h4", "strong"])])
         elif tag in ("ul", "ol") or shape < 0.45:
             rows = "".join(f"<li>{link(t)}" + ("</li>" if self.r.random() < 0.8 else "") for t in items)
             body = rows if tag in ("ul", "ol") else f"<ul>{rows}</ul>"
@@ -82,10 +94,23 @@ class Maker:
             body = " ".join(link(t) for t in items)
         else:
             body = "".join(f"<{x}>{link(t)}</{x}>" for t in items for x in [self.r.choice(["p", "div", "h3", "span", "p"])])
-        if kind in ("sidebar", "comments", "footer") and self.r.random() < 0.4:
-            body = f"<h3>{self.filled(self.r.choice(texts))}</h3>" + body
+        if kind == "header" and self.r.random() < 0.5:
+            body = f"<{(h := self.r.choice(['h1', 'h1', 'h2', 'p', 'strong']))}>{self.filled('{s}')}</{h}>" + body * (self.r.random() < 0.6)
+        if kind in ("sidebar", "comments", "footer", "teaser") and self.r.random() < 0.4:
+            body = f"<{(h := self.r.choice(['h2', 'h3']))}>{self.filled(self.r.choice(texts))}</{h}>" + body
         return f"<{tag}{attribute}>{body}</{tag}>"
 
+    def links_alone(self, texts: list[str]) -> str:
+        """Short texts that are all links, where no tag or name says what they are."""
+        items = [self.linked(self.filled(self.r.choice(texts))) for _ in range(self.r.randint(3, 9))]
+        name = f' class="{self.word()}"' if self.r.random() < 0.5 else ""
+        shape = self.r.random()
+        if shape < 0.35:
+            return f"<table{name}>" + "".join("<tr>" * (not k or shape < 0.15) + f"<td>{t}" for k, t in enumerate(items)) + "</table>"
+        if shape < 0.7:
+            return f"<ul{name}>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>"
+        return f"<div{name}>" + "".join(f"<{x}>{t}</{x}>" for t in items for x in [self.r.choice(["div", "p", "span"])]) + "</div>"
+
     def article(self) -> list[str]:
         parts = [f"<h1>{self.sentence(1, 14)}</h1>"] if self.r.random() < 0.8 else []
         for _ in range(self.r.choice((1, 1, 2, 3, 4, 5, 6, 8, 12, 30))):
@@ -110,21 +135,27 @@ class Maker:
         r = self.r
         article = self.article()
         inner = list(article)
-        for kind in ("advert", "menu", "notice", "form", "comments", "sidebar"):
+        for kind in ("advert", "menu", "notice", "form", "comments", "sidebar", "teaser"):
             if r.random() < 0.1:
                 inner.insert(r.randint(0, len(inner)), self.chrome(kind, inside=True))
-        tag, name = r.choice(HOLDERS)
+        tag = r.choice(HOLDERS)
+        name = "" if tag in HOLDERS[:2] and r.random() < 0.5 else r.choice(HOLDER_NAMES)
         body = "".join(inner)
         if r.random() < 0.15:
             body = f"<div>{body}</div>"
         if tag == "main" and r.random() < 0.5:
             body = f"<article>{body}</article>"
-        holder = f"<{tag}" + (f' {r.choice(["class", "id"])}="{name}"' if name else "") + f">{body}</{tag}>"
+        bare = r.random() < 0.1  # nothing holds the article
+        holder = body if bare else f"<{tag}" + (f' {r.choice(["class", "id"])}="{name}"' if name else "") + f">{body}</{tag}>"
         before = [self.chrome(k) for k in ("notice", "header", "menu", "menu", "advert", "form", "sidebar") if r.random() < 0.45]
-        after = [self.chrome(k) for k in ("comments", "sidebar", "advert", "form", "footer", "notice", "menu") if r.random() < 0.45]
+        after = [self.chrome(k) for k in ("comments", "teaser", "sidebar", "advert", "form", "footer", "notice", "menu") if r.random() < 0.45]
         r.shuffle(before) if r.random() < 0.3 else None
         if r.random() < 0.15:
             before, after = [], after
+        rows = r.random() < 0.06  # a table that lays out the page
+        if rows:
+            before, after = [f"<tr><td>{x}</td></tr>" if r.random() < 0.5 else f"<td>{x}</td>" for x in before], [f"<td>{x}</td>" for x in after]
+            holder, before, after = f"<td>{holder}</td>", ["<table>", *before], [*after, "</table>"]
         script = '<script>var t="</p>";</script>' if r.random() < 0.5 else ""
         frame = ["<div id=\"page\" class=\"wrapper\">", "</div>"] if r.random() < 0.3 else ["", ""]
         return f"<!DOCTYPE html><html><head><title>{self.sentence(1, 8)}</title>{script}</head><body>{frame[0]}{''.join(before)}{holder}{''.join(after)}{frame[1]}</body></html>", "".join(article)
