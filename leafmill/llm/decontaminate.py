@@ -7,7 +7,10 @@ that it stands for, and these are looked up among the benchmark's distinct windo
 ten words are windows of their own length; documents' places whose first word starts such an item are extended alike.
 
 The benchmark's tables are broadcast only if their rows are counted and at most BROADCAST_ROWS, else joined by shuffle.
-Documents' rows are dealt anew but once, as one row for each document and one for each hit.
+Documents' rows are dealt anew but once, as one row for each document and one for each hit. A document's own row goes
+through the joins under a key of its own, which no benchmark row has, so all are spread evenly. Words that begin a
+short item are looked for in the document's words at hand, where the distinct ones are at most FIRST_WORDS, so just
+their places become rows.
 
 Defined results: null and word-less texts have n_words 0 and are clean; a null or word-less item has no window.
 Repeated rows of one id and text stay as many rows; rows of one id with different texts are judged apart. An empty
@@ -24,6 +27,8 @@ from leafmill.llm.common import checkpointed, table
 GRAM = 5
 #: Rows of a benchmark table that may be broadcast (some 100 bytes each).
 BROADCAST_ROWS = 200_000
+#: Distinct first words of short items that are compared in place.
+FIRST_WORDS = 1000
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -96,40 +101,45 @@ def benchmark_windows(items: DataFrame, item_id: str, text_col: str, window: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """id, n_words, spans (sorted starts and widths of hits, in words), n_hit, items and contaminated, for each row."""
+    """id, text_hash, n_words, spans (sorted starts and widths of hits, in words), n_hit, items and contaminated, for each row."""
     windows = benchmark_windows(benchmark, item_id, item_text, window)
     keys = held(windows.select("k1", "k2", "items"))
     widths = sorted(r[0] for r in windows.select(F.size("of")).distinct().collect() if r[0] < window)
     full = with_winnowed(windows.where(F.size("of") == window).select("of"), "of", window)
     prints = full.select(F.get("least", F.lit(0)).alias("h"), F.lit(0).alias("short"))
     firsts = windows.where(F.size("of") < window).select(F.get("of", F.lit(0)).alias("h"), F.lit(1).alias("short"))
+    begins = [r["h"] for r in firsts.select("h").distinct().limit(FIRST_WORDS + 1).collect()]
     prints = held(prints.unionAll(firsts).distinct().withColumn("met", F.lit(True)))
 
     w, n = F.col("words"), F.size("words")
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), word_hashes(F.col(text_col)).alias("words"))
     base = with_winnowed(base, "words", window)
-    # A row of the document itself (no hash), and a row for each fingerprint with the words that it may be extended to.
+    # A row of the document itself (under a hash of its own, as kind 2), and a row for each fingerprint with the words
+    # that it may be extended to.
     reach = 2 * window - GRAM
     rows = F.concat(
-        F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("short"), n.alias("at"), F.array().cast("array<bigint>").alias("of"))),
+        F.array(F.struct(F.xxhash64("id", "text_hash").alias("h"), F.lit(2).alias("short"), n.alias("at"), F.array().cast("array<bigint>").alias("of"))),
         F.transform(runs(window), lambda i: F.struct(F.get("least", i).alias("h"), F.lit(0).alias("short"), i.alias("at"), F.slice(w, i + 1, reach).alias("of"))),
     )
     if widths:
-        rows = F.concat(rows, F.transform(upto(F.lit(0), n - 1), lambda i: F.struct(
+        starts = upto(F.lit(0), n - 1)
+        if len(begins) <= FIRST_WORDS:
+            starts = F.filter(starts, lambda i: F.get(w, i).isin(begins))
+        rows = F.concat(rows, F.transform(starts, lambda i: F.struct(
             F.get(w, i).alias("h"), F.lit(1).alias("short"), i.alias("at"), F.slice(w, i + 1, widths[-1]).alias("of"))))
     places = base.select("id", "text_hash", F.explode(rows).alias("r")).select("id", "text_hash", "r.*")
-    met = places.join(prints, ["h", "short"], "left").where("h is null or met")
+    met = places.join(prints, ["h", "short"], "left").where("short = 2 or met")
 
     of = F.col("of")
     tried = lambda i, k: F.struct(window_key(of, i, k).alias("key"), (F.col("at") + i).alias("start"), F.lit(k).alias("width"))
-    none = F.struct(F.lit(None).cast("struct<k1:bigint,k2:bigint>").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("width"))
-    tries = F.when(F.col("h").isNull(), F.array(none))
+    itself = F.struct(F.struct(F.col("h").alias("k1"), F.xxhash64("h").alias("k2")).alias("key"), F.lit(0).alias("start"), F.lit(0).alias("width"))
+    tries = F.when(F.col("short") == 2, F.array(itself))
     if widths:
         tries = tries.when(F.col("short") == 1, F.filter(F.array(*[tried(F.lit(0), k) for k in widths]), lambda x: x["width"] <= F.size(of)))
     tries = tries.otherwise(F.transform(upto(F.lit(0), F.size(of) - window), lambda i: tried(i, window)))
-    windows_met = met.select("id", "text_hash", F.when(F.col("h").isNull(), F.col("at")).alias("n_words"), F.explode(tries).alias("t"))
+    windows_met = met.select("id", "text_hash", F.when(F.col("short") == 2, F.col("at")).alias("n_words"), F.explode(tries).alias("t"))
     flat = windows_met.select("id", "text_hash", "n_words", "t.key.k1", "t.key.k2", "t.start", "t.width")
-    found = flat.join(keys, ["k1", "k2"], "left").where("n_words is not null or items is not null")
+    found = flat.join(keys, ["k1", "k2"], "left").withColumn("items", F.when(F.col("n_words").isNull(), F.col("items"))).where("n_words is not null or items is not null")
     each = found.groupBy("id", "text_hash").agg(
         F.max("n_words").cast("long").alias("n_words"), F.count("n_words").cast("int").alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", "width")))).alias("spans"),
@@ -137,7 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     n_hit = covered(F.col("spans"))
     return each.select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans",
+        F.col("id").alias(id_col), "text_hash", "n_words", n_hit.alias("n_hit"), "spans",
         F.array_sort(F.array_distinct(F.transform(F.flatten("sets"), lambda x: x.cast("string")))).alias("items"),
         (F.size("spans") > 0).alias("contaminated"), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
