@@ -5,12 +5,18 @@ buckets: two that differ in at most `radius` bits agree in at least `parts - rad
 bucket for each choice of ranges loses no link. The number of parts grows with the number of fingerprints, which keeps
 buckets small; every choice is exact. A bucket of more than CHUNK fingerprints is dealt as pairs of chunks. Inside a
 bucket bit planes lie vertically, 64 fingerprints to a word; carry-save counters add up many distances at once, and a
-word is abandoned as soon as all its 64 distances exceed the radius. What leaves a bucket is one edge for each linked
-fingerprint at most, never all pairs.
+word is abandoned as soon as all its 64 distances exceed the radius. What leaves a bucket are links that connect what
+all its links do, one fewer than linked fingerprints at most (all of them for FEW or fewer), never all pairs.
+
+similar_texts() is the same comparison for texts whose word shingles are alike by a given share. That share bounds no
+distance of fingerprints: at 0.8 two texts differ in some 10 of 64 bits, often in 15, and no choice of bit ranges keeps
+buckets of so wide a radius small. So its buckets are those of min-wise hashes of the shingles, its radius is wide, and
+each link that leaves a bucket is checked by the exact share of common shingles.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other;
 repeated rows stay repeated rows of one class; an empty table gives an empty result. Columns beside the id and the
-text are ignored whatever their names.
+text are ignored whatever their names. In similar_texts() a text of fewer words than a shingle is one shingle, and texts
+without words are alike.
 """
 
 from __future__ import annotations
@@ -29,30 +35,48 @@ from leafmill.llm.components import components
 
 #: Fingerprints that one task compares all with all, at most (a pair of chunks is twice as many).
 CHUNK = 4096
-#: Buckets up to this size are compared together, many to a batch.
+#: Buckets up to this size are compared together, many to a batch; all links of up to FEW fingerprints are given.
 SMALL = 128
+FEW = 16
 #: Planes that are added up before exceeded words are abandoned.
 TILE = 8
 SEED = 42
-
-
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Unsigned 64 bits: a bit is 1 if it is set in over half the XXH64 of the word shingles, repeats included."""
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 200_000
+#: Rows that a task of a bucket join should have, at least and at most.
+TASK_ROWS = (10_000, 500_000)
+#: similar_texts: texts meet that share the least hashes of all ROWS of one of BANDS. Of pairs that are just 0.8 alike
+#: that is 0.998; of pairs that are 0.3 alike, one in thirty. Their fingerprints may differ in WIDE bits.
+BANDS = 16
+ROWS = 5
+WIDE = 18
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Unsigned XXH64 of the word shingles, repeats included; fewer words than `width` are one shingle."""
     words = text.encode("utf-8", "replace").lower().split() if text else []  # bytes: A-Z alone, six spaces alone
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist())], dtype=np.uint64)
-    total = np.zeros(64, dtype=np.int64)
-    for part in np.array_split(hashes, 1 + n // 65536):
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits: a bit is 1 if it is set in over half the hashes."""
+    n, total = len(hashes), np.zeros(64, dtype=np.int64)
+    for part in np.array_split(hashes, 1 + n // 65536) if n else ():
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
@@ -78,10 +102,10 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
 
 
 class Counters:
-    """Vertical counters of set bits, by lane: ones, twos and fours exact, eights and over sticky."""
+    """Vertical counters of set bits, by lane: as many exact planes as the radius needs, and a sticky one above."""
 
-    def __init__(self, shape: tuple[int, ...]):
-        self.n = [np.zeros(shape, dtype=np.uint64) for _ in range(4)]
+    def __init__(self, shape: tuple[int, ...], radius: int):
+        self.n = [np.zeros(shape, dtype=np.uint64) for _ in range(max(1, radius.bit_length()) + 1)]
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         """A carry-save adder takes two planes into the ones; the carry ripples on."""
@@ -89,22 +113,22 @@ class Counters:
         half = n[0] ^ x
         carry = (n[0] & x) | (half & y)
         n[0] = half ^ y
-        for k in (1, 2):
+        for k in range(1, len(n) - 1):
             up = n[k] & carry
             n[k] ^= carry
             carry = up
-        n[3] |= carry
+        n[-1] |= carry
 
     def over(self, radius: int) -> np.ndarray:
-        """Lanes whose count exceeds radius (7 at most)."""
-        ones, twos, fours, eights = self.n
-        over, equal = eights.copy(), ~eights
-        for bit, plane in ((4, fours), (2, twos), (1, ones)):
-            if radius & bit:
-                equal &= plane
+        """Lanes whose count exceeds the radius."""
+        over = self.n[-1].copy()
+        equal = ~over
+        for k in range(len(self.n) - 2, -1, -1):
+            if radius >> k & 1:
+                equal &= self.n[k]
             else:
-                over |= equal & plane
-                equal &= ~plane
+                over |= equal & self.n[k]
+                equal &= ~self.n[k]
         return over
 
     def only(self, keep: np.ndarray) -> None:
@@ -118,7 +142,7 @@ def within(tile, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     """
     at = np.flatnonzero(valid)
     valid = valid[at]
-    count = Counters(at.shape)
+    count = Counters(at.shape, radius)
     for first in range(0, 64, TILE):
         if not len(at):
             break
@@ -158,13 +182,14 @@ def links_small(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.nda
     return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
 
 
-def roots_large(fps: np.ndarray, radius: int, rows: int = 64) -> np.ndarray:
-    """For each fingerprint of one group the first of its component; `rows` at a time meet all that follow."""
+def links_large(fps: np.ndarray, radius: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one group that connect what all its links do; `rows` at a time meet all that follow."""
     root = np.arange(len(fps))
     planes = planes_of(fps)
     words = planes.shape[1]
     lane_ok = np.packbits((np.arange(words * 64) < len(fps)).astype(np.uint8), bitorder="little").view("<u8")
     every = np.uint64(0xFFFFFFFFFFFFFFFF)
+    found: list[tuple[int, int]] = []
     for start in range(0, len(fps), rows):
         q = fps[start : start + rows]
         flip = np.where((q[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), every, np.uint64(0))
@@ -175,45 +200,89 @@ def roots_large(fps: np.ndarray, radius: int, rows: int = 64) -> np.ndarray:
         row = at // wide
         for k in np.unique(row):
             mine = row == k
-            met = np.unique(root[lanes(at[mine] % wide + first, bits[mine])])
-            if len(met) > 1:
-                root[np.isin(root, met)] = met[0]
-    return root
+            near = lanes(at[mine] % wide + first, bits[mine])
+            met, one = np.unique(root[near], return_index=True)
+            own = root[start + k]
+            if len(new := one[met != own]):
+                found += [(start + int(k), int(x)) for x in near[new]]
+                root[np.isin(root, met) | (root == own)] = min(own, met[0])
+    return tuple(np.array([x[k] for x in found], dtype=np.int64) for k in (0, 1))
+
+
+def spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of links that connect what all do: each joins two parts that those before it have not."""
+    root: dict[int, int] = {}
+    keep = []
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep.append(k)
+    return np.array(keep, dtype=np.int64)
 
 
 def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key: spanning edges of each key's links. Holds one group, or a batch of small ones."""
+    """Links (a, b) of nodes from rows (key, fp, node) sorted by key. Holds one group, or a batch of small ones."""
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def linked(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def linked(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            group = np.unique(fp[s : s + n])
-            root = roots_large(group, radius)
-            far = np.flatnonzero(root != np.arange(len(group)))
-            yield out(group[far], group[root[far]])
-        few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+            own, first = np.unique(node[s : s + n], return_index=True)
+            i, j = links_large(fp[s : s + n][first], radius)
+            yield out(own[i], own[j])
+        small = (sizes > 1) & (sizes <= SMALL)
+        few = np.repeat(small, sizes)
         if few.any():
-            group = fp[few]
-            i, j = links_small(group, sizes[(sizes > 1) & (sizes <= SMALL)], radius)
-            yield out(group[i], group[j])
+            group, size = node[few], np.repeat(sizes[small], sizes[small])
+            i, j = links_small(fp[few], sizes[small], radius)
+            many = np.flatnonzero(size[i] > FEW)
+            keep = np.r_[np.flatnonzero(size[i] <= FEW), many[spanning(i[many], j[many])]]
+            yield out(group[i[keep]], group[j[keep]])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     n = 0
     for b in batches:
-        held.append((b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
+        held.append((b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), b.column("node").to_numpy(zero_copy_only=False)))
         n += b.num_rows
         if n < 65536:
             continue
-        key, fp = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        key, fp, node = (np.concatenate([x[k] for x in held]) for k in range(3))
         if cut := int(np.searchsorted(key, key[-1])):  # the last group may go on in the next batch
-            yield from linked(key[:cut], fp[:cut])
-        held, n = [(key[cut:], fp[cut:])], len(key) - cut
+            yield from linked(key[:cut], fp[:cut], node[:cut])
+        held, n = [(key[cut:], fp[cut:], node[cut:])], len(key) - cut
     if n:
-        yield from linked(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+        yield from linked(*(np.concatenate([x[k] for x in held]) for k in range(3)))
+
+
+def bucket_links(keyed: DataFrame, radius: int, rows: int) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints meet in a bucket (t, v) and differ in at most radius bits, from some
+    `rows` rows (t, v, fp, node). Buckets of over CHUNK rows are dealt as pairs of chunks."""
+    hot = checkpointed(keyed.groupBy("t", "v").count().where(F.col("count") > CHUNK))
+    if hot.isEmpty():
+        keyed = keyed.select(F.xxhash64("t", "v").alias("key"), "fp", "node")
+    else:
+        n = F.ceil(F.col("count") / CHUNK).cast("int")
+        own = F.pmod(F.xxhash64("node"), n).cast("int")
+        pairs = F.when(n.isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+            F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(own, j).cast("long") * n + F.greatest(own, j))
+        )
+        keyed = (
+            keyed.join(hot, ["t", "v"], "left")
+            .select("t", "v", "fp", "node", F.explode(pairs).alias("pair")).select(F.xxhash64("t", "v", "pair").alias("key"), "fp", "node")
+        )
+    spread = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(1, min(spread, rows // TASK_ROWS[0]), rows // TASK_ROWS[1])
+    return keyed.repartition(spread, "key").sortWithinPartitions("key").mapInArrow(lambda it: _edges(it, radius), "a long, b long")
 
 
 def part_count(distinct: int, radius: int) -> int:
@@ -232,21 +301,7 @@ def hamming_edges(classes: DataFrame, radius: int, distinct: int) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(signed)])
     keyed = classes.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.v")
-    hot = checkpointed(keyed.groupBy("t", "v").count().where(F.col("count") > CHUNK))
-    if hot.isEmpty():
-        keyed = keyed.select(F.xxhash64("t", "v").alias("key"), "fp")
-    else:
-        n = F.ceil(F.col("count") / CHUNK).cast("int")
-        own = F.pmod(F.xxhash64("fp"), n).cast("int")
-        pairs = F.when(n.isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-            F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(own, j).cast("long") * n + F.greatest(own, j))
-        )
-        keyed = (
-            keyed.join(hot, ["t", "v"], "left")
-            .select("t", "v", "fp", F.explode(pairs).alias("pair")).select(F.xxhash64("t", "v", "pair").alias("key"), "fp")
-        )
-    spread = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(spread, "key").sortWithinPartitions("key").mapInArrow(lambda it: _edges(it, radius), "a long, b long")
+    return bucket_links(keyed.withColumn("node", F.col("fp")), radius, distinct * len(masks))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -262,5 +317,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Signed hashes of a text's BANDS, each of its number and ROWS least hashes; none have one of their own."""
+    least = np.full(len(MULTIPLIERS), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for part in np.array_split(hashes, 1 + len(hashes) // 4096) if len(hashes) else ():
+        mixed = part[None, :] * MULTIPLIERS[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, mixed.min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    made = [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
+    return [x - (1 << 64) if x >> 63 else x for x in made]
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, text_hash, component_id, component_hash), a row for each row: texts are linked whose sets of word shingles
+    have at least `similarity` of their union in common. The component's id is the smallest that links reach, its hash
+    the smallest of that id's texts in the component. Rows without an id are left out."""
+    small_batches(docs.sparkSession)
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(t, width) for t in b.column(2).to_pylist()]
+            fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "node", "fp", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    # A class is a distinct text; what is drawn of it is the same for all its rows, so texts need not be dealt anew.
+    drawn = rows.mapInArrow(sketches, f"id {kind}, node long, fp long, bands array<long>")
+    classes = checkpointed(drawn.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    keyed = classes.select("node", "fp", F.posexplode("bands").alias("t", "v"))
+    # Only what shares a bucket with another goes on.
+    shared = checkpointed(keyed.groupBy("t", "v").count().where("count > 1").select("t", "v"))
+    met = checkpointed(keyed.join(shared, ["t", "v"]))
+    near = checkpointed(bucket_links(met, WIDE, met.count()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first"), "node").select("node", F.col("first").alias("id")))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    own = rows.join(asked, ["id", "node"], "left_semi").select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+    own = checkpointed(own.dropDuplicates(["node"]))
+    of = lambda name: own.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+    common, both = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    edges = near.join(of("a"), "a").join(of("b"), "b").where((both == 0) | (common >= similarity * (both - common))).select("a", "b")
+    roots = checkpointed(components(edges)).withColumnRenamed("node", "own")
+    joined = checkpointed(classes.select("node", "first").join(roots, classes["node"] == roots["own"], "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    least = checkpointed(joined.groupBy("root").agg(F.min(F.struct("first", "node")).alias("least")))
+    placed = checkpointed(joined.join(least, "root").select("node", F.col("least.first").alias("component_id"), F.col("least.node").alias("component_hash")))
+    return rows.select("id", "node").join(placed, "node").select(F.col("id").alias(id_col), F.col("node").alias("text_hash"), "component_id", "component_hash")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

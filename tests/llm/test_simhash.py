@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from leafmill.llm.components import components
-from leafmill.llm.simhash import fingerprint, links_small, near_duplicates, roots_large
+from leafmill.llm.simhash import Counters, fingerprint, links_large, links_small, near_duplicates, similar_texts, spanning
 
 
 def plain(text):
@@ -34,13 +34,31 @@ def test_kernels_find_all_links():
     f = base[rng.integers(0, 30, 500)]
     for _ in range(3):
         f = f ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
-    for radius in (0, 3, 4, 7):
+    for radius in (0, 3, 4, 7, 18):
         near = np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= radius, 1)
         i, j = links_small(f, np.array([500]), radius)
         assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
         u = np.unique(f)
-        pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= radius, 1))))
-        assert roots_large(u, radius).tolist() == list(classes(pairs, range(len(u))).values())
+        want = classes(list(zip(*(x.tolist() for x in np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= radius, 1))))), range(len(u)))
+        i, j = links_large(u, radius)
+        assert classes(list(zip(i.tolist(), j.tolist())), range(len(u))) == want and len(i) == len(u) - len(set(want.values()))
+        assert all(int(u[a] ^ u[b]).bit_count() <= radius for a, b in zip(i, j))
+        i, j = links_small(u, np.array([len(u)]), radius)
+        keep = spanning(i, j)
+        assert classes(list(zip(i[keep].tolist(), j[keep].tolist())), range(len(u))) == want and len(keep) == len(u) - len(set(want.values()))
+
+
+def test_counters():
+    rng = np.random.default_rng(2)
+    planes = rng.integers(0, 2**64, (64, 5), dtype=np.uint64)
+    for radius in (0, 1, 4, 7, 8, 18, 31):
+        count = Counters((5,), radius)
+        for k in range(0, 64, 2):
+            count.add(planes[k], planes[k + 1])
+        for word in range(5):
+            for lane in range(64):
+                n = sum(int(p) >> lane & 1 for p in planes[:, word])
+                assert (int(count.over(radius)[word]) >> lane & 1) == (n > radius)
 
 
 def test_components(spark):
@@ -70,3 +88,30 @@ def test_against_brute_force(spark, odd, nothing):
     assert {x["fingerprint"] for x in rows if x["doc_id"] in (2, 3, 4)} == {"0" * 16} and {x["component_id"] for x in rows if x["doc_id"] in (2, 3, 4)} == {2}
     assert [x["component_id"] for x in rows if x["doc_id"] in (7, 8)] == [7, 7, 7]
     assert near_duplicates(nothing).count() == 0
+
+
+def jaccard(a, b, width=5):
+    shingles = lambda t: {tuple(w[i : i + width]) for w in [(t or "").encode().lower().split()] for i in range(max(1, len(w) - width + 1)) if w}
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_texts_against_brute_force(spark, odd, nothing):
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randint(0, 999)}" for _ in range(r.choice((30, 150, 400)))) for _ in range(25)]
+    docs = []
+    for k in range(220):
+        w = r.choice(texts).split()
+        for _ in range(r.choice((0, 0, 1, 2, 4, 9))):
+            w[r.randrange(len(w))] = f"z{r.randint(0, 99)}"
+        docs.append((k, " ".join(w)))
+    got = {x["doc_id"]: x["component_id"] for x in similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    pairs = [(a, b) for a, t in docs for b, u in docs if a < b and jaccard(t, u) >= 0.8]
+    assert len(pairs) > 100 and got == classes(pairs, [k for k, _ in docs])
+    rows = similar_texts(odd).collect()
+    assert len(rows) == odd.where("doc_id is not null").count()
+    assert {x["component_id"] for x in rows if x["doc_id"] in (2, 3, 4)} == {2} and {x["component_id"] for x in rows if x["doc_id"] in (7, 8)} == {7}
+    assert {x["component_id"] for x in rows if x["doc_id"] in (1, 5, 6, 9)} == {1, 5, 6, 9}
+    assert similar_texts(nothing).count() == 0
+    many = spark.createDataFrame([(k, f"one two three four five six seven eight nine ten and so on up to the end of it {' '.join(f'x{j}' for j in range(60))} n{k}") for k in range(400)], "doc_id long, text string")
+    assert {x["component_id"] for x in similar_texts(many).collect()} == {0}
