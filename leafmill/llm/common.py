@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, so a lost executor loses nothing of it.
 
-    The folder is the session's spark.checkpoint.dir; a local one is made only where that is unset (tests).
+    The folder is the session's spark.checkpoint.dir. Only a local master may go without: a folder of this machine is
+    made for it. Files are removed with their tables where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leafmill-checkpoint-")
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
     return df.checkpoint()
 
 
