@@ -1,9 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, encoding.
 
 Each stage takes all that its predecessor kept and calls one operator of leafmill.llm; all but the last return the
-columns of documents. Rows with null in any column, empty and repeated ones go through each stage as its operator
-says: the first stage already rejects texts that are null or have under ten words. Rows without a doc_id are never
-duplicates or contaminated, as nothing can be said of them by id.
+columns of documents. Rows are judged by id and text: rows of one id with other texts stand for themselves. Rows with
+null in any column, empty and repeated ones go through each stage as its operator says: the first stage already
+rejects texts that are null or have under ten words; of repeated rows of one id and text the near-duplicate stage keeps
+one, the least by its other columns. Rows without a doc_id are never duplicates, as no id stands for them.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ from leafmill.llm.decontaminate import decontaminate
 from leafmill.llm.pieces import encode
 from leafmill.llm.pii import sanitised
 from leafmill.llm.quality import fit, quality_rules
-from leafmill.llm.simhash import near_duplicates
+from leafmill.llm.simhash import similar_texts
 
 
-#: Ids of rows to be dropped that may be broadcast; more are joined by shuffle.
+#: Keys of rows to be dropped that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids. Few ids are broadcast, so texts are not dealt anew."""
-    ids = checkpointed(ids.distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+#: Names of a row's id and text for joins; documents have none such.
+KEY = ["__row_id", "__row_hash"]
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of these KEYs. Few are broadcast, so texts are not dealt anew."""
+    gone = checkpointed(gone.distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(KEY[0])) & (F.xxhash64("text") == F.col(KEY[1])), "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,21 +41,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of repeated rows of one id, one."""
-    found = checkpointed(near_duplicates(docs).select("doc_id", "component_id"))
-    unique = _without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    repeated = checkpointed(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each group whose five-word shingles are 0.8 alike: that with the smallest id."""
+    found = checkpointed(similar_texts(docs).withColumnsRenamed({"doc_id": KEY[0], "text_hash": KEY[1]}))
+    unique = _without(docs, found.where((F.col(KEY[0]) != F.col("component_id")) | (F.col(KEY[1]) != F.col("component_hash"))).select(*KEY))
+    repeated = checkpointed(found.groupBy(*KEY).count().where("count > 1").select(*KEY))
     if repeated.isEmpty():
         return unique
-    # Only rows of ids that occur again are sorted out by id.
-    again = unique.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    # Only rows that occur again are gathered by id and text.
+    again = unique.withColumn(KEY[0], F.col("doc_id")).withColumn(KEY[1], F.xxhash64("text")).join(repeated, KEY, "left_semi")
+    again = again.groupBy(*KEY).agg(F.min(F.struct(*docs.columns)).alias("__row_least")).select("__row_least.*")
     return _without(unique, repeated).unionByName(again)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words (or a whole shorter item) of the benchmark."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias(KEY[0]), F.col("text_hash").alias(KEY[1])))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
