@@ -1,250 +1,310 @@
-"""Chunks of documents for search and language models: order-dependent packing of pieces, one document at a time."""
+"""Chunks of documents for search and language models.
+
+A document is laid out once: its plain text, and an index of the units that no chunk needs to cut (sentences, lines, rows
+of tables; words or parts of words where those are too long) as places in that text. For each unit the index has how
+strong the break before it is, whether a chunk must begin there, the headings around it, and the sizes summed up so far.
+Packing is then arithmetic on places: how far a chunk can reach is found by bisection in the sums, where it ends by the
+strongest break in reach, and its text is a slice of the document's.
+
+Spark side, a document is one row with an array of blocks, so chunking needs no shuffle; only tables of blocks are
+gathered by document first.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.model import Block, list_lines, units
+from leafmill.batches import bounded_batches
+from leafmill.model import Block, Cell, block_text, list_lines, units
+
+#: How strong the break before a unit is.
+HARD, WORD, LINE, SENTENCE, BLOCK, SECTION = range(6)
+CUT_ROW = "A row of a table did not fit into a chunk and was cut between its cells."
+STRATEGIES = {"section": ("heading", "section"), "page": ("section",), "size": ()}
 
-SECTION, BLOCK, SENTENCE, LINE, WORD, HARD = 5, 4, 3, 2, 1, 0
 _CLOSERS = ")\\]\"'”’»」』"
 _SPACES = " \t\r\xa0　"
-_BREAK = re.compile(f"\n|(?:(?<=[.!?])|(?<=[.!?][{_CLOSERS}])|(?<=[.!?][{_CLOSERS}]{{2}}))[{_SPACES}]+(?=[^\\W\\d_a-z]|[0-9])|(?:(?<=[。！？])|(?<=[。！？][{_CLOSERS}]))[{_SPACES}]*(?![{_SPACES}{_CLOSERS}])(?=.)", re.S)
+_LATIN_END = re.compile(f"[.!?][{_CLOSERS}]*(?P<gap>[{_SPACES}]+)(?=\\S)")
+_WIDE_END = re.compile(f"[。！？][{_CLOSERS}]*(?P<gap>[{_SPACES}]*)(?=[^{_SPACES}{_CLOSERS}\n])")
+
+
+def sentence_spans(line: str) -> Iterator[tuple[int, int]]:
+    """Places of the sentences of a line. One ends at . ! ? and closing marks before white space and a capital or digit,
+    or at a wide mark."""
+    gaps = [m.span("gap") for m in _WIDE_END.finditer(line)]
+    for m in _LATIN_END.finditer(line):
+        after = line[m.end()]
+        if after.isascii() and after.isdigit() or after != after.lower() and after <= "￿":
+            gaps.append(m.span("gap"))
+    at = 0
+    for a, b in sorted(gaps):
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < len(line):
+        yield at, len(line)
 
 
 @dataclass
-class Piece:
-    text: str
-    separator: str  # between the piece before and this one
-    strength: int
-    forced: bool = False
-    heading: bool = False
-    path: tuple[str, ...] = ()
-    block: int = 0
-    header: tuple[Piece, ...] = ()
-    split_row: bool = False
-    repeated: bool = False
-
-
-def segments(text: str) -> list[tuple[str, str, int]]:
-    """(text, separator, strength) at line and sentence ends."""
-    out: list[tuple[str, str, int]] = []
-    at, separator, strength = 0, "", SENTENCE
-    for m in _BREAK.finditer(text):
-        upper = text[m.end() : m.end() + 1]
-        if m[0] != "\n" and m[0] and not (upper.isdigit() and upper.isascii() or upper != upper.lower() or text[m.start() - 1] in "。！？" or re.search(r"[。！？][^\w\s]*$", text[max(0, m.start() - 4) : m.start()])):
-            continue
-        if m.start() > at:
-            out.append((text[at : m.start()], separator, strength))
-        separator, strength, at = m[0], LINE if m[0] == "\n" else SENTENCE, m.end()
-    if at < len(text):
-        out.append((text[at:], separator, strength))
-    return out
-
+class Layout:
+    """A document's text and its units, each at the same place of all lists."""
 
-def fitting(text: str, most: int, count: Callable[[str], int], strength: int) -> list[tuple[str, str, int]]:
-    """Segments that each fit; an oversized one is cut at spaces, then anywhere. The first has the strength given."""
-    out: list[tuple[str, str, int]] = []
-    for body, separator, own in segments(text):
-        if count(body) <= most:
-            out.append((body, separator, own))
-            continue
-        first = True
-        for m in re.finditer(r"( *)([^ ]+)", body):
-            rest, before = m[2], m[1]
-            lead = (separator, own) if first else (before, WORD)
-            first = False
-            while count(rest) > most:
-                low, high = 1, len(rest)
-                while low < high:  # the longest prefix that fits
-                    middle = (low + high + 1) // 2
-                    low, high = (middle, high) if count(rest[:middle]) <= most else (low, middle - 1)
-                out.append((rest[:low], *lead))
-                rest, lead = rest[low:], ("", HARD)
-            if rest:
-                out.append((rest, *lead))
-    return [(out[0][0], "", strength), *out[1:]] if out else []
-
-
-def pieces(blocks: list[Block], strategy: str, most: int, count: Callable[[str], int]) -> Iterator[Piece]:
-    """Pieces in the order of the text, with the headings and section titles that enclose them."""
-    path: list[tuple[int, str]] = []
-    state = {"separator": "", "forced": False, "section": True, "n": 0}
-
-    def walk(own: list[Block]) -> Iterator[Piece]:
-        nonlocal path
+    text: str
+    starts: list[int] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)
+    breaks: list[int] = field(default_factory=list)
+    forced: list[bool] = field(default_factory=list)
+    heading: list[bool] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)
+    paths: list[tuple[str, ...]] = field(default_factory=list)
+    #: Units of the header rows over a table's row: first and one past the last.
+    header: list[tuple[int, int] | None] = field(default_factory=list)
+    cut_row: list[bool] = field(default_factory=list)
+    #: Sizes of all units and what lies between them, up to the end of each; and of what lies before each.
+    sums: list[int] = field(default_factory=list)
+    gaps: list[int] = field(default_factory=list)
+
+    def size(self, a: int, b: int) -> int:
+        """Of units a to b (b left out) with what lies between them."""
+        return self.sums[b - 1] - (self.sums[a - 1] + self.gaps[a] if a else 0) if b > a else 0
+
+    def slice(self, a: int, b: int) -> str:
+        return self.text[self.starts[a] : self.ends[b - 1]]
+
+
+class _Maker:
+    """Lays out a document's blocks."""
+
+    def __init__(self, blocks: list[Block], strategy: str, most: int, count: Callable[[str], int]):
+        self.most, self.count, self.forcing = most, count, STRATEGIES[strategy]
+        self.parts: list[str] = []
+        self.at = self.number = 0
+        self.layout = Layout("")
+        self.path: list[tuple[int, str]] = []
+        self.pending_break, self.pending_force = SECTION, False
+        self.blocks(blocks)
+        self.layout.text = "".join(self.parts)
+        self.measure()
+
+    def write(self, text: str) -> None:
+        self.parts.append(text)
+        self.at += len(text)
+
+    def unit(self, start: int, end: int, strength: int, header: tuple[int, int] | None = None, cut: bool = False) -> None:
+        out = self.layout
+        fresh = not out.block or out.block[-1] != self.number
+        out.starts.append(start), out.ends.append(end)
+        out.breaks.append(max(self.pending_break, BLOCK) if fresh else strength)
+        out.forced.append(fresh and self.pending_force)
+        out.heading.append(self.is_heading), out.block.append(self.number)
+        out.paths.append(tuple(t for _, t in self.path)), out.header.append(header), out.cut_row.append(cut)
+        if fresh:
+            self.pending_break, self.pending_force = BLOCK, False
+
+    def fitted(self, start: int, text: str, strength: int, **more) -> None:
+        """Units of a text that may be too long for a chunk: as a whole, else its words, else what fits of a word."""
+        if self.count(text) <= self.most:
+            self.unit(start, start + len(text), strength, **more)
+            return
+        own = strength
+        for w in re.finditer("[^ ]+", text):
+            a, b = w.span()
+            while self.count(text[a:b]) > self.most:
+                n = max(1, bisect_right(range(1, b - a + 1), self.most, key=lambda n: self.count(text[a : a + n])))
+                self.unit(start + a, start + a + n, own, **more)
+                a, own = a + n, HARD
+            if a < b:
+                self.unit(start + a, start + b, own, **more)
+            own = WORD
+
+    def prose(self, text: str) -> None:
+        """Units of a text: its sentences and lines."""
+        start, strength = self.at, SENTENCE
+        for line in text.split("\n"):
+            for a, b in sentence_spans(line):
+                self.fitted(start + a, line[a:b], strength)
+                strength = SENTENCE
+            start += len(line) + 1
+            strength = LINE
+
+    def rows(self, b: Block) -> None:
+        """Units of a table: its caption and rows; cells where a row is too long."""
+        start, first = self.at, 0
+        if b.caption is not None:
+            self.fitted(start, b.caption, LINE) if b.caption else None
+            start += len(b.caption) + 1
+            first = 1
+        heads, begin, header = max(0, min(b.header_rows or 0, len(b.rows or []))), len(self.layout.starts), None
+        for k, row in enumerate(b.rows or []):
+            if k == heads and k:
+                header = begin, len(self.layout.starts)
+            whole = "\t".join(c.text for c in row)
+            if self.count(whole) <= self.most:
+                if whole or not first and not k:
+                    self.unit(start, start + len(whole), LINE, header=header)
+            else:
+                at = start
+                for j, c in enumerate(row):
+                    if c.text:
+                        self.fitted(at, c.text, WORD if j else LINE, cut=True)
+                    at += len(c.text) + 1
+            start += len(whole) + 1
+
+    def blocks(self, own: list[Block]) -> None:
         for k, b in enumerate(own):
             if k:
-                state["separator"] = "\n\n"
+                self.write("\n\n")
             if b.kind == "section":
-                before = list(path)
+                around = list(self.path)
                 if b.title:
-                    path = [*path, (0, b.title)]
-                state["section"] = True
-                state["forced"] |= strategy != "size"
-                yield from walk(b.blocks)
-                path = before
+                    self.path.append((0, b.title))
+                self.pending_break, self.pending_force = SECTION, self.pending_force or "section" in self.forcing
+                self.blocks(b.blocks)
+                self.path = around
                 continue
-            strength, heading = SECTION if state["section"] else BLOCK, b.kind == "heading"
-            if heading:
-                strength = SECTION
-                kept = [p for p in path if p[0] == 0 or p[0] < (b.level or 1)]
-                path = kept if kept and kept[-1] == (0, b.text) else [*kept, (b.level or 1, b.text or "")]
-                state["forced"] |= strategy == "section"
-            made = list(block_pieces(b, strength))
-            for j, p in enumerate(made):
-                if not j:
-                    p.separator, p.strength, p.forced = state["separator"], strength, state["forced"]
-                p.heading, p.path, p.block = heading, tuple(t for _, t in path), state["n"]
-                yield p
-            state["n"] += 1
-            if made:
-                state["separator"], state["forced"], state["section"] = "", False, False
-
-    def block_pieces(b: Block, strength: int) -> Iterator[Piece]:
-        if b.kind == "list":
-            for k, line in enumerate(list_lines(b)):
-                for j, (text, separator, own) in enumerate(fitting(line, most, count, LINE)):
-                    yield Piece(text, "\n" if k and not j else separator, own)
-        elif b.kind == "table":
-            rows = ([[b.caption]] if b.caption is not None else []) + [[c.text for c in r] for r in b.rows or []]
-            body = len(rows) - len(b.rows or []) + max(0, min(b.header_rows or 0, len(b.rows or [])))
-            header = tuple(Piece("\t".join(r), "\n" if k else "", LINE) for k, r in enumerate(rows[len(rows) - len(b.rows or []) : body]))
-            for k, r in enumerate(rows):
-                if count("\t".join(r)) <= most:
-                    yield Piece("\t".join(r), "\n" if k else "", LINE, header=header if k >= body else ())
-                    continue
-                for c, cell in enumerate(r):
-                    for j, (text, separator, own) in enumerate(fitting(cell, most, count, WORD)):
-                        yield Piece(text, separator if j else ("\n" if k else "") if not c else "\t", LINE if not c and not j else own, split_row=True)
-        else:
-            text = b.alt if b.kind == "image" else b.text
-            for body, separator, own in fitting(text or "", most, count, strength):
-                yield Piece(body, separator, own)
-
-    yield from walk(blocks)
-
+            text = block_text(b)
+            self.is_heading = b.kind == "heading"
+            if self.is_heading:
+                level = b.level or 1
+                while self.path and self.path[-1][0] >= level:
+                    self.path.pop()
+                if not self.path or self.path[-1] != (0, text):
+                    self.path.append((level, text))
+                self.pending_break, self.pending_force = SECTION, self.pending_force or "heading" in self.forcing
+            if b.kind == "table":
+                self.rows(b)
+            elif b.kind == "list":
+                start = self.at
+                for line in list_lines(b):
+                    for j, (a, c) in enumerate(sentence_spans(line) if self.count(line) > self.most else [(0, len(line))]):
+                        self.fitted(start + a, line[a:c], SENTENCE if j else LINE)
+                    start += len(line) + 1
+            else:
+                self.prose(text)
+            self.number += 1
+            self.write(text)
 
-def joined(entries: list[Piece]) -> str:
-    return "".join((p.separator if k else "") + p.text for k, p in enumerate(entries))
+    def measure(self) -> None:
+        out, before, total = self.layout, 0, 0
+        for a, b in zip(out.starts, out.ends):
+            gap = self.count(out.text[before:a]) if out.sums and a > before else 0
+            total += gap + self.count(out.text[a:b])
+            out.gaps.append(gap), out.sums.append(total)
+            before = b
 
 
 def chunk(blocks: list[Block], strategy: str = "section", max_size: int = 2000, overlap: int = 200, min_size: int = 0, count: Callable[[str], int] = units) -> Iterator[dict]:
     """Chunks of one document: index, text, heading_path, blocks, overlap (leading repeated text), warnings."""
-    if strategy not in ("section", "page", "size") or max_size < 1 or overlap < 0 or min_size < 0:
+    if strategy not in STRATEGIES or max_size < 1 or overlap < 0 or min_size < 0:
         raise ValueError("strategy must be section, page or size; sizes must not be negative")
-    overlap = min(overlap, max_size // 2)
-    index = 0
-    current: list[Piece] = []
-    size = lambda entries: sum(count(p.text) + (count(p.separator) if k else 0) for k, p in enumerate(entries))
-    content = lambda entries: any(not p.repeated for p in entries)
-    again = lambda p: Piece(**{**vars(p), "repeated": True})
-
-    def built(entries: list[Piece]) -> dict:
-        nonlocal index
-        new = [p for p in entries if not p.repeated]
-        lead = next(k for k, p in enumerate(entries) if not p.repeated)
-        path = next((p.path for p in new if not p.heading), new[0].path)
+    x = _Maker(blocks, strategy, max_size, count).layout
+    n, overlap = len(x.starts), min(overlap, max_size // 2)
+    must = [k for k in range(n) if x.forced[k]]
+    #: What a chunk from `at` on repeats: nothing, units right before it, or a table's header rows.
+    at, index, lead = 0, 0, (0, 0)
+
+    while at < n:
+        repeated = x.slice(*lead) + (x.text[x.ends[lead[1] - 1] : x.starts[at]] if lead[1] == at else "\n") if lead[0] < lead[1] else ""
+        taken = x.size(*lead) + (x.gaps[at] if lead[1] == at else count("\n")) if repeated else 0
+        # As far as sizes allow; a unit always fits when nothing is repeated.
+        reach = max(at + 1, bisect_right(x.sums, max_size - taken + x.sums[at] - x.size(at, at + 1), lo=at))
+        m = bisect_left(must, at + 1)
+        while m < len(must) and must[m] <= reach and (x.size(at, must[m]) < min_size or all(x.heading[at : must[m]])):
+            m += 1
+        if m < len(must) and must[m] <= reach:
+            end, forced = must[m], True
+        elif reach >= n:
+            end, forced = n, False
+        else:
+            half = lambda k: 2 * (taken + x.size(at, k)) >= max_size
+            end, forced = max(range(at + 1, reach + 1), key=lambda k: (half(k), x.breaks[k], k)), False
+        if count is not units:  # sizes need not add up
+            while count(repeated + x.slice(at, end)) > max_size and (repeated or end > at + 1):
+                end, repeated, lead, forced = (end - 1, repeated, lead, False) if end > at + 1 else (end, "", (at, at), forced)
+        spoken = next((k for k in range(at, end) if not x.heading[k]), at)
+        yield {
+            "index": index, "text": repeated + x.slice(at, end), "heading_path": list(x.paths[spoken]), "blocks": sorted({*x.block[lead[0] : lead[1]], *x.block[at:end]}),
+            "overlap": units(repeated), "warnings": [CUT_ROW] if any(x.cut_row[at:end]) else [],
+        }
         index += 1
-        return {"index": index - 1, "text": joined(entries), "heading_path": list(path), "blocks": list(dict.fromkeys(p.block for p in entries)),
-                "overlap": units(joined(entries[:lead]) + entries[lead].separator) if lead else 0, "warnings": ["A table row longer than max_size was split at cell boundaries."] if any(p.split_row for p in entries) else []}
-
-    def with_header(entries: list[Piece]) -> list[Piece]:
-        """The header rows first, if the first new piece is a table's body row and they fit into half."""
-        head = next((p.header for p in entries if not p.repeated), ())
-        if not head or any(p.text == h.text and p.strength == LINE and p.block == e.block for p in entries for h in head for e in entries[:1]):
-            return entries
-        repeated = [again(p) for p in head]
-        whole = repeated + [p for p in entries if not p.repeated]
-        return whole if 2 * size(repeated) <= max_size and size(whole) <= max_size else entries
-
-    def emitted(entries: list[Piece]) -> tuple[dict, list[Piece]]:
-        """The chunk, and what did not fit after all (a counter need not be additive)."""
-        keep, back = list(entries), []
-        while len(keep) > 1 and content(keep[:-1]) and count(joined(keep)) > max_size:
-            back.insert(0, keep.pop())
-        return built(keep), back
-
-    def cut_of(entries: list[Piece], following: Piece) -> int:
-        """The strongest break, rather where the first part is at least half full, the latest of equals."""
-        lead = next(k for k, p in enumerate(entries) if not p.repeated)
-        best, at, prefix = None, len(entries), 0
-        for k, p in enumerate(entries):
-            prefix += count(p.text) + (count(p.separator) if k else 0)
-            if k + 1 > lead:
-                rank = (2 * prefix >= max_size, (entries[k + 1] if k + 1 < len(entries) else following).strength, k + 1)
-                if best is None or rank > best:
-                    best, at = rank, k + 1
-        return at
-
-    def trailing(entries: list[Piece], carry: list[Piece]) -> list[Piece]:
-        left = min(overlap, max_size - size(carry) - (count(carry[0].separator) if carry else 0))
-        taken: list[Piece] = []
-        for p in reversed(entries):
-            cost = count(p.text) + (count(taken[0].separator) if taken else 0)
-            if left <= 0 or cost > left:
-                break
-            left -= cost
-            taken.insert(0, again(p))
-        return taken
-
-    for piece in pieces(blocks, strategy, max_size, count):
-        if piece.forced and any(not p.repeated and not p.heading for p in current) and sum(count(p.text) for p in current if not p.repeated) >= min_size:
-            made, back = emitted(current)
-            yield made
-            current = with_header(back)
-        while True:
-            fits = size([*current, piece]) <= max_size
-            if fits and piece.header and not content(current):
-                started = with_header([*current, piece])
-                current = started
-                break
-            if fits:
-                current = [*current, piece]
-                break
-            if not content(current):
-                current = []
-                continue
-            at = cut_of(current, piece)
-            made, back = emitted(current[:at])
-            yield made
-            carry = back + current[at:]
-            current = with_header(trailing(current[: at - len(back)], carry) + carry)
-    while content(current):
-        made, back = emitted(current)
-        yield made
-        current = with_header(back)
+        first, at, lead = lead[0] if lead[0] < lead[1] == at else at, end, (end, end)
+        if at < n and not forced:
+            lead = _lead(x, first, at, overlap, max_size, count)
+
+
+def _lead(x: Layout, first: int, at: int, overlap: int, max_size: int, count: Callable[[str], int]) -> tuple[int, int]:
+    """Units that a chunk from `at` on repeats, where the chunk before began at `first`."""
+    own = x.size(at, at + 1)
+    if (head := x.header[at]) and 2 * (size := x.size(*head)) <= max_size and size + count("\n") + own <= max_size and head[1] <= at:
+        return head
+    room = min(overlap, max_size - own - x.gaps[at])
+    low = at
+    while low > first and x.size(low - 1, at) <= room:
+        low -= 1
+    return low, at
 
 
+# Tables -----------------------------------------------------------------------------------------------------------
+
 CHUNKS = "index int, text string, heading_path array<string>, blocks array<int>, overlap int, warnings array<string>"
+_CHUNK = pa.struct([("index", pa.int32()), ("text", pa.string()), ("heading_path", pa.list_(pa.string())), ("blocks", pa.list_(pa.int32())), ("overlap", pa.int32()), ("warnings", pa.list_(pa.string()))])
+
+
+def tree_of(rows: list[dict]) -> list[Block]:
+    """Blocks from rows in reading order. A row's parent_ord names the section that it lies in; where rows have none,
+    a section holds all up to the next one."""
+    out: list[Block] = []
+    sections: dict[int, list[Block]] = {}
+    nested = any(r.get("parent_ord") is not None for r in rows)
+    into = out
+    for r in rows:
+        made = Block(r["kind"], r.get("text"), level=r.get("level"), title=r.get("title"), ordered=r.get("ordered"), header_rows=r.get("header_rows"), caption=r.get("caption"), alt=r.get("alt"))
+        if r.get("items"):
+            made.items = [(i["depth"], i["marker"], i["text"]) for i in r["items"]]
+        if r.get("rows"):
+            made.rows = [[Cell(c["text"] or "") for c in row] for row in r["rows"]]
+        if nested:
+            sections.get(r.get("parent_ord"), out).append(made)
+            sections[r["ord"]] = made.blocks
+        elif r["kind"] == "section":
+            out.append(made)
+            into = made.blocks
+        else:
+            into.append(made)
+    return out
 
 
-def chunk_blocks(blocks: DataFrame, id_col: str, strategy: str = "section", max_size: int = 2000, overlap: int = 200, min_size: int = 0, count: Callable[[str], int] = units) -> DataFrame:
-    """Chunks of a table of flat text blocks (id, ord, kind, level, title, text): one task holds one document at a time."""
-    have = set(blocks.columns)
-    cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("ord", "kind", "level", "title", "text")]
-    kind = blocks.schema[id_col].dataType.simpleString()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        own: list[Block] = []
-        into = own
-        for r in pdf.sort_values("ord").itertuples():
-            if r.kind == "section":
-                own.append(Block("section", title=r.title))
-                into = own[-1].blocks
-            else:
-                into.append(Block(r.kind, r.text, level=None if r.level is None or r.level != r.level else int(r.level)))
-        out = pd.DataFrame(list(chunk(own, strategy, max_size, overlap, min_size, count)), columns=["index", "text", "heading_path", "blocks", "overlap", "warnings"])
-        out.insert(0, id_col, pdf[id_col].iloc[0])
-        return out
+def chunk_arrays(docs: DataFrame, id_col: str, blocks_col: str = "blocks", strategy: str = "section", max_size: int = 2000, overlap: int = 200, min_size: int = 0, count: Callable[[str], int] = units) -> DataFrame:
+    """Chunks of documents that are a row each, with an array of block structs in reading order. No shuffle."""
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, at = [], []
+            for k, rows in enumerate(b.column(1).to_pylist()):
+                own = list(chunk(tree_of(rows or []), strategy, max_size, overlap, min_size, count))
+                made += own
+                at += [k] * len(own)
+            cells = pa.array(made, _CHUNK)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cells.flatten()], names=["id", *(f.name for f in _CHUNK)])
 
-    return blocks.select(id_col, *cols).groupBy(id_col).applyInPandas(pack, f"{id_col} {kind}, {CHUNKS}")
+    return docs.select(F.col(id_col).alias("id"), F.col(blocks_col).alias("blocks")).mapInArrow(pack, f"id {kind}, {CHUNKS}").withColumnRenamed("id", id_col)
+
+
+def chunk_blocks(blocks: DataFrame, id_col: str, **options) -> DataFrame:
+    """Chunks of a table of flat text blocks (id, ord, kind, level, title, text), gathered by document."""
+    have = set(blocks.columns)
+    cols = [F.col(c) if c in have else F.lit(None).cast(kind).alias(c) for c, kind in (("ord", "long"), ("kind", "string"), ("level", "int"), ("title", "string"), ("text", "string"))]
+    docs = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("blocks"))
+    return chunk_arrays(docs, id_col, **options)
 
 
 def with_context(chunks: DataFrame, name: str) -> DataFrame:

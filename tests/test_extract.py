@@ -227,6 +227,77 @@ def test_chunks_cover_documents():
     assert [c["heading_path"] for c in path] == [["A"], ["A", "B"]]
 
 
+def texts(blocks, **options):
+    return [c["text"] for c in chunk(blocks, **options)]
+
+
+def words_of(text):
+    return len(text.split())
+
+
+def test_chunk_rules():
+    P, H = lambda t: Block("paragraph", t), lambda n, t: Block("heading", t, level=n)
+    made = list(chunk([H(1, "Chapter 1"), P("Intro text."), H(1, "Chapter 2"), H(2, "Pricing"), P("Prices rise."), H(2, "Terms"), P("Net thirty.")]))
+    assert [(c["heading_path"], c["text"]) for c in made] == [(["Chapter 1"], "Chapter 1\n\nIntro text."), (["Chapter 2", "Pricing"], "Chapter 2\n\nPricing\n\nPrices rise."), (["Chapter 2", "Terms"], "Terms\n\nNet thirty.")]
+    assert texts([P("One two three. Four five six. Seven eight nine. Ten.")], max_size=6, overlap=0, count=words_of) == ["One two three. Four five six.", "Seven eight nine. Ten."]
+    assert texts([P("Short one. Another sentence here. Abcdefghijklmnop")], max_size=24, overlap=0) == ["Short one.", "Another sentence here.", "Abcdefghijklmnop"]
+    assert "Abcdefgh" in texts([P("Short one. Another sentence here. Abcdefghijklmnop")], max_size=8, overlap=0)
+    made = list(chunk([P("First part here. Second part here. Third part here.")], max_size=36, overlap=18))
+    assert [(c["text"], c["overlap"]) for c in made] == [("First part here. Second part here.", 0), ("Second part here. Third part here.", 18)]
+    made = list(chunk([table_of([["a" * 10, "b" * 10, "c" * 10]])], max_size=21, overlap=0))
+    assert [c["text"] for c in made] == ["a" * 10 + "\t" + "b" * 10, "c" * 10] and made[0]["warnings"]
+    small = [H(1, "A"), P("Tiny."), H(1, "B"), P("Also tiny.")]
+    assert len(texts(small)) == 2 and len(texts(small, min_size=50)) == 1
+    grid = table_of([["name", "size"]] + [[f"row {k}", str(k)] for k in range(12)], 1)
+    made = list(chunk([grid], max_size=40, overlap=10))
+    assert len(made) > 2 and all(c["text"].startswith("name\tsize\n") for c in made) and all(c["overlap"] == 10 for c in made[1:])
+    slide = [Block("section", role="slide", title=t, blocks=[H(1, t), P(f"about {t}")]) for t in ("One", "Two")]
+    assert [(c["heading_path"], c["text"]) for c in chunk(slide, strategy="page")] == [(["One"], "One\n\nabout One"), (["Two"], "Two\n\nabout Two")]
+    assert texts([]) == [] and texts([P("")]) == []
+    for bad in ({"max_size": 0}, {"overlap": -1}, {"strategy": "no"}):
+        with pytest.raises(ValueError):
+            texts([P("x")], **bad)
+    # A counter whose sizes do not add up.
+    odd = lambda t: len(t) + (5 if len(t) > 12 else 0)
+    assert all(odd(t) <= 20 for t in texts([P("ab cd. Ef gh. Ij kl. Mn op. Qr st. Uv wx.")], max_size=20, overlap=8, count=odd))
+
+
+def slow_ends(blocks_text, most, spans):
+    """Where chunks of plain sentences end when each is as long as may be and cut at its strongest break, by trying all."""
+    ends, at = [], 0
+    while at < len(spans):
+        fit = [k for k in range(at + 1, len(spans) + 1) if spans[k - 1][1] - spans[at][0] <= most] or [at + 1]
+        if fit[-1] == len(spans):
+            end = len(spans)
+        else:
+            end = max(fit, key=lambda k: (2 * (spans[k - 1][1] - spans[at][0]) >= most, spans[k][2], k))
+        ends.append(spans[end - 1][1])
+        at = end
+    return ends
+
+
+def test_chunk_ends_against_brute_force():
+    r = random.Random(12)
+    for _ in range(120):
+        paragraphs, spans, at = [], [], 0
+        for _ in range(r.randint(1, 6)):
+            own = [f"Word{'x' * r.randint(0, 30)} one." for _ in range(r.randint(1, 8))]
+            for j, s in enumerate(own):
+                spans.append((at, at + len(s), 4 if not j else 3))
+                at += len(s) + 1
+            at += 1
+            paragraphs.append(" ".join(own))
+        spans[0] = (*spans[0][:2], 5)
+        most = r.choice([50, 90, 200])
+        text = "\n\n".join(paragraphs)
+        made = texts([Block("paragraph", p) for p in paragraphs], strategy="size", max_size=most, overlap=0)
+        found, at = [], 0
+        for c in made:
+            at = text.index(c, at) + len(c)
+            found.append(at)
+        assert found == slow_ends(text, most, spans)
+
+
 def test_markdown_rendering():
     cell = lambda t: vars(Cell(t))
     base = {"level": None, "role": None, "title": None, "text": None, "items": None, "rows": None, "header_rows": None, "caption": None, "language": None, "alt": None, "ref": None, "author": None, "ordered": None}
