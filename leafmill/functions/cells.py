@@ -7,6 +7,15 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from leafmill.sources.numbers import format_number
+
+
+@F.pandas_udf(StringType())
+def shown(value: pd.Series, code: pd.Series) -> pd.Series:
+    """Numbers as workbook format codes show them."""
+    return pd.Series([None if v != v or v is None else format_number(float(v), c or "General") for v, c in zip(value, code)])
 
 
 def column_name(number: Column) -> Column:

@@ -32,7 +32,7 @@ def magic(content: Column) -> Column:
     frame = F.conv(F.substring(head, 3, 2), 16, 10).cast("int")
     special = {
         "application/x-tar": F.substring(content, 258, 5) == F.lit(b"ustar"), "application/vnd.ms-outlook-pst": at(0, "!BDN") & at(8, "SM"), "image/webp": at(0, "RIFF") & at(8, "WEBP"), "audio/wav": at(0, "RIFF") & at(8, "WAVE"),
-        "audio/mpeg": at(0, "ID3") | (head.startswith("FF") & (F.coalesce(frame.bitwiseAND(0xE0), F.lit(0)) == 0xE0) & (frame.bitwiseAND(0x06) != 0)), "audio/mp4": ftyp & apple, "video/quicktime": ftyp & at(8, "qt  "), "video/mp4": ftyp,
+        "audio/mpeg": at(0, "ID3") | (head.startswith("FF") & ~head.startswith("FFFE") & (F.coalesce(frame.bitwiseAND(0xE0), F.lit(0)) == 0xE0) & (frame.bitwiseAND(0x06) != 0)), "audio/mp4": ftyp & apple, "video/quicktime": ftyp & at(8, "qt  "), "video/mp4": ftyp,
     }
     found = lambda kind, mime, sure=1.0: F.struct(F.lit(kind).alias("format"), F.lit(mime).alias("mime_type"), F.lit(sure).alias("confidence"))
     chain = None
@@ -74,7 +74,7 @@ def text_kind(text: Column) -> Column:
     s = F.substring(text, 1, SAMPLE)
     starts = lambda p: s.rlike(f"(?i)\\A[ \t\n\r\f]*{p}")
     xml_root = r"<[A-Za-z_:][A-Za-z0-9_:.-]*(?:\s+[A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*/?>"
-    delimited = delimited_kinds(s)
+    delimited = F.get(delimited_kinds(s), F.lit(0))
     after_doctype = r"<!doctype(?:[^<>\[\"']|\"[^\"]*\"|'[^']*'|\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\])*>\s*(?:<!--(?s:.*?)-->\s*|<\?(?s:.*?)\?>\s*)*"
     return (
         F.when(s.rlike(r"\A[ \t\n\r\f]*[\[{]") & is_json(s), "json")
@@ -87,8 +87,7 @@ def text_kind(text: Column) -> Column:
         .when(is_message(s), "eml")
         .when(starts("<!doctype html"), "html").when(starts(r"<\?xml"), "xml").when(starts(after_doctype + xml_root), "xml")
         .when(starts(f"</?(?:{HTML_TAGS})[>/\\s]"), "html").when(starts(xml_root), "xml").when(s.rlike(f"(?i)</?(?:{HTML_TAGS})[>/\\s]"), "html")
-        .when(F.size(delimited) > 0, F.get(delimited, 0))
-        .when(markdown_score(s) >= 2, "markdown").otherwise("txt")
+        .otherwise(F.coalesce(delimited, F.when(markdown_score(s) >= 2, "markdown").otherwise("txt")))
     )
 
 

@@ -22,9 +22,13 @@ def utf16_length(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())  # a type, not its name: workers import this module, and have no session
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC. Spark has no function for it, so this one goes through Arrow."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC. Spark has no function for it, so texts go through Arrow; those of ASCII alone stay in the JVM."""
+    return F.coalesce(_composed(F.when(F.octet_length(text) != F.length(text), text)), text)
 
 
 def lf(text: Column) -> Column:
@@ -76,18 +80,20 @@ def markdown_score(text: Column) -> Column:
     return (2 * of("# ") + of("[-*+] ") + 2 * of("```") + F.when(text.rlike(r"\[[^\n]*\]\("), 2).otherwise(0)).cast("long")
 
 
-def delimited_counts(text: Column, delimiter: str) -> Column:
-    """Distinct numbers of a delimiter in the non-empty rows of a text, and -1 if there is one row alone."""
+def delimited_kinds(text: Column) -> Column:
+    """Array of csv and tsv, as far as all non-empty rows have one number (not 0) of commas or semicolons, or of tabs. Rows
+    are cut once, and counted where the first has a delimiter at all."""
     bare = F.regexp_replace(F.regexp_replace(text, '"[^"]*(?:"|\\z)', "q"), "\r\n?", "\n")
     rows = F.filter(F.split(bare, "\n", -1), lambda r: ~r.rlike("\\A[ \f]*\\z"))
-    count = lambda r: (F.length(r) - F.length(F.replace(r, F.lit(delimiter), F.lit(""))))
-    return F.array_distinct(F.concat(F.transform(rows, count), F.when(F.size(rows) < 2, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))))
 
+    def kinds(lines: Column) -> Column:
+        number = lambda r, d: F.length(r) - F.length(F.replace(r, F.lit(d), F.lit("")))
+        head = F.get(lines, F.lit(0))
+        same = lambda d: (F.size(lines) > 1) & F.contains(head, F.lit(d)) & F.forall(lines, lambda r: number(r, d) == number(head, d))
+        return F.filter(F.array(F.when(same(",") | same(";"), "csv"), F.when(same("\t"), "tsv")), lambda k: k.isNotNull())
 
-def delimited_kinds(text: Column) -> Column:
-    """Array of csv and tsv, as far as all non-empty rows have one number (not 0) of commas or semicolons, or of tabs."""
-    same = lambda d: (F.size(delimited_counts(text, d)) == 1) & (F.get(delimited_counts(text, d), 0) > 0)
-    return F.filter(F.array(F.when(same(",") | same(";"), "csv"), F.when(same("\t"), "tsv")), lambda k: k.isNotNull())
+    # Named once, so the rows are not cut anew wherever they are used.
+    return F.get(F.transform(F.array(rows), kinds), F.lit(0))
 
 
 def drop_quoted(text: Column) -> Column:

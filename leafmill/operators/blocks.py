@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import normalize_text, paragraphs, segments, utf16_length
+from leafmill.functions.text import nfc, normalize_text, paragraphs, segments, utf16_length
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, composed: bool = False) -> DataFrame:
@@ -16,6 +16,39 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, composed: bool = Fa
     return each.select(id_col, F.col("ord").cast("long").alias("ord"), F.lit("paragraph").alias("kind"), normalize_text(F.col("text"), composed).alias("text"))
 
 
+def text_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, texts): the paragraphs of each plain text as an array, normalised. A document stays one row, so what follows
+    needs no shuffle."""
+    whole = docs.select(id_col, nfc(F.col(text_col)).alias("_text"))
+    return whole.select(id_col, F.transform(paragraphs(F.col("_text")), lambda p: normalize_text(p, composed=True)).alias("texts"))
+
+
+def array_blocks(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, blocks): paragraphs as block structs."""
+    return docs.select(id_col, F.transform("texts", lambda t: F.struct(F.lit("paragraph").alias("kind"), t.alias("text"))).alias("blocks"))
+
+
+def array_offsets(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, ord, text, start, end) of each paragraph in the document's text: sums inside the row, exploded last."""
+    sizes = F.transform("texts", utf16_length)
+    ends = F.aggregate(sizes, F.array().cast("array<bigint>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + 2, F.lit(0).cast("long")) + n)))
+    each = docs.select(id_col, "texts", sizes.alias("_n"), ends.alias("_ends"))
+    each = each.select(id_col, F.posexplode(F.arrays_zip("texts", "_n", "_ends")).alias("ord", "b"))
+    return each.select(id_col, F.col("ord").cast("long").alias("ord"), F.col("b.texts").alias("text"), (F.col("b._ends") - F.col("b._n")).alias("start"), F.col("b._ends").alias("end"))
+
+
+def array_text(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, text): paragraphs in order, parted by two line ends; documents without any are left out."""
+    return docs.where(F.size("texts") > 0).select(id_col, F.array_join("texts", "\n\n").alias("text"))
+
+
+def array_stats(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_blocks, n_units, longest) of the paragraphs."""
+    sizes = F.transform("texts", utf16_length)
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n)
+    return docs.where(F.size("texts") > 0).select(id_col, F.size("texts").cast("long").alias("n_blocks"), total.alias("n_units"), F.array_max(sizes).alias("longest"))
+
+
 def with_offsets(blocks: DataFrame, id_col: str, text: str = "text", ord_col: str = "ord") -> DataFrame:
     """Adds start and end of each block in the document's text, in UTF-16 units; blocks are parted by two line ends."""
     before = Window.partitionBy(id_col).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, -1)
