@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -13,11 +15,14 @@ CELL = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("raw_type", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("formula", T.StringType()),
     T.StructField("row_span", T.IntegerType()), T.StructField("col_span", T.IntegerType()), T.StructField("address", T.StringType()), T.StructField("hidden", T.BooleanType()),
 ])
+#: A part of a paragraph's text in one style; the parts' texts joined are the paragraph's.
+RUN = T.StructType([T.StructField("text", T.StringType()), T.StructField("bold", T.BooleanType()), T.StructField("italic", T.BooleanType()), T.StructField("code", T.BooleanType()), T.StructField("href", T.StringType())])
 BLOCKS = T.StructType([
     T.StructField("ord", T.IntegerType()), T.StructField("parent_ord", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()),
     T.StructField("role", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ordered", T.BooleanType()), T.StructField("items", T.ArrayType(ITEM)),
     T.StructField("rows", T.ArrayType(T.ArrayType(CELL))), T.StructField("header_rows", T.IntegerType()), T.StructField("caption", T.StringType()), T.StructField("language", T.StringType()), T.StructField("alt", T.StringType()),
     T.StructField("ref", T.StringType()), T.StructField("author", T.StringType()), T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
+    T.StructField("runs", T.ArrayType(RUN)),
 ])
 
 
@@ -33,6 +38,18 @@ class Cell:
     hidden: bool | None = None
 
 
+@dataclass(frozen=True)
+class Style:
+    bold: bool = False
+    italic: bool = False
+    code: bool = False
+    href: str | None = None
+
+
+#: A text and its style.
+Run = tuple[str, Style]
+
+
 @dataclass
 class Block:
     kind: str
@@ -51,6 +68,7 @@ class Block:
     author: str | None = None
     path: str | None = None
     blocks: list[Block] = field(default_factory=list)
+    runs: list[Run] | None = None
 
 
 @dataclass
@@ -93,6 +111,12 @@ class Options:
     include_hidden: bool = False
     revisions: str = "accept"  # or reject, show
     formulas: bool = False
+    runs: bool = False
+    child_bytes: bool = False
+    #: Called with each block before it is kept: gives the block to keep, or None to drop it. Blocks inside come first.
+    transform: Callable[[Block], Block | None] | None = None
+    #: Called with each block that is kept, in reading order.
+    on_block: Callable[[Block], None] | None = None
     input_bytes: int = 100_000_000
     uncompressed_bytes: int = 500_000_000
     ratio: int = 100
@@ -100,6 +124,9 @@ class Options:
     child_depth: int = 3
     block_depth: int = 64
     output_chars: int = 20_000_000
+    cells: int = 2_000_000
+    time_ms: int = 60_000
+    on_limit: str = "throw"  # or truncate: what fits is kept, with a warning
 
 
 class ReadError(Exception):
@@ -178,7 +205,7 @@ def flat(blocks: list[Block]) -> list[dict]:
                 at += 2
             here = len(out)
             row = {f: getattr(b, f) for f in ("kind", "level", "role", "title", "ordered", "header_rows", "caption", "language", "alt", "ref", "author", "path")}
-            row |= {"ord": here, "parent_ord": parent, "depth": depth, "items": b.items and [{"depth": d, "marker": m, "text": t} for d, m, t in b.items], "rows": b.rows and [[vars(c) for c in r] for r in b.rows], "text": b.text, "start": None, "end": None}
+            row |= {"ord": here, "parent_ord": parent, "depth": depth, "items": b.items and [{"depth": d, "marker": m, "text": t} for d, m, t in b.items], "rows": b.rows and [[vars(c) for c in r] for r in b.rows], "text": b.text, "start": None, "end": None, "runs": b.runs and [{"text": t, **vars(style)} for t, style in b.runs]}
             out.append(row)
             if b.kind == "section":
                 walk(b.blocks, here, depth + 1)
@@ -195,11 +222,87 @@ def document_text(blocks: list[Block]) -> str:
     return "\n\n".join(document_text(b.blocks) if b.kind == "section" else block_text(b) for b in blocks)
 
 
+def merged(runs: list[Run]) -> list[Run]:
+    """Runs with neighbours of one style put together."""
+    out: list[Run] = []
+    for text, style in runs:
+        if out and out[-1][1] == style:
+            out[-1] = (out[-1][0] + text, style)
+        elif text:
+            out.append((text, style))
+    return out
+
+
+def collapsed(runs: list[Run], spaces: str = " \t\n\r\f") -> list[Run]:
+    """Runs with each stretch of white space as one space (in the style that it begins with), and none at either end."""
+    out: list[Run] = []
+    waiting: Style | None = None
+    for text, style in runs:
+        for space, word in re.findall(f"([{spaces}]+)|([^{spaces}]+)", text):
+            if space:
+                waiting = waiting or style
+            else:
+                if waiting is not None and out:
+                    out.append((" ", waiting))
+                waiting = None
+                out.append((word, style))
+    return merged(out)
+
+
+def limited(blocks: list[Block], options: Options, warn: Callable[[str, str], None]) -> list[Block]:
+    """Blocks within the limits of cells and characters: more is an error, or by the option left out with a warning."""
+    left = {"chars": options.output_chars, "cells": options.cells}
+
+    def over(what: str) -> bool:
+        if options.on_limit != "truncate":
+            raise ReadError("LIMIT_EXCEEDED", f"The file has more {what} than is allowed.")
+        warn("TRUNCATED", f"What follows the allowed number of {what} was left out.")
+        return True
+
+    def walk(own: list[Block]) -> tuple[list[Block], bool]:
+        out: list[Block] = []
+        for b in own:
+            if b.kind == "section":
+                b.blocks, full = walk(b.blocks)
+                out.append(b)
+                if full:
+                    return out, True
+                continue
+            left["cells"] -= sum(map(len, b.rows or []))
+            if left["cells"] < 0:
+                return out, over("cells")
+            left["chars"] -= len(block_text(b))
+            if left["chars"] < 0:
+                return out, over("characters")
+            out.append(b)
+        return out, False
+
+    return walk(blocks)[0]
+
+
+def transformed(blocks: list[Block], options: Options) -> list[Block]:
+    """Blocks after the option's transform, those inside sections first; each that stays is shown to on_block."""
+    out = []
+    for b in blocks:
+        if b.kind == "section":
+            b.blocks = transformed(b.blocks, options)
+        made = options.transform(b) if options.transform else b
+        if made is not None:
+            out.append(made)
+            if options.on_block:
+                options.on_block(made)
+    return out
+
+
 def normalised(blocks: list[Block], depth: int, most: int) -> list[Block]:
     """Blocks with normal texts; sections deeper than allowed are spliced into their parents."""
     out: list[Block] = []
     for b in blocks:
         b.text = normal(b.text) if b.text is not None else None
+        if b.runs is not None:
+            b.runs = merged(b.runs)
+            if "".join(t for t, _ in b.runs) != b.text:
+                b.runs = [(b.text, Style())] if b.text else []
         b.caption = normal(b.caption) if b.caption is not None else None
         if b.items:
             b.items = [(d, m, normal(t)) for d, m, t in b.items]

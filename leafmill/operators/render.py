@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.model import BLOCKS
+
 SECTIONS = {"page": "Page", "slide": "Slide", "sheet": "Sheet", "part": "Part"}
 _START = re.compile(r"^(\s*)(#{1,6}(?=\s|$)|[-+*](?=\s|$)|>|\d{1,9}[.)](?=\s|$)|={2,}\s*$|-{2,}\s*$|~~~|```|\|)", re.M)
 
@@ -45,6 +49,42 @@ def table(b: dict, max_rows: int, max_columns: int) -> str:
     return "\n".join(out) + (f"\n\n… {told} not shown" if told else "") if cols else ""
 
 
+def linked(text: str, href: str | None) -> str:
+    """A link, if its address is one that a reader may follow: of the web, mail and telephone, or relative."""
+    if not href or re.match(r"(?!https?:|mailto:|tel:)[A-Za-z][A-Za-z0-9+.-]*:|//", href.strip(), re.I):
+        return text
+    return f"[{text}](<{href}>)" if re.search(r"[\s()<>]", href) and not re.search("[<>\n]", href) else f"[{text}]({href})" if not re.search(r"[\s()<>]", href) else text
+
+
+def styled(runs: list[dict]) -> str:
+    """Runs as Markdown; white space at a run's ends stays outside its marks."""
+    out = []
+    for r in runs:
+        lead, body, tail = re.fullmatch(r"(\s*)(.*?)(\s*)", r["text"], re.S).groups()
+        if not body:
+            out.append(r["text"])
+            continue
+        if r["code"]:
+            f = "`" * (1 + max((len(m) for m in re.findall("`+", body)), default=0))
+            made = f"{f} {body} {f}" if body[0] == "`" or body[-1] == "`" else f"{f}{body}{f}"
+        else:
+            made = escaped(body)
+        mark = "*" * (2 * bool(r["bold"]) + bool(r["italic"]))
+        out.append(lead + linked(f"{mark}{made}{mark}", r["href"]) + tail)
+    return "".join(out)
+
+
+def page_ranges(pages: list[int]) -> str:
+    """Numbers as ranges: 1, 4-6."""
+    out: list[list[int]] = []
+    for n in sorted(set(pages)):
+        if out and n == out[-1][1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return ", ".join(str(a) if a == b else f"{a}-{b}" for a, b in out)
+
+
 def block(b: dict, max_rows: int, max_columns: int, headers_footers: bool) -> str:
     kind, text = b["kind"], b["text"] or ""
     if kind == "heading":
@@ -70,7 +110,7 @@ def block(b: dict, max_rows: int, max_columns: int, headers_footers: bool) -> st
         return "> Note (" + (b["role"] or "note") + who + "): " + escaped(text).replace("\n", "\n> ")
     if kind in ("header", "footer") and not headers_footers:
         return ""
-    return escaped(text)
+    return styled(b["runs"]) if b.get("runs") else escaped(text)
 
 
 def markdown(blocks: list[dict], sections: str = "heading", max_rows: int = 200, max_columns: int = 50, headers_footers: bool = False) -> str:
@@ -100,7 +140,23 @@ def to_markdown(documents: DataFrame, **options) -> DataFrame:
     return documents.select("doc_id", "path", "blocks").mapInArrow(rows, f"doc_id {kind}, path string, markdown string")
 
 
-def to_json(documents: DataFrame) -> DataFrame:
-    """(doc_id, path, json) with a fixed order of fields; what is null is left out."""
-    fields = ["format", "mime_type", "encoding", F.from_json("metadata", "map<string,string>").alias("metadata"), F.from_json("features", "map<string,boolean>").alias("features"), "blocks", "children", "warnings"]
-    return documents.select("doc_id", "path", F.to_json(F.struct(*fields)).alias("json"))
+def to_json(documents: DataFrame, space: int = 0, child_bytes: bool = False) -> DataFrame:
+    """(doc_id, path, json) with a fixed order of fields; what is null is left out. space: indentation, up to 10. Bytes of
+    children are given (as base64) only if asked for. Nothing in it depends on the time of the run."""
+    child = ["path", "name", "status", "size", "mime_type", "error"]
+    told = F.transform("children", lambda c: F.struct(*[c[k].alias(k) for k in child], *([F.base64(c["content"]).alias("bytes")] if child_bytes else [])))
+    fields = ["format", "mime_type", "encoding", F.from_json("metadata", "map<string,string>").alias("metadata"), F.from_json("features", "map<string,boolean>").alias("features"), "blocks", told.alias("children"), "warnings"]
+    out = documents.select("doc_id", "path", F.to_json(F.struct(*fields)).alias("json"))
+    if not space:
+        return out
+
+    @F.pandas_udf("string")
+    def indented(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: json.dumps(json.loads(t), indent=min(10, space), ensure_ascii=False))
+
+    return out.withColumn("json", indented("json"))
+
+
+def schema_json() -> str:
+    """The schema of blocks as JSON, for those who read the tables elsewhere."""
+    return BLOCKS.json()

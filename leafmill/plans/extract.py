@@ -7,15 +7,21 @@ is a row with an error code; it never fails the job, and messages hold no conten
 from __future__ import annotations
 
 import json
+import signal
+import threading
+import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.model import Block, Options, ReadError, Result, document_text, flat, normalised
-from leafmill.sources import archives, delimited, detection, html, images, latex, mail, markdown, media, office, pdf, rtf, structured, timed
+from leafmill.batches import bounded_batches
+from leafmill.model import Block, Options, ReadError, Result, document_text, flat, limited, normalised, transformed
+from leafmill.sources import archives, delimited, detection, html, images, latex, legacy, mail, markdown, media, office, pdf, rtf, structured, timed
 
 CONTRACT = (1, 0)
 #: Bytes of files whose rows a task gathers before it hands them on.
@@ -39,7 +45,7 @@ TEXTS = {
 BYTES = {"eml": mail.read_eml, "mbox": mail.read_mbox, "rtf": rtf.read, "pdf": pdf.read, **dict.fromkeys(("png", "jpeg", "gif", "tiff", "webp", "bmp", "ico"), images.read), **dict.fromkeys(("audio", "video"), media.read)}
 PACKAGES = {
     "zip": archives.read_zip, "gzip": archives.read_gzip, "tar": archives.read_tar, **dict.fromkeys(("docx", "docm"), office.read_docx), **dict.fromkeys(("xlsx", "xlsm"), office.read_xlsx),
-    **dict.fromkeys(("pptx", "pptm"), office.read_pptx), **dict.fromkeys(("odt", "ods", "odp"), office.read_odf), "epub": office.read_epub, "vsdx": office.read_vsdx,
+    "msg": legacy.read_msg, "xls": legacy.read_xls, "doc": legacy.read_doc, "ppt": legacy.read_ppt, **dict.fromkeys(("pptx", "pptm"), office.read_pptx), **dict.fromkeys(("odt", "ods", "odp"), office.read_odf), "epub": office.read_epub, "vsdx": office.read_vsdx,
 }
 
 
@@ -90,7 +96,11 @@ def read_file(raw: bytes, options: Options, registry: Registry | None = None, sp
     if registry and kind in registry.plugins:
         out = registry.plugins[kind].read(raw, options)
     elif kind in TEXTS:
-        out = TEXTS[kind](detection.decoded(raw, found["encoding"] or "utf-8"), options)
+        if kind == "html" and (named := html.charset(raw, options.mime_type)):
+            found = found | {"encoding": named, "warnings": [w for w in found["warnings"] if w[0] != "ENCODING_GUESSED"]}
+            out = html.read(raw.decode(named, "replace"), options)
+        else:
+            out = TEXTS[kind](detection.decoded(raw, found["encoding"] or "utf-8"), options)
     elif kind in BYTES:
         out = BYTES[kind](raw, options)
     elif kind in PACKAGES:
@@ -99,46 +109,70 @@ def read_file(raw: bytes, options: Options, registry: Registry | None = None, sp
         raise ReadError("UNSUPPORTED_FORMAT", f"There is no reader for the format {kind}.")
     out.warnings = [*found["warnings"], *out.warnings]
     out.blocks = normalised(out.blocks, 0, options.block_depth)
+    if options.transform or options.on_block:
+        out.blocks = transformed(out.blocks, options)
+    out.blocks = limited(out.blocks, options, out.warn)
     if not options.metadata:
         out.metadata = {k: v for k, v in out.metadata.items() if k not in ("authors", "custom")}
     return found, out
 
 
+@contextmanager
+def in_time(seconds: float) -> Iterator[None]:
+    """Ends what runs inside with an error when the time is over. Python can do that in its main thread alone, which is
+    where workers run."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def over(*_: object) -> None:
+        raise ReadError("LIMIT_EXCEEDED", "The file took longer than is allowed.")
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, max(0.001, seconds))
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def tree(doc_id: object, name: str, raw: bytes, options: Options, registry: Registry | None) -> Iterator[dict]:
     """A row for each document of a file's tree: the file and, by the option, its children to the allowed depth."""
-    spent = [0]
-    todo = [(name, "", 0, raw, replace(options, filename=name), ())]
+    spent, until = [0], time.monotonic() + options.time_ms / 1000
+    todo = [(name, "", 0, raw, replace(options, filename=name), (sha256(raw).digest(),))]
     while todo:
         name, path, depth, content, own, above = todo.pop(0)
         row = {"doc_id": doc_id, "path": path, "depth": depth, "name": name, "size": len(content), "format": None, "mime_type": None, "confidence": None, "encoding": None, "metadata": "{}", "features": "{}", "text": "", "blocks": [], "children": [], "warnings": [], "error": None}
         try:
-            found, out = read_file(content, own, registry, spent)
+            with in_time(until - time.monotonic()):
+                found, out = read_file(content, own, registry, spent)
             row |= {k: found[k] for k in ("format", "mime_type", "confidence", "encoding")}
             text = document_text(out.blocks)
-            if len(text) > own.output_chars:
-                raise ReadError("LIMIT_EXCEEDED", "The text is longer than is allowed.")
             if own.children != "skip":
                 for c in out.children:
-                    digest = hash(c.content)
+                    digest = sha256(c.content).digest() if c.content is not None else None
                     if c.content is not None and own.children == "extract":
                         if depth + 1 > own.child_depth or digest in above:
                             row["warnings"].append({"code": "DEPTH_LIMIT", "message": "A file inside was not read: too deep, or a copy of what it is in."})
                         else:
                             c.status = "extracted"
                             todo.append((c.name, f"{path}/{c.path}".lstrip("/"), depth + 1, c.content, replace(own, filename=c.name, mime_type=c.mime_type, format=None), (*above, digest)))
-                    row["children"].append({"path": c.path, "name": c.name, "status": c.status, "size": c.size, "mime_type": c.mime_type, "error": c.error})
+                    row["children"].append({"path": c.path, "name": c.name, "status": c.status, "size": c.size, "mime_type": c.mime_type, "error": c.error, "content": c.content if own.child_bytes else None})
             row |= {"text": text, "blocks": flat(out.blocks), "metadata": json.dumps(out.metadata, ensure_ascii=False), "features": json.dumps(out.features)}
             row["warnings"] += [{"code": c, "message": m} for c, m in out.warnings]
         except ReadError as e:
             row["error"] = e.code
-        except (ValueError, KeyError, IndexError, TypeError, AttributeError, OSError, RecursionError, EOFError, LookupError):
+        except MemoryError:
+            raise  # the task's own trouble, not the file's
+        except Exception:  # whatever a damaged file leads a reader or a library to raise
             row["error"] = "CORRUPT_FILE"
         yield row
 
 
 DOCUMENTS = (
     "doc_id {id}, path string, depth int, name string, size long, format string, mime_type string, confidence double, encoding string, metadata string, features string, text string, "
-    "blocks array<{block}>, children array<struct<path:string,name:string,status:string,size:bigint,mime_type:string,error:string>>, warnings array<struct<code:string,message:string>>, error string"
+    "blocks array<{block}>, children array<struct<path:string,name:string,status:string,size:bigint,mime_type:string,error:string,content:binary>>, warnings array<struct<code:string,message:string>>, error string"
 )
 
 
@@ -146,8 +180,7 @@ def extract(files: DataFrame, id_col: str = "doc_id", content_col: str = "conten
     """One row for each document: what it is, its text, and arrays of blocks, children and warnings; error where it failed."""
     from leafmill.model import BLOCKS
 
-    # Files are large: few of them go to a worker at once.
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    bounded_batches(files.sparkSession)
     kind = files.schema[id_col].dataType.simpleString()
     name = F.col(name_col) if name_col else F.lit("")
     rows = files.select(F.col(id_col).alias("doc_id"), name.alias("name"), F.col(content_col).cast("binary").alias("content"))
@@ -195,3 +228,24 @@ def load_files(spark, path: str, options: Options = Options(), glob: str | None
     return files.where(F.col("length") <= options.input_bytes).select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
+def with_children(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): a file's text, and below it those of the files inside, each under its path. Gathers one file's tree."""
+    said = F.when(F.col("path") == "", F.col("text")).otherwise(F.concat("path", F.lit("\n"), "text"))
+    each = documents.where("error is null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("depth", "path", said.alias("said")))).alias("all"))
+    return each.select("doc_id", F.array_join(F.transform("all", lambda x: x["said"]), "\n\n").alias("text"))
+
+
+def write_files(rendered: DataFrame, folder: str, text_col: str, suffix: str, id_col: str = "doc_id") -> None:
+    """One file for each rendered document, partitioned by a name made from its id; written by the executors, so any
+    file system that Spark knows will do. Files of like name are kept apart by the id's hash."""
+    base = F.regexp_replace(F.element_at(F.split(F.col(id_col).cast("string"), "/"), -1), "[^A-Za-z0-9._-]+", "_")
+    name = F.concat(base, F.lit("-"), F.lower(F.hex(F.xxhash64(F.col(id_col).cast("string")))), F.lit(suffix))
+    rendered.select(name.alias("file"), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy("file").text(folder)
+
+
+def load_bounded(spark, paths: list[str], options: Options = Options(), most: int = 1000) -> DataFrame:
+    """Files of some glob patterns; more than `most` of them are an error before any is read."""
+    files = spark.read.format("binaryFile").load(paths)
+    if files.select("path").limit(most + 1).count() > most:
+        raise ValueError(f"the patterns stand for more than {most} files")
+    return files.where(F.col("length") <= options.input_bytes).select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")

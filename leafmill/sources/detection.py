@@ -35,7 +35,7 @@ def magic(raw: bytes) -> tuple[str, str, float] | None:
     head = raw[:16].hex().upper()
     special = {
         "application/x-tar": raw[257:262] == b"ustar", "application/vnd.ms-outlook-pst": raw[:4] == b"!BDN" and raw[8:10] == b"SM", "image/webp": raw[:4] == b"RIFF" and raw[8:12] == b"WEBP", "audio/wav": raw[:4] == b"RIFF" and raw[8:12] == b"WAVE",
-        "audio/mpeg": raw[:3] == b"ID3" or len(raw) > 1 and raw[0] == 255 and raw[1] & 0xE0 == 0xE0 and raw[1] & 6 != 0, "audio/mp4": raw[4:8] == b"ftyp" and raw[8:12] in (b"M4A ", b"M4B ", b"M4P "),
+        "audio/mpeg": raw[:3] == b"ID3" or len(raw) > 1 and raw[0] == 255 and raw[1] & 0xE0 == 0xE0 and raw[1] & 6 != 0 and raw[1] != 0xFE, "audio/mp4": raw[4:8] == b"ftyp" and raw[8:12] in (b"M4A ", b"M4B ", b"M4P "),
         "video/quicktime": raw[4:12] == b"ftypqt  ", "video/mp4": raw[4:8] == b"ftyp" and len(raw) >= 8,
     }
     for kind, mime, prefixes in MAGIC:
@@ -157,8 +157,14 @@ def zip_kind(names: list[str], read) -> str:
 
 
 def compound_kind(raw: bytes) -> str:
-    """The kind of a compound file, from the names in its directory."""
-    found = [k for name, k in (("WordDocument", "doc"), ("Workbook", "xls"), ("PowerPoint Document", "ppt"), ("__properties_version1.0", "msg")) if name.encode("utf-16le") in raw]
+    """The kind of a compound file, from the streams that lie in its root."""
+    from leafmill.sources.compound import Compound
+
+    try:
+        names = Compound(raw).names()
+    except (ValueError, struct.error, IndexError):
+        return "ole"
+    found = [k for k, own in (("doc", {"WordDocument"}), ("xls", {"Workbook", "Book"}), ("ppt", {"PowerPoint Document"}), ("msg", {"__properties_version1.0"})) if names & own]
     return found[0] if len(found) == 1 else "ole"
 
 
@@ -198,7 +204,7 @@ def detect(raw: bytes, options: Options) -> dict:
             kind, sure = hint, 0.55
         out |= {"format": kind, "mime_type": next((m for m, k in MIME.items() if k == kind), "text/plain"), "confidence": sure, "encoding": name}
         if name == "windows-1252":
-            out["warnings"].append(("ENCODING_GUESSED", "The text encoding was guessed."))
+            out["warnings"].append(("ENCODING_GUESSED", "No sign tells the encoding; windows-1252 was taken."))
     if hint and hint != out["format"] and not (suffix in LANGUAGES) and not {hint, out["format"]} <= {"docx", "docm", "xlsx", "xlsm", "pptx", "pptm"}:
-        out["warnings"].append(("FORMAT_MISMATCH", f'Detected format "{out["format"]}" disagrees with filename format "{hint}".'))
+        out["warnings"].append(("FORMAT_MISMATCH", f'The content is {out["format"]}, while the name or type says {hint}.'))
     return out

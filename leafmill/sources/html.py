@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from leafmill.model import Block, Cell, Options, Result
+from leafmill.model import Block, Cell, Options, Result, Run, Style, collapsed
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head script style noscript template".split())
@@ -22,11 +23,20 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Depth beyond which elements are put beside their parents instead of into them.
 DEPTH = 64
-# What marks the parts of a page that are not its main content.
-CHROME_TAGS = frozenset("nav aside header footer form button dialog menu select".split())
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-CHROME_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-CONTENT_WORDS = frozenset("article body content entry main page post story text".split())
+# Fixed values, which must be just these for the same main content: tags, roles and words of classes and ids that mark
+# what is not main content (page headers and footers only outside an article), words that speak for it, the tags whose
+# texts count as paragraphs and those that can hold the content, and the least length of a paragraph.
+CHROME_TAGS = frozenset(["nav", "aside", "dialog", "menu"])
+PAGE_CHROME_TAGS = frozenset(["header", "footer"])
+CHROME_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "dialog"])
+CHROME_WORDS = frozenset([
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "comment", "comments", "ad", "ads", "advert", "advertisement", "sponsor", "sponsored",
+    "promo", "related", "share", "social", "cookie", "cookies", "consent", "newsletter", "subscribe", "popup", "modal",
+])
+CONTENT_WORDS = frozenset(["content", "article", "main", "post", "entry", "story", "prose", "body"])
+PARAGRAPHS = frozenset(["p", "pre", "blockquote", "li", "td", "dd"])
+CONTAINERS = frozenset(["div", "section", "article", "main", "td", "body", ""])
+MIN_PARAGRAPH = 25
 
 
 @dataclass
@@ -109,6 +119,51 @@ def text_of(node: Node | str, keep: bool = False, skip: frozenset[int] = frozens
     return whole if keep else " ".join(re.split(r"[ \t\n\r\f]+", whole.strip(" \t\n\r\f")))
 
 
+def runs_of(node: Node, skip: frozenset[int] = frozenset()) -> list[Run]:
+    """The text of a subtree, as text_of gives it, in its styles."""
+    out: list[Run] = []
+    todo: list[tuple[Node | str, Style]] = [(node, Style())]
+    while todo:
+        n, style = todo.pop()
+        if isinstance(n, str):
+            out.append((n, style))
+        elif n.tag == "br":
+            out.append(("\n", style))
+        elif n.tag == "img":
+            out.append((n.attributes.get("alt", ""), style))
+        elif n.tag not in DROPPED and id(n) not in skip:
+            if n.tag in ("b", "strong"):
+                style = replace(style, bold=True)
+            elif n.tag in ("i", "em"):
+                style = replace(style, italic=True)
+            elif n.tag in ("code", "kbd", "samp", "tt"):
+                style = replace(style, code=True)
+            elif n.tag == "a" and n.attributes.get("href", "").strip():
+                style = replace(style, href=n.attributes["href"].strip())
+            inner = [(c, style) for c in n.children]
+            if n.tag in BLOCK and n is not node:
+                inner = [(" ", style), *inner, (" ", style)]
+            todo += reversed(inner)
+    return collapsed(out)
+
+
+# Names of character sets that stand for others on the web.
+CHARSETS = {"iso-8859-1": "windows-1252", "latin1": "windows-1252", "ascii": "windows-1252", "us-ascii": "windows-1252", "shift_jis": "cp932", "gb2312": "gb18030", "gbk": "gb18030", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "iso-8859-9": "cp1254", "tis-620": "cp874", "utf-16": "utf-8", "utf-16le": "utf-8", "utf-16be": "utf-8"}
+
+
+def charset(raw: bytes, mime_type: str | None) -> str | None:
+    """The character set that a page names: by its first bytes, a meta element near its start, or its type."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")):
+        if raw.startswith(mark):
+            return name
+    told = re.search(rb"<meta\s[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.+-]+)", raw[:1024], re.I)
+    name = told[1].decode() if told else (re.search(r"charset\s*=\s*[\"']?([A-Za-z0-9_:.+-]+)", mime_type or "", re.I) or [None, None])[1]
+    try:
+        return codecs.lookup(CHARSETS.get(name.lower(), name)).name if name else None
+    except LookupError:
+        return None
+
+
 def find(node: Node, tags: set[str]) -> list[Node]:
     out, todo = [], [node]
     while todo:
@@ -193,7 +248,7 @@ def list_items(node: Node, depth: int, skip: frozenset[int]) -> list[tuple[int,
     return out
 
 
-def emit(node: Node, out: list[Block], skip: frozenset[int] = frozenset()) -> None:
+def emit(node: Node, out: list[Block], skip: frozenset[int] = frozenset(), runs: bool = False) -> None:
     """Blocks of a subtree; runs of inline content between blocks are paragraphs."""
     run: list = []
 
@@ -202,8 +257,9 @@ def emit(node: Node, out: list[Block], skip: frozenset[int] = frozenset()) -> No
         part: list = []
         for n in [*run, None]:
             if n is None or isinstance(n, Node) and n.tag == "img" and not told:
-                if text := text_of(Node("#run", children=part), skip=skip):
-                    out.append(Block("paragraph", text))
+                inline = Node("#run", children=part)
+                if text := text_of(inline, skip=skip):
+                    out.append(Block("paragraph", text, runs=runs_of(inline, skip) if runs else None))
                 part = []
                 if n is not None and (alt := n.attributes.get("alt", "").strip()):
                     out.append(Block("image", alt=alt))
@@ -239,7 +295,7 @@ def emit(node: Node, out: list[Block], skip: frozenset[int] = frozenset()) -> No
             run.append(c)
             flush(told=True)
         else:
-            emit(c, out, skip)
+            emit(c, out, skip, runs)
     flush()
 
 
@@ -247,29 +303,45 @@ def words(node: Node) -> set[str]:
     return set(re.findall(r"[a-z]+", f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".lower()))
 
 
+def chrome(root: Node) -> frozenset[int]:
+    """What of a page is not its main content, whatever it holds."""
+    out, todo = set(), [(root, False)]
+    while todo:
+        n, in_article = todo.pop()
+        told = n.tag in CHROME_TAGS or n.tag in PAGE_CHROME_TAGS and not in_article or n.attributes.get("role", "").lower() in CHROME_ROLES
+        if told or n.tag not in ("#root", "html", "body", "main", "article") and words(n) & CHROME_WORDS:
+            out.add(id(n))
+        else:
+            todo += [(c, in_article or n.tag == "article") for c in n.children if isinstance(c, Node)]
+    return frozenset(out)
+
+
 def main_content(root: Node) -> tuple[Node, frozenset[int]]:
     """The node that holds the main content, and what inside the page is chrome: the first main element, else the article
     with the most text, else the container that its paragraphs speak for."""
-    skip = frozenset(id(n) for n in find(root, BLOCK | CHROME_TAGS) if n.tag not in ("html", "body", "main", "article") and (n.tag in CHROME_TAGS or n.attributes.get("role", "") in CHROME_ROLES or words(n) & CHROME_WORDS))
+    skip = chrome(root)
     if mains := [n for n in find(root, {"main"}) if id(n) not in skip]:
         return mains[0], skip
     if articles := [n for n in find(root, {"article"}) if id(n) not in skip]:
         return max(articles, key=lambda n: len(text_of(n, skip=skip))), skip
     scores: dict[int, float] = {}
     nodes: dict[int, Node] = {}
-    todo: list[tuple[Node, list[Node]]] = [(root, [])]
+    todo: list[tuple[Node, tuple]] = [(root, ())]  # a node, and the containers around it as a chain
     while todo:
-        node, above = todo.pop()
+        node, around = todo.pop()
         if id(node) in skip or node.tag in DROPPED:
             continue
-        if node.tag in ("p", "pre", "td") and above:
+        inner = (node, around) if node.tag in CONTAINERS or node is root else around
+        todo += [(c, inner) for c in node.children if isinstance(c, Node)]
+        if node.tag in PARAGRAPHS and around:
             text = text_of(node, skip=skip)
             linked = sum(len(text_of(a)) for a in find(node, {"a"}))
-            if len(text) >= 25 and 2 * linked <= len(text):
-                for n, share in zip(above[::-1][:2], (1, 0.5)):
-                    nodes[id(n)] = n
-                    scores[id(n)] = scores.get(id(n), 0) + share * (len(text) - linked)
-        todo += [(c, [*above, node]) for c in node.children if isinstance(c, Node)]
+            if len(text) >= MIN_PARAGRAPH and 2 * linked <= len(text):
+                for share in (1, 0.5):
+                    if around:
+                        n, around = around
+                        nodes[id(n)] = n
+                        scores[id(n)] = scores.get(id(n), 0) + share * (len(text) - linked)
     if not scores:
         return root, skip
     weight = lambda k: scores[k] * (1.25 if words(nodes[k]) & CONTENT_WORDS else 1)
@@ -295,5 +367,5 @@ def read(text: str, options: Options) -> Result:
     out.features["has_java_script"] = any(n.tag == "script" or any(a.startswith("on") for a in n.attributes) for n in every)
     out.features["has_external_links"] = any(n.tag in ("img", "link", "iframe", "source") and re.match(r"(?:https?:)?//", n.attributes.get("src") or n.attributes.get("href") or "") for n in every)
     node, skip = main_content(root) if options.main_content else (root, frozenset())
-    emit(Node("#page", children=[node]) if node.tag in BLOCK else node, out.blocks, skip)
+    emit(Node("#page", children=[node]) if node.tag in BLOCK else node, out.blocks, skip, options.runs)
     return out

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from dataclasses import replace
 
-from leafmill.model import Block, Cell, Options, Result
+from leafmill.model import Block, Cell, Options, Result, Run, Style
 
 _ITEM = re.compile(r"([ \t]*)([-*+]|\d{1,9}[.)])(?:[ \t]+(.*)|$)")
 _FENCE = re.compile(r"[ ]{0,3}(`{3,}|~{3,})[ \t]*([^`]*)$")
@@ -35,6 +36,38 @@ def plain(text: str) -> str:
     return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], text)
 
 
+_INLINE = re.compile(
+    r"(?P<tick>`+)(?!`)(?P<code>.+?)(?<!`)(?P=tick)(?!`)|\\(?P<escape>[!-/:-@\[-`{-~])|<(?P<auto>(?:https?|mailto|ftp):[^\s<>]+|[\w.+-]+@[\w.-]+)>|!\[(?P<alt>[^\[\]]*)\](?:\([^()]*(?:\([^()]*\)[^()]*)*\)|\[[^\[\]]*\])"
+    r"|\[(?P<link>[^\[\]]*)\](?:\((?P<href>[^()]*(?:\([^()]*\)[^()]*)*)\)|\[[^\[\]]*\])|(?P<star>\*{1,3})(?=\S)(?P<starred>.+?)(?<=\S)(?P=star)(?!\*)|(?<!\w)(?P<low>_{1,3})(?=\S)(?P<lowed>.+?)(?<=\S)(?P=low)(?!\w)|~~(?=\S)(?P<struck>.+?)(?<=\S)~~|</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+
+
+def runs_of(text: str, style: Style = Style()) -> list[Run]:
+    """Text without inline markup, in its styles."""
+    out: list[Run] = []
+    at = 0
+    for m in [*_INLINE.finditer(text), None]:
+        if before := text[at : m.start() if m else len(text)]:
+            out.append((html.unescape(before), style))
+        if m is None:
+            break
+        at = m.end()
+        if m["code"] is not None:
+            out.append((m["code"].strip() or m["code"], replace(style, code=True)))
+        elif m["escape"] or m["alt"] is not None:
+            out.append((m["escape"] or m["alt"], style))
+        elif m["auto"]:
+            out.append((m["auto"], replace(style, href=m["auto"] if ":" in m["auto"] else f"mailto:{m['auto']}")))
+        elif m["link"] is not None:
+            href = re.sub(r"\s+[\"'(].*$", "", (m["href"] or "").strip(), flags=re.S).strip("<>")
+            out += runs_of(m["link"], replace(style, href=href or style.href))
+        elif m["starred"] or m["lowed"]:
+            n = len(m["star"] or m["low"])
+            out += runs_of(m["starred"] or m["lowed"], replace(style, bold=style.bold or n > 1, italic=style.italic or n != 2))
+        elif m["struck"]:
+            out += runs_of(m["struck"], style)
+    return out
+
+
 def cells(line: str) -> list[str]:
     line = line.strip().removeprefix("|")
     parts = [p.replace("\0", "|") for p in re.sub(r"\\\|", "\0", line).split("|")]
@@ -145,5 +178,5 @@ def read(text: str, options: Options) -> Result:
             if (m := re.fullmatch(r"!\[([^\[\]]*)\]\([^()]*\)", joined)) and not level:
                 out.blocks.append(Block("image", alt=plain(m[1])))
             elif text := plain(joined):
-                out.blocks.append(Block("heading", text, level=level) if level else Block("paragraph", text))
+                out.blocks.append(Block("heading", text, level=level) if level else Block("paragraph", text, runs=runs_of(joined) if options.runs else None))
     return out

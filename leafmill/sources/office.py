@@ -5,9 +5,10 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from xml.etree import ElementTree
 
-from leafmill.model import Block, Cell, Options, ReadError, Result, table_of
+from leafmill.model import Block, Cell, Options, ReadError, Result, Run, Style, table_of
 from leafmill.sources import html as pages
 from leafmill.sources.archives import entry, open_zip
 from leafmill.sources.delimited import letters
@@ -72,6 +73,13 @@ def relations(part: Part, name: str) -> dict[str, tuple[str, str]]:
     return out
 
 
+def links(part: Part, name: str) -> dict[str, str]:
+    """Id -> address of the links of a part to the outside."""
+    folder, base = posixpath.split(name)
+    root = part(f"{folder}/_rels/{base}.rels" if folder else f"_rels/{base}.rels")
+    return {r.get("Id", ""): r.get("Target", "") for r in (root if root is not None else ()) if r.get("TargetMode") == "External" and r.get("Type", "").endswith("/hyperlink")}
+
+
 def properties(part: Part, out: Result, options: Options) -> None:
     core = part("docProps/core.xml")
     for node in core if core is not None else ():
@@ -85,9 +93,10 @@ def properties(part: Part, out: Result, options: Options) -> None:
 # Word documents ---------------------------------------------------------------------------------------------------
 
 
-def run_text(node: ElementTree.Element, options: Options) -> str:
-    """Text of a paragraph's runs; tracked changes by option, field codes left out."""
+def run_text(node: ElementTree.Element, options: Options, runs: list[Run] | None = None, links: dict[str, str] | None = None) -> str:
+    """Text of a paragraph's runs; tracked changes by option, field codes left out. runs takes them with their styles."""
     out: list[str] = []
+    styles = [Style()]
     field_depth: list[bool] = []  # whether the result has begun, for each open field
 
     def walk(n: ElementTree.Element) -> None:
@@ -104,6 +113,12 @@ def run_text(node: ElementTree.Element, options: Options) -> str:
                 out.append("[+")
         if name == "r" and not options.include_hidden and (v := first(n, "rPr", "vanish")) is not None and attribute(v, "val") not in ("0", "false"):
             return
+        told = len(out)
+        if name == "r" and runs is not None:
+            on = lambda x: (v := first(n, "rPr", x)) is not None and attribute(v, "val") not in ("0", "false")
+            styles.append(replace(styles[-1], bold=on("b"), italic=on("i")))
+        if name == "hyperlink" and runs is not None:
+            styles.append(replace(styles[-1], href=(links or {}).get(attribute(n, "id") or "") or None))
         if name == "fldChar":
             kind = attribute(n, "fldCharType")
             if kind == "begin":
@@ -123,6 +138,10 @@ def run_text(node: ElementTree.Element, options: Options) -> str:
         elif name not in ("pPr", "rPr", "instrText", "drawing", "pict", "object", "tbl"):
             for c in n:
                 walk(c)
+        if runs is not None and name in ("t", "delText", "tab", "br", "cr", "noBreakHyphen"):
+            runs.extend((x, styles[-1]) for x in out[told:])
+        if runs is not None and name in ("r", "hyperlink"):
+            styles.pop()
         if name in ("del", "moveFrom") and options.revisions == "show":
             out.append("-]")
         if name in ("ins", "moveTo") and options.revisions == "show":
@@ -145,7 +164,7 @@ def read_docx(raw: bytes, options: Options, spent: list[int]) -> Result:
     if root is None:
         raise ReadError("CORRUPT_FILE", "The document has no main part.")
     properties(part, out, options)
-    own = relations(part, main)
+    own, outside = relations(part, main), links(part, main)
     of = lambda kind: next((t for k, t in own.values() if k == kind), None)
     styles: dict[str, dict] = {}
     sheet = part(of("styles")) if of("styles") else None
@@ -212,7 +231,8 @@ def read_docx(raw: bytes, options: Options, spent: list[int]) -> Result:
         for n in nodes:
             name = local(n.tag)
             if name == "p":
-                text = run_text(n, options)
+                runs: list[Run] | None = [] if options.runs else None
+                text = run_text(n, options, runs, outside)
                 style = attribute(first(n, "pPr", "pStyle"), "val") if first(n, "pPr", "pStyle") is not None else None
                 number = first(n, "pPr", "numPr")
                 number = inherited(style, "num") if number is None else number
@@ -228,7 +248,7 @@ def read_docx(raw: bytes, options: Options, spent: list[int]) -> Result:
                         into.append(Block("list", ordered=ordered, items=[]))
                     into[-1].items.append((depth, shown, text))
                 else:
-                    into.append(Block("paragraph", text))
+                    into.append(Block("paragraph", text, runs=runs))
             elif name == "tbl":
                 into.append(table(n))
             elif name in ("sdt", "sdtContent", "smartTag", "customXml"):

@@ -192,11 +192,11 @@ def read_xml(text: str, options: Options) -> Result:
     source = text.removeprefix("﻿")
     plain = re.sub(r"<!DOCTYPE(?:[^\[\]<>\"']|\"[^\"]*\"|'[^']*'|\[(?:[^\]\"'<]|\"[^\"]*\"|'[^']*'|<!--.*?-->|<[^>]*>)*\])*>", "", source, count=1, flags=re.S)
     if plain != source:
-        out.warn("DTD_IGNORED", "XML document type declarations are ignored.")
+        out.warn("DTD_IGNORED", "The DOCTYPE of the file was passed over.")
     known = {"amp", "lt", "gt", "quot", "apos"}
     escaped = re.sub(r"&([A-Za-z_:][\w.:-]*);", lambda m: m[0] if m[1] in known else f"&amp;{m[1]};", plain)
     if escaped != plain:
-        out.warn("UNKNOWN_ENTITY", "XML contained an entity reference that was not expanded.")
+        out.warn("UNKNOWN_ENTITY", "An entity that is not one of the five known ones was left as it stands.")
     parser = expat.ParserCreate(namespace_separator=None)
     root: list = []
     open_: list[list] = []  # name, own texts, children
