@@ -6,7 +6,7 @@ whole corpus, P(entity | term) is estimated as the texts with both over the text
 entity's texts over all; the term's pointwise mutual information with the entity, over the entity's own information,
 is what share of it the term discloses. Terms that disclose at least DISCLOSED of it, in SUPPORT independent texts or
 more, are spans of the kind `term` wherever they occur, in texts without the entity too; sanitised() removes those
-that disclose nearly everything, and generalises the others.
+that disclose nearly everything, and generalises the others to their class: a name (with a capital) or a word.
 
 All counts are of distinct texts, so copies change nothing. Near copies (texts that are alike in their words, found
 by min-wise hashes) count as one independent text. Only texts that hold an entity go through the counts with their words as a row.
@@ -162,7 +162,8 @@ def independent(mentions: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_hash, base, spans, cut: a row for each document; spans are the base ones and terms, sorted."""
+    """id, text_hash, base, spans, cut (of each term's place whether it is removed): a row for each row; spans are the base
+    ones and terms, sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     some = F.size("spans") > 0
@@ -219,7 +220,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text rewritten: entities as [EMAIL], [IP], [CARD], [PHONE], terms as [TERM] or removed. A null text stays null."""
+    """docs with its text rewritten: entities as [EMAIL], [IP], [CARD], [PHONE], terms as [NAME] or [WORD], or removed. A null text stays null."""
     # The join's own columns have names that documents do not.
     own = {"id": "__pii_id", "text_hash": "__pii_hash", "spans": "__pii_spans", "cut": "__pii_cut"}
     found = found_spans(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "text_hash"])
@@ -228,7 +229,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kept = docs.withColumn("__pii_of", F.xxhash64(F.coalesce(text, F.lit(""))))
     kept = kept.join(found, kept[id_col].eqNullSafe(found["__pii_id"]) & (F.col("__pii_of") == F.col("__pii_hash")), "left")
     removed = lambda s: F.exists("__pii_cut", lambda c: (c["start"] == s["start"]) & (c["end"] == s["end"]) & c["removed"])
-    shown = lambda s: F.when((s["kind"] == "term") & removed(s), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    class_of = lambda s: F.when(F.substring(text, s["start"] + 1, F.lit(1)).rlike(r"\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[WORD]"))
+    shown = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(removed(s), F.lit("")).otherwise(class_of(s))
     zero = F.struct(F.lit(0).alias("until"), F.array().cast("array<string>").alias("parts"))
     parts = F.aggregate(spans, zero, lambda a, s: F.when(s["start"] < a["until"], F.struct(F.greatest(a["until"], s["end"]).alias("until"), a["parts"].alias("parts"))).otherwise(F.struct(
         s["end"].alias("until"), F.concat(a["parts"], F.array(F.substring(text, a["until"] + 1, s["start"] - a["until"]), shown(s))).alias("parts"))))

@@ -87,3 +87,62 @@ def test_copies_change_no_share(spark):
     rows = list(enumerate(texts))
     once, copied = cleaned(spark, [*rows, *others(400)]), cleaned(spark, [*rows, *[(10 + k, texts[0]) for k in range(90)], *others(400)])
     assert all("Zebulon" not in x[k] for x in (once, copied) for k in range(3)) and once[0] == copied[0] == copied[99]
+
+
+def disclosed_by_hand(texts):
+    """{term: removed} by brute force over distinct texts that are no near copies of each other."""
+    import math
+    from collections import defaultdict
+
+    from leafmill.llm.pii import DISCLOSED, REMOVED, SUPPORT
+
+    distinct = sorted(set(t or "" for t in texts))
+    terms = [{w.lower() for w in re.findall(r"(?<![^\W_@._%+-])(?<![\w@.%+-])[^\W\d_]{3,}(?![\w@%+-]|\.[^\W\d_])", t)} for t in distinct]
+    own = [{(k, re.sub(r"[\x20().-]", "", m[0]).lower()) for k in KINDS for m in re.finditer(PLAIN[k], t) if holds(k, m[0])} for t in distinct]
+    entity_n, term_n, both = defaultdict(int), defaultdict(int), defaultdict(int)
+    for e, w in zip(own, terms):
+        for x in e:
+            entity_n[x] += 1
+            for y in w:
+                both[x, y] += 1
+        for y in w:
+            term_n[y] += 1
+    out = {}
+    for (x, y), n in both.items():
+        p = entity_n[x] / len(distinct)
+        if n >= SUPPORT and p < 1:
+            share = (math.log2(n / term_n[y]) - math.log2(p)) / -math.log2(p)
+            if share >= DISCLOSED:
+                out[y] = out.get(y, False) or share >= REMOVED
+    return out
+
+
+def test_disclosure_against_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(7)) for _ in range(400)]
+    people = [(f"Person{'abcdefgh'[k]}xyz", f"p{k}@corp.example") for k in range(8)]
+    rows = []
+    for k in range(260):
+        name, mailbox = people[k % 8]
+        text = " ".join(r.sample(words, 25))
+        x = r.random()
+        text += f" {name}" if x < 0.5 else ""
+        text += f" {mailbox}" if x < 0.35 or x > 0.95 else ""
+        rows.append((k, text if r.random() < 0.9 or not rows else rows[-1][1]))
+    rows += [(900, None), (None, f"no id {people[0][0]} {people[0][1]}"), (901, ""), (902, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = disclosed_by_hand([t for _, t in rows])
+    assert want
+    for x in found_spans(docs, "doc_id", "text").join(docs.withColumnRenamed("doc_id", "own").withColumnRenamed("text", "said"), F.col("id").eqNullSafe(F.col("own"))).collect():
+        text = x["said"] or ""
+        got = sorted((text[s["start"] : s["end"]].lower(), s["start"]) for s in x["spans"] if s["kind"] == "term")
+        assert got == sorted((m[0].lower(), m.start()) for m in re.finditer(r"(?<![\w@.%+-])[^\W\d_]{3,}(?![\w@%+-]|\.[^\W\d_])", text) if m[0].lower() in want), text
+
+
+def test_terms_become_their_class(spark):
+    rows = [(k, f"{NAMES[k % 6]}{k} {k * 7} ab{k} Zebulon quarry went zeb@corp.example cd{k} {NAMES[5 - k % 6]}q{k} ef{k}") for k in range(30)]
+    rows += [(500 + k, f"aside{k} {k} Zebulon and a quarry without gh{k} {NAMES[k % 6]}r{k}") for k in range(10)]
+    out = cleaned(spark, [*rows, *others(3000)])
+    assert "[NAME] [WORD] went [EMAIL]" in out[4] and "[NAME] and a [WORD] without" in out[500]
