@@ -5,6 +5,9 @@ each relaxes the best score of that place. The best path is the encoding. Charac
 their bytes. As no piece has a space sign after another character, best paths meet before each space sign: a text is
 cut there, and the paths of its units are remembered, which changes no result.
 
+Models that normalise texts (beyond the space signs), have pieces of the user's own or space signs at the ends of words
+are refused, as their texts would be encoded otherwise than by the format's own library.
+
 Defined results: a null or empty text has no pieces and decodes to an empty text. Repeated rows each give their row,
 an empty table gives none. Texts that hold the space sign U+2581 decode to a space there, as in the file format.
 Columns beside the id and the text are ignored whatever their names.
@@ -77,7 +80,14 @@ class Model:
                 self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
                 self.kinds.append(piece.get(3, NORMAL))
             elif number == 3:
-                self.prefix = bool(dict(_fields(value)).get(3, 1))
+                rules = dict(_fields(value))
+                self.prefix = bool(rules.get(3, 1))
+                if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError("the model normalises texts in a way that is not supported")
+            elif number == 2 and dict(_fields(value)).get(24):
+                raise ValueError("the model puts space signs at the ends of words, which is not supported")
+        if OWN in self.kinds:
+            raise ValueError("the model has pieces that are matched before all others, which is not supported")
         self.bytes = {int(p[3:5], 16): k for k, p in enumerate(self.pieces) if self.kinds[k] == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.automaton = ahocorasick.Automaton()
