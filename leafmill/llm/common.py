@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.batches import bounded_batches
+
 #: The six characters that part words in `[^\x20\x09-\x0D]+`; bytes.split() parts at just these.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -29,7 +31,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds: texts can be long, so batches have few rows, and few bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    bounded_batches(spark)
