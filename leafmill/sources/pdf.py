@@ -288,25 +288,90 @@ def page_pieces(f: File, content: bytes, resources: object, depth: int = 0) -> l
     return out
 
 
-def laid_out(pieces: list[Piece]) -> list[Block]:
-    """Lines by baseline, paragraphs by the gaps between lines, headings by size."""
+#: A space between columns is at least so many letter sizes wide, and goes down at least so many lines.
+COLUMN_GAP, COLUMN_LINES, COLUMN_WIDTH = 1.2, 3, 8.0
+
+
+def rows_of(pieces: list[Piece]) -> list[list[Piece]]:
+    """Pieces on one baseline, from the top down."""
     lines: list[list[Piece]] = []
     for p in sorted(pieces, key=lambda p: (-p.y, p.x)):
         if lines and abs(lines[-1][0].y - p.y) <= 0.5 * max(p.size, lines[-1][0].size):
             lines[-1].append(p)
         else:
             lines.append([p])
-    made: list[tuple[float, float, str]] = []  # place, size, text
-    for row in lines:
-        text, end = "", None
-        for p in sorted(row, key=lambda p: p.x):
-            text += (" " if end is not None and p.x - end > 0.15 * p.size and not text.endswith(" ") and not p.text.startswith(" ") else "") + p.text
-            end = p.x + p.width
-        if text.strip():
-            made.append((row[0].y, max(p.size for p in row), " ".join(text.split())))
-    if not made:
+    return lines
+
+
+def spaces(row: list[Piece], low: float, high: float, least: float) -> list[tuple[float, float]]:
+    """Stretches between two bounds where a row has nothing."""
+    out, at = [], low
+    for p in sorted(row, key=lambda p: p.x):
+        if p.x - at >= least:
+            out.append((at, p.x))
+        at = max(at, p.x + p.width)
+    return [*out, (at, high)] if high - at >= least else out
+
+
+def regions(pieces: list[Piece], depth: int = 0) -> list[list[list[Piece]]]:
+    """Rows of pieces by region, in reading order. Where rows one below the other leave the same stretch free, with text
+    to both sides of it, what lies left is read before what lies right; each side may have columns in turn."""
+    rows = rows_of(pieces)
+    if depth >= 32 or len(rows) < COLUMN_LINES:
+        return [rows] if rows else []
+    size = median(p.size for p in pieces)
+    low, high = min(p.x for p in pieces), max(p.x + p.width for p in pieces)
+    out: list[list[list[Piece]]] = []
+    plain: list[list[Piece]] = []
+
+    def sides(run: list[list[Piece]], gap: tuple[float, float]) -> tuple[list[Piece], list[Piece]]:
+        return [p for r in run for p in r if p.x < gap[0] + 1e-6], [p for r in run for p in r if p.x >= gap[1] - 1e-6]
+
+    def columns(run: list[list[Piece]], free: list[tuple[float, float]]) -> tuple | None:
+        for gap in sorted(free, key=lambda g: g[0] - g[1]):
+            parts = sides(run, gap)
+            if all(len(rows_of(x)) >= COLUMN_LINES and max(p.x + p.width for p in x) - min(p.x for p in x) >= COLUMN_WIDTH * size for x in parts):
+                return parts
+        return None
+
+    i = 0
+    while i < len(rows):
+        free, j = spaces(rows[i], low, high, COLUMN_GAP * size), i + 1
+        while j < len(rows):
+            both = [(max(a, c), min(b, d)) for a, b in free for c, d in spaces(rows[j], low, high, COLUMN_GAP * size)]
+            both = [g for g in both if g[1] - g[0] >= COLUMN_GAP * size]
+            if not any(g[0] > low and g[1] < high for g in both):
+                break
+            free, j = both, j + 1
+        found = columns(rows[i:j], [g for g in free if g[0] > low and g[1] < high]) if j - i >= COLUMN_LINES else None
+        if found:
+            out += [plain] if plain else []
+            plain = []
+            for side in found:
+                out += regions(side, depth + 1)
+            i = j
+        else:
+            plain.append(rows[i])
+            i += 1
+    return out + ([plain] if plain else [])
+
+
+def laid_out(pieces: list[Piece]) -> list[Block]:
+    """Lines by baseline and column, paragraphs by the gaps between lines, headings by size."""
+    made: list[tuple[float, float, str] | None] = []  # place, size, text; None between regions
+    for region in regions(pieces):
+        for row in region:
+            text, end = "", None
+            for p in sorted(row, key=lambda p: p.x):
+                text += (" " if end is not None and p.x - end > 0.15 * p.size and not text.endswith(" ") and not p.text.startswith(" ") else "") + p.text
+                end = p.x + p.width
+            if text.strip():
+                made.append((row[0].y, max(p.size for p in row), " ".join(text.split())))
+        made.append(None)
+    sizes = [s for x in made if x for s in [x[1]] * len(x[2].split())]
+    if not sizes:
         return []
-    body = median(s for _, s, t in made for _ in t.split())
+    body = median(sizes)
     out: list[Block] = []
     held: list[str] = []
     held_size = last = 0.0
@@ -318,7 +383,11 @@ def laid_out(pieces: list[Piece]) -> list[Block]:
             out.append(Block("heading", text, level=1 if ratio >= 1.9 else 2 if ratio >= 1.5 else 3) if ratio >= 1.25 and len(text) < 300 else Block("paragraph", text))
         held.clear()
 
-    for y, size, text in made:
+    for line in made:
+        if line is None:
+            flush()
+            continue
+        y, size, text = line
         if held and (last - y > 1.6 * max(size, held_size) or max(size, held_size) > 1.2 * min(size, held_size)):
             flush()
         held.append(text)
@@ -384,6 +453,30 @@ def outline(f: File, root: dict) -> dict[int, list[Block]]:
     return out
 
 
+def page_labels(f: File, root: dict, n: int) -> list[str | None]:
+    """Labels of the pages, where the file has some: numbers by style, with a prefix."""
+    from leafmill.sources.office import roman
+
+    found: list[tuple[int, dict]] = []
+    todo, seen = [f.of(root.get("PageLabels"))], 0
+    while todo and seen < 10_000:
+        node, seen = todo.pop(), seen + 1
+        if isinstance(node, dict):
+            numbers = f.of(node.get("Nums")) or []
+            found += [(f.of(k), f.of(v)) for k, v in zip(numbers[::2], numbers[1::2]) if isinstance(f.of(k), int) and isinstance(f.of(v), dict)]
+            todo += [f.of(k) for k in f.of(node.get("Kids")) or []]
+    out: list[str | None] = [None] * n
+    letters = lambda k: chr(97 + (k - 1) % 26) * ((k - 1) // 26 + 1)
+    shown = {"D": str, "r": roman, "R": lambda k: roman(k).upper(), "a": letters, "A": lambda k: letters(k).upper()}
+    found.sort(key=lambda x: x[0])
+    for (start, rule), (end, _) in zip(found, [*found[1:], (n, {})]):
+        first = f.of(rule.get("St")) or 1
+        for k in range(max(0, start), min(n, end)):
+            style = shown.get(f.of(rule.get("S")))
+            out[k] = text_string(f.of(rule.get("P"))) + (style(first + k - start) if style and isinstance(first, int) else "")
+    return out
+
+
 def form_fields(f: File, root: dict) -> list[list[str]]:
     """(full name, value) of a form's fields that have a value."""
     form = f.of(root.get("AcroForm"))
@@ -455,5 +548,7 @@ def read(raw: bytes, options: Options) -> Result:
             out.warn("NEEDS_OCR", "A page shows images and has no text.")
         out.blocks.append(section)
     out.metadata["pageCount"] = len(out.blocks)
+    for section, label in zip(out.blocks, page_labels(f, root, len(out.blocks))):
+        section.title = label or None
     out.features["has_java_script"] = any(isinstance(o, dict) and o.get("S") == "JavaScript" for o in f.objects.values())
     return out

@@ -115,6 +115,23 @@ def test_pdf():
         read(raw.replace(b"/Root 1 0 R", b"/Root 1 0 R/Encrypt 9 0 R"), "x.pdf")
 
 
+def pdf_of(content, labels=b""):
+    body = [b"<</Type/Catalog/Pages 2 0 R%s>>" % labels, b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>", b"<</Length %d>>stream\n%s\nendstream" % (len(content), content), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>"]
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k + 1, o) for k, o in enumerate(body)) + b"trailer <</Root 1 0 R>>"
+
+
+def test_pdf_columns():
+    at = lambda x, y, t: b"1 0 0 1 %d %d Tm (%s) Tj " % (x, y, t.encode())
+    left, right = [f"left line number {k} goes here" for k in range(6)], [f"right line number {k} is there" for k in range(6)]
+    content = b"BT /F1 10 Tf " + at(72, 760, "A headline that goes over both of the columns of the page, from left to right")
+    content += b"".join(at(72, 700 - 12 * k, a) + at(320, 700 - 12 * k, b) for k, (a, b) in enumerate(zip(left, right))) + at(72, 560, "A last line that goes over both of the columns of the page, from left to right") + b"ET"
+    out = read(pdf_of(content, b"/PageLabels<</Nums[0<</S/r/St 4/P(p-)>>]>>"), "x.pdf")
+    assert [b.text for b in out.blocks[0].blocks] == ["A headline that goes over both of the columns of the page, from left to right", " ".join(left), " ".join(right), "A last line that goes over both of the columns of the page, from left to right"]
+    assert out.blocks[0].title == "p-iv"
+    rows = b"BT /F1 10 Tf " + b"".join(at(72, 700 - 12 * k, f"k{k}") + at(120, 700 - 12 * k, f"v{k}") for k in range(5)) + b"ET"
+    assert read(pdf_of(rows), "x.pdf").blocks[0].blocks[0].text == "k0 v0 k1 v1 k2 v2 k3 v3 k4 v4"  # too narrow for columns
+
+
 def test_mail():
     raw = "From: =?utf-8?q?J=C3=B6?= <a@b.c>\nTo: d@e.f\nDate: Tue, 06 Oct 2026 11:30:00 +0200\nSubject: S\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: multipart/alternative; boundary=r\n\n--r\nContent-Type: text/html\n\n<p>H</p>\n--r\nContent-Type: text/plain\n\nPlain\n\nOn Monday X wrote:\n> old\n--r--\n--q\nContent-Type: text/csv; name=t.csv\nContent-Disposition: attachment; filename=t.csv\n\na,b\n1,2\n--q--\n"
     out = read(raw, "x.eml")
