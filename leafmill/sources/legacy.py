@@ -290,7 +290,7 @@ def read_xls(raw: bytes, options: Options, spent: list[int]) -> Result:
         return Cell(format_number(value, codes.get(own) or BUILT_IN.get(own, "General"), date1904), "number", repr(value).removesuffix(".0"), address=address)
 
     for start, hidden, kind, title in sheets:
-        if kind or hidden and not options.include_hidden:
+        if kind:
             continue
         cells: dict[tuple[int, int], Cell] = {}
         waiting = None
@@ -330,7 +330,7 @@ def read_xls(raw: bytes, options: Options, spent: list[int]) -> Result:
                 waiting = key if body[6] == 0 else None
             else:
                 cells[key] = numbered(struct.unpack_from("<d", body, 6)[0], style, address)
-        out.blocks.append(Block("section", role="sheet", title=title, blocks=sheet_blocks(cells, options)))
+        out.blocks.append(Block("section", role="sheet", title=title, hidden={1: "true", 2: "very"}.get(hidden), blocks=sheet_blocks(cells, options)))
     out.features["has_macros"] = "_VBA_PROJECT_CUR" in file.names()
     return out
 

@@ -9,6 +9,7 @@ from dataclasses import replace
 from xml.etree import ElementTree
 
 from leafmill.model import Block, Cell, Options, ReadError, Result, Run, Style, table_of
+from leafmill.sources import equations
 from leafmill.sources import html as pages
 from leafmill.sources.archives import entry, open_zip
 from leafmill.sources.delimited import letters
@@ -127,6 +128,10 @@ def run_text(node: ElementTree.Element, options: Options, runs: list[Run] | None
                 field_depth[-1] = True
             elif kind == "end" and field_depth:
                 field_depth.pop()
+        elif name in ("oMath", "oMathPara"):
+            out.append(equations.structure(n, 0) if name == "oMathPara" else equations.line(n))
+            if runs is not None:
+                runs.append((out[-1], styles[-1]))
         elif name in ("t", "delText") and all(field_depth):
             out.append(n.text or "")
         elif name == "tab":
@@ -305,14 +310,73 @@ def regions(cells: dict[tuple[int, int], Cell]) -> list[tuple[int, int, int, int
     return found
 
 
-def sheet_blocks(cells: dict[tuple[int, int], Cell], options: Options) -> list[Block]:
-    out = []
-    for r1, r2, c1, c2 in regions(cells):
-        rows = [[cells.get((r, c)) or Cell(address=f"{letters(c)}{r}") for c in range(c1, c2 + 1)] for r in range(r1, r2 + 1)]
-        out.append(Block("table", rows=rows, header_rows=guess_header(rows, options.header_row)))
+#: Name and box (first row, last row, first column, last column) of a named range.
+Named = tuple[str, tuple[int, int, int, int]]
+
+
+def sheet_blocks(cells: dict[tuple[int, int], Cell], options: Options, named: list[Named] = [], hidden: Callable[[int, int], bool] | None = None, warn: Callable[[str, str], None] | None = None) -> list[Block]:
+    """Tables of a sheet's regions. A name of just a region is its caption; others are tables of their own, clipped to the
+    cells in use. hidden tells of a row and column whether the sheet hides them."""
+
+    def grid(box: tuple[int, int, int, int], caption: str | None) -> Block:
+        r1, r2, c1, c2 = box
+        rows = [[replace(cells[r, c]) if (r, c) in cells else Cell(address=f"{letters(c)}{r}") for c in range(c1, c2 + 1)] for r in range(r1, r2 + 1)]
+        for r, row in enumerate(rows, r1):
+            for c, cell in enumerate(row, c1):
+                cell.hidden = True if hidden and hidden(r, c) else None
+        return Block("table", rows=rows, header_rows=guess_header(rows, options.header_row), caption=caption)
+
+    own = regions(cells)
+    captions = {box: name for name, box in reversed(named) if box in own}
+    out = [grid(box, captions.get(box)) for box in own]
+    if cells and named:
+        top, bottom, left, right = min(r for r, _ in cells), max(r for r, _ in cells), min(c for _, c in cells), max(c for _, c in cells)
+        room, skipped = options.cells, 0
+        for name, box in named:
+            if captions.get(box) == name:
+                continue
+            r1, r2, c1, c2 = max(top, box[0]), min(bottom, box[1]), max(left, box[2]), min(right, box[3])
+            area = (r2 - r1 + 1) * (c2 - c1 + 1)
+            if r1 > r2 or c1 > c2:
+                continue
+            if area > room:
+                skipped += 1
+                continue
+            if not any((r, c) in cells for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)):
+                continue
+            room -= area
+            out.append(grid((r1, r2, c1, c2), name))
+        if skipped and warn:
+            warn("TRUNCATED", f"Named ranges were left out, as their cells are too many: {skipped}.")
     return out
 
 
+_RANGE = re.compile(r"(?:'((?:[^']|'')+)'|([^'!\[\]:,() ]+))!\$?([A-Z]{1,3})\$?(\d{1,7})(?::\$?([A-Z]{1,3})\$?(\d{1,7}))?")
+_REFERENCE = re.compile(r"""("(?:[^"]|"")*"|'(?:[^']|'')*'!?)|(?<![A-Za-z0-9_.\\$])(\$?)([A-Za-z]{1,3})(\$?)(\d{1,7})(?![A-Za-z0-9_.(!])""")
+
+
+def column_of(name: str) -> int:
+    return sum((ord(x) - 64) * 26**k for k, x in enumerate(name.upper()[::-1]))
+
+
+def box_of(first_cell: tuple[str, str], last_cell: tuple[str | None, str | None]) -> tuple[int, int, int, int]:
+    c1, r1 = column_of(first_cell[0]), int(first_cell[1])
+    c2, r2 = (column_of(last_cell[0]), int(last_cell[1])) if last_cell[0] else (c1, r1)
+    return min(r1, r2), max(r1, r2), min(c1, c2), max(c1, c2)
+
+
+def moved_formula(text: str, down: int, right: int) -> str:
+    """A formula as it stands so many rows and columns on: relative references move, texts and names do not."""
+
+    def moved(m: re.Match) -> str:
+        if m[1]:
+            return m[1]
+        column, row = column_of(m[3]) + (0 if m[2] else right), int(m[5]) + (0 if m[4] else down)
+        return f"{m[2]}{letters(column)}{m[4]}{row}" if 1 <= column <= 16_384 and 1 <= row <= 1_048_576 else "#REF!"
+
+    return _REFERENCE.sub(moved, text)
+
+
 def read_xlsx(raw: bytes, options: Options, spent: list[int]) -> Result:
     out = Result()
     part, names = package(raw, options, spent)
@@ -330,17 +394,28 @@ def read_xlsx(raw: bytes, options: Options, spent: list[int]) -> Result:
     codes = {int(n.get("numFmtId", 0)): n.get("formatCode", "") for n in every(styles, "numFmt")} if styles is not None else {}
     own_formats = [int(x.get("numFmtId", 0)) for x in (first(styles, "cellXfs") if styles is not None and first(styles, "cellXfs") is not None else [])]
     date1904 = first(book, "workbookPr") is not None and first(book, "workbookPr").get("date1904") in ("1", "true")
+    names_on: dict[str, list[Named]] = {}
+    for n in every(book, "definedName"):
+        m = _RANGE.fullmatch((n.text or "").strip())
+        if m and n.get("hidden") not in ("1", "true") and not (n.get("name") or "").startswith("_xlnm"):
+            names_on.setdefault((m[1] or m[2]).replace("''", "'"), []).append((n.get("name") or "", box_of((m[3], m[4]), (m[5], m[6]))))
     for s in first(book, "sheets") if first(book, "sheets") is not None else ():
         hidden = s.get("state")
         kind, target = own.get(attribute(s, "id") or "", ("", ""))
         root = part(target) if target else None
         section = Block("section", role="sheet", title=s.get("name"))
-        if hidden in ("hidden", "veryHidden") and not options.include_hidden or root is None:
+        if root is None:
             continue
+        section.hidden = {"hidden": "true", "veryHidden": "very"}.get(hidden or "")
         cells: dict[tuple[int, int], Cell] = {}
+        shared_formulas: dict[str, tuple[str, int, int]] = {}
+        hidden_rows: set[int] = set()
+        hidden_columns = [(int(c.get("min", 0)), int(c.get("max", 0))) for c in every(root, "col") if c.get("hidden") in ("1", "true")]
         row_n = 0
         for row in every(root, "row"):
             row_n = int(row.get("r") or row_n + 1)
+            if row.get("hidden") in ("1", "true"):
+                hidden_rows.add(row_n)
             col_n = 0
             for c in children(row, "c"):
                 m = re.match(r"([A-Z]{1,3})(\d+)$", c.get("r") or "")
@@ -365,8 +440,14 @@ def read_xlsx(raw: bytes, options: Options, spent: list[int]) -> Result:
                         cell.text = format_number(float(value), code, date1904)
                     except ValueError:
                         cell.text = value
-                if options.formulas and first(c, "f") is not None:
-                    cell.formula = first(c, "f").text
+                if options.formulas and (f := first(c, "f")) is not None:
+                    text = f.text or ""
+                    if f.get("t") == "shared" and text:
+                        shared_formulas[f.get("si", "")] = text, row_n, col_n
+                    elif f.get("t") == "shared" and f.get("si", "") in shared_formulas:
+                        source, r0, c0 = shared_formulas[f.get("si", "")]
+                        text = moved_formula(source, row_n - r0, col_n - c0)
+                    cell.formula = ("{=" + text + "}" if f.get("t") == "array" else "=" + text) if text else None
                 if cell.raw is not None:
                     cells[row_n, col_n] = cell
         for m in every(root, "mergeCell"):
@@ -376,7 +457,14 @@ def read_xlsx(raw: bytes, options: Options, spent: list[int]) -> Result:
                 key = int(a[2]), at(a[1])
                 if key in cells:
                     cells[key].row_span, cells[key].col_span = int(a[4]) - int(a[2]) + 1, at(a[3]) - at(a[1]) + 1
-        section.blocks = sheet_blocks(cells, options)
+        named = list(names_on.get(s.get("name") or "", []))
+        for kind, t in relations(part, target).values():
+            grid = part(t) if kind == "table" else None
+            m = re.fullmatch(r"([A-Z]{1,3})(\d{1,7})(?::([A-Z]{1,3})(\d{1,7}))?", grid.get("ref", "")) if grid is not None else None
+            if m:
+                named.insert(0, (grid.get("displayName") or grid.get("name") or "", box_of((m[1], m[2]), (m[3], m[4]))))
+        concealed = (lambda r, c, rows=hidden_rows, columns=hidden_columns: r in rows or any(a <= c <= b for a, b in columns)) if hidden_rows or hidden_columns else None
+        section.blocks = sheet_blocks(cells, options, named, concealed, out.warn)
         for kind, comments in relations(part, target).values():
             told = part(comments) if kind == "comments" else None
             authors = [a.text or "" for a in every(told, "author")] if told is not None else []
@@ -396,6 +484,70 @@ def drawing_text(p: ElementTree.Element) -> str:
     return "".join("\n" if local(n.tag) == "br" else n.text or "" for n in p.iter() if local(n.tag) in ("t", "br"))
 
 
+def placed_shapes(tree: ElementTree.Element | None) -> Iterator[tuple[ElementTree.Element, float, float]]:
+    """(shape, top, left) of all shapes of a slide; groups move and scale what they hold."""
+    todo = [(c, (1.0, 0.0, 1.0, 0.0)) for c in (tree if tree is not None else ())][::-1]
+    while todo:
+        n, (sx, dx, sy, dy) = todo.pop()
+        name = local(n.tag)
+        if name == "grpSp":
+            own = first(n, "grpSpPr", "xfrm")
+            get = lambda tag, key: float(first(own, tag).get(key, 0)) if own is not None and first(own, tag) is not None else 0.0  # noqa: E731, B023
+            wide, high = get("chExt", "cx"), get("chExt", "cy")
+            kx, ky = (get("ext", "cx") / wide if wide else 1.0), (get("ext", "cy") / high if high else 1.0)
+            inner = (sx * kx, dx + sx * (get("off", "x") - get("chOff", "x") * kx), sy * ky, dy + sy * (get("off", "y") - get("chOff", "y") * ky))
+            todo += [(c, inner) for c in n][::-1]
+        elif name in ("sp", "graphicFrame"):
+            off = next(every(n, "off"), None)
+            x, y = (float(off.get("x", 0)), float(off.get("y", 0))) if off is not None else (0.0, 0.0)
+            yield n, dy + sy * y, dx + sx * x
+        elif name in ("AlternateContent", "Choice"):
+            todo += [(c, (sx, dx, sy, dy)) for c in n if local(c.tag) != "Fallback"][::-1]
+
+
+def chart_table(root: ElementTree.Element) -> Block | None:
+    """A chart's cached data: a column for each series, a row for each category."""
+    names, columns, categories = [], [], {}
+    for k, ser in enumerate(every(root, "ser")):
+        points = lambda tag: {int(p.get("idx", 0)): (first(p, "v").text or "") if first(p, "v") is not None else "" for holder in children(ser, tag) for p in every(holder, "pt")}  # noqa: E731, B023
+        title = points("tx")
+        plain = first(ser, "tx", "v")
+        names.append(title.get(0) or (plain.text if plain is not None and plain.text else f"Series {k + 1}"))
+        columns.append(points("val") or points("yVal"))
+        for place, text in (points("cat") or points("xVal")).items():
+            categories.setdefault(place, text)
+    places = sorted({*categories, *(i for c in columns for i in c)})
+    if not names or not places:
+        return None
+    title = next((c for c in every(root, "title")), None)
+    caption = " ".join("".join(t.text or "" for t in every(title, "t")).split()) if title is not None else ""
+    made = table_of([["", *names], *[[categories.get(i, str(i + 1)), *[c.get(i, "") for c in columns]] for i in places]], 1, caption=caption or None)
+    for row in made.rows[1:]:
+        for cell in row[1:]:
+            if re.fullmatch(r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?", cell.text):
+                cell.raw, cell.raw_type = cell.text, "number"
+    return made
+
+
+def diagram_list(root: ElementTree.Element) -> Block | None:
+    """A diagram's texts as a list, nested by what is part of what, eight levels deep at most."""
+    texts, order = {}, []
+    for p in every(root, "pt"):
+        if p.get("type", "node") in ("node", "asst") and (text := " ".join("".join(t.text or "" for t in every(p, "t")).split())):
+            texts[p.get("modelId")] = text
+            order.append(p.get("modelId"))
+    above = {c.get("destId"): c.get("srcId") for c in every(root, "cxn") if c.get("type", "parOf") == "parOf"}
+
+    def depth(k: str | None) -> int:
+        n, seen = 0, set()
+        while (k := above.get(k)) in texts and k not in seen and n < 7:
+            seen.add(k)
+            n += 1
+        return n
+
+    return Block("list", ordered=False, items=[(depth(k), None, texts[k]) for k in order]) if order else None
+
+
 def read_pptx(raw: bytes, options: Options, spent: list[int]) -> Result:
     out = Result()
     part, names = package(raw, options, spent)
@@ -411,16 +563,20 @@ def read_pptx(raw: bytes, options: Options, spent: list[int]) -> Result:
         if slide is None or slide.get("show") == "0" and not options.include_hidden:
             continue
         section = Block("section", role="slide")
-        shapes: list[tuple[tuple[int, int, int], list[Block]]] = []
-        for k, shape in enumerate(every(slide, "sp", "graphicFrame")):
-            off = next(every(shape, "off"), None)
-            place = (int(off.get("y", 0)), int(off.get("x", 0)), k) if off is not None else (0, 0, k)
+        shapes: list[tuple[tuple[float, float, int], list[Block]]] = []
+        parts = relations(part, target)
+        for k, (shape, top, left) in enumerate(placed_shapes(first(slide, "cSld", "spTree"))):
+            place = (top, left, k)
             kind = next((p.get("type", "body") for p in every(shape, "ph")), None)
             blocks: list[Block] = []
             if local(shape.tag) == "graphicFrame":
                 for t in every(shape, "tbl"):
                     rows = [["\n".join(filter(None, map(drawing_text, every(c, "p")))) for c in children(r, "tc")] for r in children(t, "tr")]
                     blocks.append(table_of(rows, int(first(t, "tblPr") is not None and first(t, "tblPr").get("firstRow") == "1")))
+                for n in every(shape, "chart", "relIds"):
+                    held = part(parts.get(attribute(n, "id" if local(n.tag) == "chart" else "dm") or "", ("", ""))[1] or "-")
+                    if held is not None and (made := chart_table(held) if local(n.tag) == "chart" else diagram_list(held)):
+                        blocks.append(made)
             else:
                 for p in every(shape, "p"):
                     if not (text := drawing_text(p)).strip():
@@ -440,7 +596,7 @@ def read_pptx(raw: bytes, options: Options, spent: list[int]) -> Result:
             if kind not in ("sldNum", "dt", "ftr"):
                 shapes.append((place, blocks))
         section.blocks = [b for _, blocks in sorted(shapes, key=lambda x: x[0]) for b in blocks]
-        notes = next((t for k, t in relations(part, target).values() if k == "notesSlide"), None)
+        notes = next((t for k, t in parts.values() if k == "notesSlide"), None)
         if notes and (page := part(notes)) is not None:
             texts = [t for sp in every(page, "sp") if next((p.get("type") for p in every(sp, "ph")), None) == "body" for p in every(sp, "p") if (t := drawing_text(p)).strip()]
             if texts:

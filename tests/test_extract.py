@@ -132,6 +132,62 @@ def test_pdf_columns():
     assert read(pdf_of(rows), "x.pdf").blocks[0].blocks[0].text == "k0 v0 k1 v1 k2 v2 k3 v3 k4 v4"  # too narrow for columns
 
 
+REL = lambda kind, target, k=1: f'<Relationship Id="r{k}" Type="http://x/{kind}" Target="{target}"/>'
+KIND = lambda x: f"<Types><Override ContentType='application/vnd.openxmlformats-officedocument.{x}.main+xml'/></Types>"
+
+
+def test_equations():
+    from xml.etree import ElementTree
+
+    from leafmill.sources.equations import line
+
+    t = lambda x: f"<r><t>{x}</t></r>"
+    cases = {
+        f"<f><num>{t('a+b')}</num><den>{t('2')}</den></f>": "(a+b)/2", f"<sSup><e>{t('x')}</e><sup>{t('2')}</sup></sSup>": "x^2", f"<sSubSup><e>{t('a')}</e><sub>{t('i')}</sub><sup>{t('n+1')}</sup></sSubSup>": "a_i^(n+1)",
+        f"<sPre><sub>{t('1')}</sub><sup>{t('2')}</sup><e>{t('X')}</e></sPre>": "_1^2X", f"<rad><radPr><degHide val='1'/></radPr><deg/><e>{t('x')}</e></rad>": "√(x)", f"<rad><deg>{t('3')}</deg><e>{t('x')}</e></rad>": "∛(x)", f"<rad><deg>{t('n')}</deg><e>{t('x')}</e></rad>": "√[n](x)",
+        f"<nary><naryPr><chr val='∑'/></naryPr><sub>{t('i=1')}</sub><sup>{t('n')}</sup><e>{t('i')}</e></nary>": "∑_(i=1)^n i", f"<nary><sub>{t('0')}</sub><sup/><e>{t('x')}</e></nary>": "∫_0 x",
+        f"<d><e>{t('a')}</e><e>{t('b')}</e></d>": "(a|b)", f"<m><mr><e>{t('1')}</e><e>{t('0')}</e></mr><mr><e>{t('0')}</e><e>{t('1')}</e></mr></m>": "[1, 0; 0, 1]", f"<d><e><m><mr><e>{t('1')}</e><e>{t('2')}</e></mr></m></e></d>": "(1, 2)",
+        f"<func><fName>{t('sin')}</fName><e>{t('θ')}</e></func>": "sin(θ)", f"<limLow><e>{t('lim')}</e><lim>{t('n→∞')}</lim></limLow>": "lim_(n→∞)", f"<acc><e>{t('x')}</e></acc>": "x\u0302", f"<eqArr><e>{t('a')}</e><e>{t('b')}</e></eqArr>": "a\nb", f"<box><e>{t('k')}</e></box>": "k",
+    }
+    for xml, want in cases.items():
+        assert line(ElementTree.fromstring(f"<oMath>{xml}</oMath>")) == want, xml
+    w = 'xmlns:w="http://w" xmlns:m="http://m"'
+    docx = zipped({"[Content_Types].xml": KIND("wordprocessingml.document"), "_rels/.rels": f"<Relationships>{REL('officeDocument', 'word/document.xml')}</Relationships>", "word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>So </w:t></w:r><m:oMath><m:f><m:num><m:r><m:t>1</m:t></m:r></m:num><m:den><m:r><m:t>2</m:t></m:r></m:den></m:f></m:oMath></w:p></w:body></w:document>"})
+    assert read(docx, "x.docx").blocks[0].text == "So 1/2"
+
+
+def test_workbook_names_formulas_and_hidden_parts():
+    from leafmill.sources.office import moved_formula
+
+    assert moved_formula("A2*$B$1+SUM(C1:D$4)&\"A1\"+'A1 x'!B2+Log10(A1)+x.A1", 1, 2) == "C3*$B$1+SUM(E2:F$4)&\"A1\"+'A1 x'!D3+Log10(C2)+x.A1" and moved_formula("A1", -1, 0) == "#REF!"
+    sheet = '<worksheet><cols><col min="3" max="3" hidden="1"/></cols><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>k</t></is></c><c r="B1" t="inlineStr"><is><t>v</t></is></c><c r="C1"><v>9</v></c></row><row r="2" hidden="1"><c r="A2"><v>1</v></c><c r="B2"><f t="shared" si="0" ref="B2:B3">A2*$C$1</f><v>9</v></c></row><row r="3"><c r="A3"><v>2</v></c><c r="B3"><f t="shared" si="0"/><v>18</v></c></row></sheetData></worksheet>'
+    book = '<workbook xmlns:r="http://r"><sheets><sheet name="It\'s" r:id="r1" state="veryHidden"/></sheets><definedNames><definedName name="All">\'It\'\'s\'!$A$1:$C$3</definedName><definedName name="Part">\'It\'\'s\'!$A$2:$B$9</definedName><definedName name="_xlnm.Print_Area">\'It\'\'s\'!$A$1</definedName><definedName name="Far">\'It\'\'s\'!$X$1:$Z$3</definedName></definedNames></workbook>'
+    raw = zipped({"[Content_Types].xml": KIND("spreadsheetml.sheet"), "_rels/.rels": f"<Relationships>{REL('officeDocument', 'xl/workbook.xml')}</Relationships>", "xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": f"<Relationships>{REL('worksheet', 'worksheets/s.xml')}</Relationships>", "xl/worksheets/s.xml": sheet, "xl/worksheets/_rels/s.xml.rels": f"<Relationships>{REL('table', '../t.xml')}</Relationships>", "xl/t.xml": '<table ref="B1:B3" displayName="Values"/>'})
+    out = read_file(raw, Options(filename="x.xlsx", formulas=True))[1]
+    section = out.blocks[0]
+    assert section.hidden == "very" and [(b.caption, len(b.rows), len(b.rows[0])) for b in section.blocks] == [("All", 3, 3), ("Values", 3, 1), ("Part", 2, 2)]
+    rows = section.blocks[0].rows
+    assert [[c.formula for c in r] for r in rows][1:] == [[None, "=A2*$C$1", None], [None, "=A3*$C$1", None]]
+    assert [[bool(c.hidden) for c in r] for r in rows] == [[False, False, True], [True, True, True], [False, False, True]]
+
+
+def test_slides_with_charts_diagrams_and_groups():
+    a, r = 'xmlns:p="http://p" xmlns:a="http://a" xmlns:c="http://c" xmlns:d="http://d" xmlns:r="http://r"', "officeDocument"
+    sp = lambda x, y, t: f'<p:sp><p:spPr><a:xfrm><a:off x="{x}" y="{y}"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
+    frame = lambda y, inner: f'<p:graphicFrame><p:xfrm><a:off x="0" y="{y}"/></p:xfrm>{inner}</p:graphicFrame>'
+    group = f'<p:grpSp><p:grpSpPr><a:xfrm><a:off x="0" y="50"/><a:ext cx="10" cy="10"/><a:chOff x="0" y="1000"/><a:chExt cx="100" cy="100"/></a:xfrm></p:grpSpPr>{sp(0, 1100, "in group low")}{sp(0, 1000, "in group top")}</p:grpSp>'
+    slide = f'<p:sld {a}><p:cSld><p:spTree>{sp(0, 100, "last")}{group}{sp(0, 10, "first")}{frame(200, "<c:chart r:id=\'r2\'/>")}{frame(300, "<d:relIds r:dm=\'r3\'/>")}</p:spTree></p:cSld></p:sld>'
+    ser = lambda name, values: f"<ser><tx><strRef><strCache><pt idx='0'><v>{name}</v></pt></strCache></strRef></tx><cat><strRef><strCache><pt idx='0'><v>x</v></pt><pt idx='1'><v>y</v></pt></strCache></strRef></cat><val><numRef><numCache>{''.join(f'<pt idx=\'{k}\'><v>{v}</v></pt>' for k, v in values.items())}</numCache></numRef></val></ser>"
+    chart = f"<chartSpace><chart><title><tx><rich><p><r><t>Cap</t></r></p></rich></tx></title><plotArea><barChart>{ser('A', {0: 1, 1: 2.5})}{ser('B', {1: 3})}</barChart></plotArea></chart></chartSpace>"
+    diagram = "<dataModel><ptLst><pt modelId='0' type='doc'/>" + "".join(f"<pt modelId='{k}'><t><p><r><t>{t}</t></r></p></t></pt>" for k, t in ((1, "top"), (2, "under"), (3, "side"))) + "</ptLst><cxnLst><cxn srcId='0' destId='1'/><cxn srcId='1' destId='2'/><cxn srcId='0' destId='3'/><cxn type='presOf' srcId='3' destId='2'/></cxnLst></dataModel>"
+    raw = zipped({
+        "[Content_Types].xml": KIND("presentationml.presentation"), "_rels/.rels": f"<Relationships>{REL(r, 'ppt/presentation.xml')}</Relationships>", "ppt/presentation.xml": f'<p:presentation {a}><p:sldIdLst><p:sldId id="9" r:id="r1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": f"<Relationships>{REL('slide', 'slides/s.xml')}</Relationships>", "ppt/slides/s.xml": slide, "ppt/slides/_rels/s.xml.rels": f"<Relationships>{REL('chart', '../c.xml', 2)}{REL('diagramData', '../d.xml', 3)}</Relationships>", "ppt/c.xml": chart, "ppt/d.xml": diagram})
+    blocks = read(raw, "x.pptx").blocks[0].blocks
+    assert shown(blocks) == [("paragraph", "first"), ("paragraph", "in group top"), ("paragraph", "in group low"), ("paragraph", "last"), ("table", "Cap\n\tA\tB\nx\t1\t\ny\t2.5\t3"), ("list", "• top\n  • under\n• side")]
+    assert blocks[4].header_rows == 1 and blocks[4].rows[1][1].raw_type == "number"
+
+
 def test_mail():
     raw = "From: =?utf-8?q?J=C3=B6?= <a@b.c>\nTo: d@e.f\nDate: Tue, 06 Oct 2026 11:30:00 +0200\nSubject: S\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: multipart/alternative; boundary=r\n\n--r\nContent-Type: text/html\n\n<p>H</p>\n--r\nContent-Type: text/plain\n\nPlain\n\nOn Monday X wrote:\n> old\n--r--\n--q\nContent-Type: text/csv; name=t.csv\nContent-Disposition: attachment; filename=t.csv\n\na,b\n1,2\n--q--\n"
     out = read(raw, "x.eml")
