@@ -22,7 +22,7 @@ BLOCKS = T.StructType([
     T.StructField("role", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ordered", T.BooleanType()), T.StructField("items", T.ArrayType(ITEM)),
     T.StructField("rows", T.ArrayType(T.ArrayType(CELL))), T.StructField("header_rows", T.IntegerType()), T.StructField("caption", T.StringType()), T.StructField("language", T.StringType()), T.StructField("alt", T.StringType()),
     T.StructField("ref", T.StringType()), T.StructField("author", T.StringType()), T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-    T.StructField("runs", T.ArrayType(RUN)), T.StructField("hidden", T.StringType()),
+    T.StructField("runs", T.ArrayType(RUN)), T.StructField("hidden", T.StringType()), T.StructField("mime_type", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
 ])
 
 
@@ -71,6 +71,9 @@ class Block:
     runs: list[Run] | None = None
     #: Of sections: "true" or "very" where the file hides them.
     hidden: str | None = None
+    mime_type: str | None = None
+    width: int | None = None
+    height: int | None = None
 
 
 @dataclass
@@ -115,6 +118,7 @@ class Options:
     formulas: bool = False
     runs: bool = False
     child_bytes: bool = False
+    image_gps: bool = False
     #: Called with each block before it is kept: gives the block to keep, or None to drop it. Blocks inside come first.
     transform: Callable[[Block], Block | None] | None = None
     #: Called with each block that is kept, in reading order.
@@ -206,7 +210,7 @@ def flat(blocks: list[Block]) -> list[dict]:
             if k:
                 at += 2
             here = len(out)
-            row = {f: getattr(b, f) for f in ("kind", "level", "role", "title", "ordered", "header_rows", "caption", "language", "alt", "ref", "author", "path", "hidden")}
+            row = {f: getattr(b, f) for f in ("kind", "level", "role", "title", "ordered", "header_rows", "caption", "language", "alt", "ref", "author", "path", "hidden", "mime_type", "width", "height")}
             row |= {"ord": here, "parent_ord": parent, "depth": depth, "items": b.items and [{"depth": d, "marker": m, "text": t} for d, m, t in b.items], "rows": b.rows and [[vars(c) for c in r] for r in b.rows], "text": b.text, "start": None, "end": None, "runs": b.runs and [{"text": t, **vars(style)} for t, style in b.runs]}
             out.append(row)
             if b.kind == "section":

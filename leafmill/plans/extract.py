@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leafmill.batches import bounded_batches
 from leafmill.model import Block, Options, ReadError, Result, document_text, flat, limited, normalised, transformed
-from leafmill.sources import archives, delimited, detection, html, images, latex, legacy, mail, markdown, media, office, pdf, rtf, structured, timed
+from leafmill.sources import archives, delimited, detection, html, images, latex, legacy, listings, mail, markdown, media, office, pdf, rtf, structured, timed
 
 CONTRACT = (1, 0)
 #: Bytes of files whose rows a task gathers before it hands them on.
@@ -85,6 +85,11 @@ class Registry:
         return found
 
 
+#: Listings of archives that have no reader of their own, to be registered by those who want them.
+SEVEN_ZIP = Plugin("7z", listings.read_7z, lambda head: float(head.startswith(listings.SEVEN)), ("7z",))
+RAR = Plugin("rar", listings.read_rar, lambda head: float(head.startswith((listings.RAR4, listings.RAR5))), ("rar",))
+
+
 def read_file(raw: bytes, options: Options, registry: Registry | None = None, spent: list[int] | None = None) -> tuple[dict, Result]:
     """Detection and the reader's result of one file."""
     if len(raw) > options.input_bytes:
