@@ -15,6 +15,7 @@ from leafmill.operators import chunks as K
 from leafmill.operators import render as R
 from leafmill.operators import tables as S
 from leafmill.plans import extract as E
+from leafmill.plans import format_queries
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -458,3 +459,7 @@ def transform_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     kept = B.transform_blocks(blocks, lambda df: df.withColumn("text", F.when(F.length("text") > 100, F.col("text"))))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_long"))
+
+
+QUERIES |= format_queries.QUERIES
+ORACLE_SQL |= format_queries.ORACLE_SQL

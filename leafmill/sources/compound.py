@@ -10,7 +10,7 @@ from __future__ import annotations
 import struct
 
 MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")
-END, FREE = 0xFFFFFFFE, 0xFFFFFFFF
+END, FREE, FAT = 0xFFFFFFFE, 0xFFFFFFFF, 0xFFFFFFFD
 
 
 class Compound:
@@ -93,3 +93,63 @@ class Compound:
     def stream(self, name: str, folder: int = 0) -> bytes | None:
         k = self.children(folder).get(name)
         return self.content(k) if k is not None and self.entries[k][1] == 2 else None
+
+
+def write_compound(tree: dict) -> bytes:
+    """A compound file. tree: names to bytes (streams) or to trees (folders)."""
+    sectors, table, small, small_table = [], [], bytearray(), []
+    entries = []
+
+    def chain(content):
+        if not content:
+            return END
+        start, n = len(sectors), -(-len(content) // 512)
+        for k in range(n):
+            sectors.append(content[512 * k : 512 * k + 512].ljust(512, b"\0"))
+            table.append(start + k + 1 if k + 1 < n else END)
+        return start
+
+    def small_chain(content):
+        start, n = len(small_table), -(-len(content) // 64)
+        small.extend(content.ljust(64 * n, b"\0"))
+        small_table.extend([start + k + 1 if k + 1 < n else END for k in range(n)])
+        return start if n else END
+
+    def add(name, kind, content=b""):
+        entries.append([name, kind, END, 0, FREE, FREE, FREE])
+        if kind == 2:
+            entries[-1][2:4] = [(small_chain if len(content) < 4096 else chain)(content), len(content)]
+        return len(entries) - 1
+
+    def fill(parent, own):
+        made = []
+        for name, content in own.items():
+            k = add(name, 1 if isinstance(content, dict) else 2, content if isinstance(content, bytes) else b"")
+            made.append(k)
+            if isinstance(content, dict):
+                fill(k, content)
+        for a, b in zip(made, made[1:]):
+            entries[a][5] = b  # a degenerate tree: each to the right of the last
+        if made:
+            entries[parent][6] = made[0]
+
+    add("Root Entry", 5)
+    fill(0, tree)
+    entries[0][2], entries[0][3] = chain(bytes(small)), len(small)
+    small_start = chain(b"".join(struct.pack("<I", x) for x in small_table))
+    rows = b""
+    for name, kind, start, size, left, right, child in entries:
+        raw = name.encode("utf-16le") + b"\0\0"
+        rows += raw.ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + struct.pack("<III", left, right, child) + bytes(36) + struct.pack("<IQ", start, size)
+    directory = chain(rows)
+    n = 1
+    while (len(table) + n) * 4 > n * 512:
+        n += 1
+    first = len(sectors)
+    table += [FAT] * n
+    raw = b"".join(struct.pack("<I", x) for x in table).ljust(512 * n, b"\xff")
+    sectors += [raw[512 * k : 512 * k + 512] for k in range(n)]
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(10)
+    head += struct.pack("<IIIIIIII", n, directory, 0, 4096, small_start, max(1, -(-4 * len(small_table) // 512)), END, 0)
+    head += b"".join(struct.pack("<I", first + k if k < n else FREE) for k in range(109))
+    return head + b"".join(sectors)

@@ -11,7 +11,7 @@ import zipfile
 import pytest
 from test_extract import read, shown, zipped
 from test_legacy import document, mail, show, u, workbook
-from compound_writer import compound
+from leafmill.sources.compound import write_compound as compound
 
 from leafmill.model import Block, Options, ReadError, Style, document_text
 from leafmill.operators.leaves import json_leaves, leaves_of

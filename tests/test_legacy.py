@@ -2,7 +2,7 @@ import struct
 import zlib
 
 import pytest
-from compound_writer import compound
+from leafmill.sources.compound import write_compound as compound
 
 from leafmill.model import Options, ReadError, block_text, document_text
 from leafmill.plans.extract import read_file
