@@ -45,7 +45,7 @@ TEXTS = {
 BYTES = {"eml": mail.read_eml, "mbox": mail.read_mbox, "rtf": rtf.read, "pdf": pdf.read, **dict.fromkeys(("png", "jpeg", "gif", "tiff", "webp", "bmp", "ico"), images.read), **dict.fromkeys(("audio", "video"), media.read)}
 PACKAGES = {
     "zip": archives.read_zip, "gzip": archives.read_gzip, "tar": archives.read_tar, **dict.fromkeys(("docx", "docm"), office.read_docx), **dict.fromkeys(("xlsx", "xlsm"), office.read_xlsx),
-    "msg": legacy.read_msg, "xls": legacy.read_xls, "doc": legacy.read_doc, "ppt": legacy.read_ppt, **dict.fromkeys(("pptx", "pptm"), office.read_pptx), **dict.fromkeys(("odt", "ods", "odp"), office.read_odf), "epub": office.read_epub, "vsdx": office.read_vsdx,
+    "msg": legacy.read_msg, "xls": legacy.read_xls, "xlsb": legacy.read_xlsb, "doc": legacy.read_doc, "ppt": legacy.read_ppt, **dict.fromkeys(("pptx", "pptm"), office.read_pptx), **dict.fromkeys(("odt", "ods", "odp"), office.read_odf), "epub": office.read_epub, "vsdx": office.read_vsdx,
 }
 
 

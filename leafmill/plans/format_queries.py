@@ -186,7 +186,38 @@ def odf(kind: str, body: str) -> bytes:
     return zipped(**{"mimetype": f"application/vnd.oasis.opendocument.{kind}", "content.xml": f"<office:document-content {ns}><office:body>{body}</office:body></office:document-content>"})
 
 
+def binary_workbook(k: int, n: str, m: int) -> bytes:
+    size = lambda x: bytes([x]) if x < 128 else bytes([x & 127 | 128, x >> 7])
+    record = lambda kind, body=b"": (bytes([kind]) if kind < 128 else bytes([kind & 127 | 128, kind >> 7])) + size(len(body)) + body
+    text = lambda t: struct.pack("<I", len(t)) + t.encode("utf-16le")
+    cell = lambda kind, c, body, style=0: record(kind, struct.pack("<II", c, style) + body)
+    sheet = record(0, struct.pack("<I", 0)) + cell(6, 0, text("name")) + cell(7, 1, struct.pack("<I", 0)) + record(0, struct.pack("<I", 1)) + cell(8, 0, text(n)) + cell(5, 1, struct.pack("<d", m / 100), 1)
+    styles = record(617) + record(47, struct.pack("<HH", 0, 0) + bytes(12)) + record(47, struct.pack("<HH", 0, 9) + bytes(12)) + record(618)
+    types = "<Types><Override ContentType='application/vnd.ms-excel.sheet.binary.macroEnabled.main'/></Types>"
+    return zipped(**{"[Content_Types].xml": types, "_rels/.rels": RELS(("officeDocument", "xl/w.bin")), "xl/w.bin": record(156, struct.pack("<II", 0, 1) + text("r1") + text("S")), "xl/_rels/w.bin.rels": RELS(("worksheet", "s.bin"), ("sharedStrings", "t.bin"), ("styles", "u.bin")), "xl/s.bin": sheet, "xl/t.bin": record(19, b"\0" + text("share")), "xl/u.bin": styles})
+
+
+def drawing(k: int, n: str, m: int) -> bytes:
+    return zipped(**{
+        "[Content_Types].xml": "<Types><Override ContentType='application/vnd.ms-visio.drawing.main+xml'/></Types>", "_rels/.rels": RELS(("document", "visio/document.xml")), "visio/document.xml": "<d/>", "visio/_rels/document.xml.rels": RELS(("pages", "pages/pages.xml")),
+        "visio/pages/pages.xml": f'<Pages xmlns:r="http://r"><Page Name="{n}"><Rel r:id="r1"/></Page></Pages>', "visio/pages/_rels/pages.xml.rels": RELS(("page", "page1.xml")), "visio/pages/page1.xml": f"<PageContents><Shapes><Shape><Text>nation {m}</Text></Shape></Shapes></PageContents>"})
+
+
+def book(k: int, n: str, m: int) -> bytes:
+    return zipped(**{
+        "mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/c.opf"/></rootfiles></container>', "o/c.opf": f'<package><metadata><title>{n}</title></metadata><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="a"/></spine></package>',
+        "o/a.xhtml": f"<html><body><h1>{n}</h1><p>nation {m}</p></body></html>"})
+
+
+def sound(k: int, n: str, m: int) -> bytes:
+    return b"RIFF" + struct.pack("<I", 36 + 80 * (m + 1)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", 80 * (m + 1)) + bytes(80 * (m + 1))
+
+
 SOLID = texts("heading", "paragraph")
+reading("xlsb_files", table_rows("'name|share'", "n || '|' || m || '%'"), "x.xlsb", binary_workbook, cells)
+reading("vsdx_files", columns(row("paragraph", "'nation ' || m")), "x.vsdx", drawing, SOLID)
+reading("epub_files", columns(row("heading", "n"), row("paragraph", "'nation ' || m")), "x.epub", book, SOLID)
+reading("audio_files", "SELECT k AS doc_id, 'audio' AS format, printf('%.3f', (m + 1) / 100) AS duration FROM s", "x.wav", sound, lambda d: d.select("doc_id", "format", F.regexp_extract("metadata", r'"duration", "([0-9.]+)"', 1).alias("duration")))
 reading("docx_files", columns(row("heading", "n"), row("paragraph", "'key ' || CAST(k AS VARCHAR) || '/(a+' || m || ')'")), "x.docx", docx, SOLID)
 reading("xlsx_files", table_rows("'name|share'", "n || '|' || m || '%'", caption="'Shares'"), "x.xlsx", xlsx, cells)
 reading("pptx_files", columns(row("heading", "n")), "x.pptx", pptx, SOLID)

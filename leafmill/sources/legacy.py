@@ -1,4 +1,4 @@
-"""Older office formats, all held in compound files: messages, workbooks, documents and slide shows."""
+"""Binary office formats: messages, workbooks, documents and slide shows in compound files, and workbooks of binary parts."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from leafmill.sources import html as pages
 from leafmill.sources import rtf
 from leafmill.sources.compound import Compound
 from leafmill.sources.numbers import BUILT_IN, format_number
-from leafmill.sources.office import letters, sheet_blocks
+from leafmill.sources.office import letters, package, properties, relations, sheet_blocks
 
 # Messages ---------------------------------------------------------------------------------------------------------
 
@@ -515,3 +515,91 @@ def read_ppt(raw: bytes, options: Options, spent: list[int]) -> Result:
                 section.blocks.append(Block("note", said, role="speaker-notes"))
         out.blocks.append(section)
     return out
+
+
+# Binary workbooks -------------------------------------------------------------------------------------------------
+
+
+def long_records(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(kind, body) of the records of a part: kinds of one or two bytes, sizes of seven bits a byte."""
+    at = 0
+    while at < len(raw):
+        kind, at = raw[at], at + 1
+        if kind & 128 and at < len(raw):
+            kind, at = kind & 127 | (raw[at] & 127) << 7, at + 1
+        size = shift = 0
+        while at < len(raw) and shift < 28:
+            b, at = raw[at], at + 1
+            size |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                break
+        yield kind, raw[at : at + size]
+        at += size
+
+
+def wide(raw: bytes, at: int) -> tuple[str, int]:
+    """A text with its length before it, and the place behind it."""
+    n = int.from_bytes(raw[at : at + 4], "little")
+    if n == 0xFFFFFFFF or at + 4 + 2 * n > len(raw):
+        return "", at + 4
+    return raw[at + 4 : at + 4 + 2 * n].decode("utf-16le", "replace"), at + 4 + 2 * n
+
+
+def read_xlsb(raw: bytes, options: Options, spent: list[int]) -> Result:
+    out = Result()
+    part, names = package(raw, options, spent)
+    book_name = next((t for k, t in relations(part, "").values() if k == "officeDocument"), "xl/workbook.bin")
+    book = part.raw(book_name)
+    if book is None:
+        raise ReadError("CORRUPT_FILE", "The workbook has no main part.")
+    properties(part, out, options)
+    own = relations(part, book_name)
+    of = lambda kind: next((part.raw(t) for k, t in own.values() if k == kind), None) or b""
+    strings = [wide(body, 1)[0] for kind, body in long_records(of("sharedStrings")) if kind == 19]
+    codes, formats, inside = {}, [], False
+    for kind, body in long_records(of("styles")):
+        if kind == 44:
+            codes[int.from_bytes(body[:2], "little")] = wide(body, 2)[0]
+        elif kind in (617, 618):
+            inside = kind == 617
+        elif kind == 47 and inside:
+            formats.append(int.from_bytes(body[2:4], "little"))
+    date1904 = any(kind == 153 and body[0] & 1 for kind, body in long_records(book))
+    for kind, body in long_records(book):
+        if kind != 156:
+            continue
+        link, at = wide(body, 8)
+        title = wide(body, at)[0]
+        sheet = part.raw(own.get(link, ("", ""))[1])
+        if sheet is None:
+            continue
+        cells: dict[tuple[int, int], Cell] = {}
+        r = 0
+        for what, x in long_records(sheet):
+            if what == 0 and len(x) >= 4:
+                r = int.from_bytes(x[:4], "little") + 1
+            elif what == 176 and len(x) >= 16:
+                r1, r2, c1, c2 = struct.unpack("<IIII", x[:16])
+                if (r1 + 1, c1 + 1) in cells:
+                    cells[r1 + 1, c1 + 1].row_span, cells[r1 + 1, c1 + 1].col_span = r2 - r1 + 1, c2 - c1 + 1
+            elif 2 <= what <= 11 and len(x) > 8:
+                c, style = int.from_bytes(x[:4], "little") + 1, int.from_bytes(x[4:7], "little")
+                address = f"{letters(c)}{r}"
+                if what in (3, 11):
+                    cells[r, c] = Cell(text := ERRORS.get(x[8], "#ERR"), "string", text, address=address)
+                elif what in (4, 10):
+                    cells[r, c] = Cell("TRUE" if x[8] else "FALSE", "boolean", "true" if x[8] else "false", address=address)
+                elif what in (6, 8):
+                    cells[r, c] = Cell(text := wide(x, 8)[0], "string", text, address=address)
+                elif what == 7:
+                    place = int.from_bytes(x[8:12], "little")
+                    cells[r, c] = Cell(text := strings[place] if place < len(strings) else "", "string", text, address=address)
+                else:
+                    value = packed_number(x[8:12]) if what == 2 else struct.unpack("<d", x[8:16])[0]
+                    code = formats[style] if style < len(formats) else 0
+                    cells[r, c] = Cell(format_number(value, codes.get(code) or BUILT_IN.get(code, "General"), date1904), "number", repr(value).removesuffix(".0"), address=address)
+        hidden = {1: "true", 2: "very"}.get(int.from_bytes(body[:4], "little"))
+        out.blocks.append(Block("section", role="sheet", title=title, hidden=hidden, blocks=sheet_blocks(cells, options)))
+    out.features["has_macros"] = any(n.endswith("vbaProject.bin") for n in names)
+    return out
