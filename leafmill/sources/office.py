@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import posixpath
 import re
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from xml.etree import ElementTree
 
-from leafmill.model import Block, Cell, Options, ReadError, Result, Run, Style, table_of
+from leafmill.model import Block, Cell, Child, Options, ReadError, Result, Run, Style, table_of
 from leafmill.sources import equations
 from leafmill.sources import html as pages
 from leafmill.sources.archives import entry, open_zip
@@ -91,6 +92,48 @@ def properties(part: Part, out: Result, options: Options) -> None:
             out.metadata["authors"] = [value]
 
 
+def native(raw: bytes) -> tuple[str, bytes] | None:
+    """Name and content of a file that a compound file wraps; None if it wraps none."""
+    from leafmill.sources.compound import Compound
+
+    try:
+        held = Compound(raw).stream("\x01Ole10Native") or b""
+    except (ValueError, struct.error, IndexError):
+        return None
+    end = held.find(b"\0", 6)
+    at = held.find(b"\0", end + 1) + 1
+    if end < 0 or at <= 0 or at + 8 > len(held):
+        return None
+    at += 8 + struct.unpack_from("<I", held, at + 4)[0]
+    size = int.from_bytes(held[at : at + 4], "little")
+    if at + 4 + size > len(held):
+        return None
+    return re.split(r"[/\\\\]", held[6:end].decode("cp1252", "replace"))[-1], held[at + 4 : at + 4 + size]
+
+
+def scanned(part: Part, names: list[str], out: Result, options: Options) -> None:
+    """What a package holds beside its text: macros, links to other files, embedded files (which are children)."""
+    out.features["has_macros"] = any(n.endswith("vbaProject.bin") for n in names)
+    out.features["has_external_links"] = out.features.get("has_external_links", False) or any("/externalLinks/" in n and n.endswith(".xml") for n in names)
+    held = [n for n in names if "/embeddings/" in n and not n.endswith("/") and "/_rels/" not in n]
+    out.features["has_embedded_files"] = bool(held)
+    for n in held if options.children != "skip" else ():
+        raw = part.raw(n) if options.children == "extract" else None
+        inner = native(raw) if raw else None
+        name, content = inner or (n.rsplit("/", 1)[-1], raw)
+        out.children.append(Child(n, name, "listed", None if content is None else len(content), None, content))
+
+
+_AUTO = {"arabic": str, "alphaLc": lambda n: chr(97 + (n - 1) % 26) * ((n - 1) // 26 + 1), "alphaUc": lambda n: chr(65 + (n - 1) % 26) * ((n - 1) // 26 + 1), "romanLc": lambda n: roman(n), "romanUc": lambda n: roman(n).upper()}
+
+
+def auto_marker(kind: str, n: int) -> str:
+    """A number as a slide's automatic numbering shows it."""
+    m = re.fullmatch(r"([a-z]+(?:Lc|Uc)?)(Period|ParenR|ParenBoth|Plain)?", kind)
+    shown = _AUTO.get(m[1] if m else "", str)(n)
+    return {"ParenR": f"{shown})", "ParenBoth": f"({shown})", "Plain": shown}.get((m[2] if m else "") or "", f"{shown}.")
+
+
 # Word documents ---------------------------------------------------------------------------------------------------
 
 
@@ -265,7 +308,7 @@ def read_docx(raw: bytes, options: Options, spent: list[int]) -> Result:
         for n in notes if notes is not None else ():
             if attribute(n, "type") in (None, "normal") and (text := "\n".join(t for p in every(n, "p") if (t := run_text(p, options))).strip()):
                 out.blocks.append(Block("note", text, role=role, author=attribute(n, "author") if options.metadata else None))
-    out.features["has_macros"] = any(n.endswith("vbaProject.bin") for n in names)
+    scanned(part, names, out, options)
     return out
 
 
@@ -473,7 +516,7 @@ def read_xlsx(raw: bytes, options: Options, spent: list[int]) -> Result:
                     who = int(c.get("authorId", -1))
                     section.blocks.append(Block("note", text, role="comment", author=(authors[who] or None) if options.metadata and 0 <= who < len(authors) else None, path=c.get("ref")))
         out.blocks.append(section)
-    out.features["has_macros"] = any(n.endswith("vbaProject.bin") for n in names)
+    scanned(part, names, out, options)
     return out
 
 
@@ -578,19 +621,28 @@ def read_pptx(raw: bytes, options: Options, spent: list[int]) -> Result:
                     if held is not None and (made := chart_table(held) if local(n.tag) == "chart" else diagram_list(held)):
                         blocks.append(made)
             else:
+                counts: list[int] = []
                 for p in every(shape, "p"):
                     if not (text := drawing_text(p)).strip():
                         continue
                     level = int(first(p, "pPr").get("lvl", 0)) if first(p, "pPr") is not None else 0
-                    bullet = first(p, "pPr") is not None and any(local(c.tag) in ("buChar", "buAutoNum") for c in first(p, "pPr"))
+                    own = {local(c.tag): c for c in first(p, "pPr")} if first(p, "pPr") is not None else {}
+                    bullet = "buChar" in own or "buAutoNum" in own
+                    if "buAutoNum" in own:
+                        del counts[level + 1 :]
+                        counts += [0] * (level + 1 - len(counts))
+                        counts[level] += 1
+                    else:
+                        del counts[level:]
                     if kind in ("title", "ctrTitle"):
                         blocks.append(Block("heading", text, level=1))
                         section.title = section.title or text
                         place = (-1, 0, k)
                     elif bullet or level:
                         if not blocks or blocks[-1].kind != "list":
-                            blocks.append(Block("list", ordered=False, items=[]))
-                        blocks[-1].items.append((level, None, text))
+                            blocks.append(Block("list", ordered="buAutoNum" in own, items=[]))
+                        auto = own.get("buAutoNum")
+                        blocks[-1].items.append((level, auto_marker(auto.get("type", "arabicPeriod"), int(auto.get("startAt", 1)) - 1 + counts[level]) if auto is not None else None, text))
                     else:
                         blocks.append(Block("paragraph", text))
             if kind not in ("sldNum", "dt", "ftr"):
@@ -602,6 +654,7 @@ def read_pptx(raw: bytes, options: Options, spent: list[int]) -> Result:
             if texts:
                 section.blocks.append(Block("note", "\n".join(texts), role="speaker-notes"))
         out.blocks.append(section)
+    scanned(part, names, out, options)
     return out
 
 

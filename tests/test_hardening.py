@@ -157,3 +157,20 @@ def test_tables_of_files(spark, tmp_path):
         load_bounded(spark, [str(tmp_path / "in" / "*.txt")], most=3)
     assert page_ranges([6, 1, 4, 5, 5]) == "1, 4-6" and "runs" in schema_json()
     assert json_leaves(spark.createDataFrame([(1, "{}")], "id long, j string"), "id", "j").count() == 0
+
+
+def test_embedded_files_and_markers():
+    import struct
+
+    from leafmill.sources.office import auto_marker
+
+    data = b"inside"
+    held = struct.pack("<IH", 0, 2) + b"C:\\d\\n.txt\0" + b"C:\\n.txt\0" + struct.pack("<II", 0x30000, 3) + b"t\0\0" + struct.pack("<I", len(data)) + data
+    raw = word("<w:p><w:r><w:t>x</w:t></w:r></w:p>")
+    packed = io.BytesIO(raw)
+    with zipfile.ZipFile(packed, "a") as z:
+        z.writestr("word/embeddings/oleObject1.bin", compound({"\x01Ole10Native": held}))
+        z.writestr("word/embeddings/other.bin", b"plain")
+    out = read(packed.getvalue(), "x.docx")
+    assert [(c.name, c.content) for c in out.children] == [("n.txt", b"inside"), ("other.bin", b"plain")] and out.features["has_embedded_files"] and not out.features["has_macros"]
+    assert [auto_marker(k, 4) for k in ("arabicPeriod", "arabicParenR", "alphaUcParenBoth", "romanLcPlain", "other")] == ["4.", "4)", "(D)", "iv", "4."]
