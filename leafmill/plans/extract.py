@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.batches import bounded_batches
-from leafmill.model import Block, Options, ReadError, Result, document_text, flat, limited, normalised, transformed
+from leafmill.model import Block, Options, ReadError, Result, document_text, flat, limited, normalised, transformed, units
 from leafmill.sources import archives, delimited, detection, html, images, latex, legacy, listings, mail, markdown, media, office, pdf, rtf, structured, timed
 
 CONTRACT = (1, 0)
@@ -254,3 +254,32 @@ def load_bounded(spark, paths: list[str], options: Options = Options(), most: in
     if files.select("path").limit(most + 1).count() > most:
         raise ValueError(f"the patterns stand for more than {most} files")
     return files.where(F.col("length") <= options.input_bytes).select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def block_stream(raw: bytes, options: Options = Options(), registry: Registry | None = None) -> Iterator[dict]:
+    """The rows of a file's blocks one by one, with their offsets. Who has seen enough just stops; nothing more is made."""
+    found, out = read_file(raw, options, registry)
+    at, order = 0, 0
+    for k, b in enumerate(out.blocks):
+        rows = flat([b])
+        for row in rows:
+            row["ord"] += order
+            row["parent_ord"] = None if row["parent_ord"] is None else row["parent_ord"] + order
+            for edge in ("start", "end"):
+                row[edge] = None if row[edge] is None else row[edge] + at
+        yield from rows
+        order += len(rows)
+        at += units(document_text([b])) + 2
+
+
+@contextmanager
+def cancellable(spark, tag: str) -> Iterator[Callable[[], None]]:
+    """Jobs that are started inside can be ended by what this gives, from another thread too."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
+    try:
+        yield lambda: context.cancelJobsWithTag(tag)
+    finally:
+        context.setInterruptOnCancel(False)
+        context.removeJobTag(tag)

@@ -16,7 +16,7 @@ from leafmill.sources.compound import write_compound as compound
 from leafmill.model import Block, Options, ReadError, Style, document_text
 from leafmill.operators.leaves import json_leaves, leaves_of
 from leafmill.operators.render import linked, markdown, page_ranges, schema_json, styled, to_json
-from leafmill.plans.extract import children_of, extract, in_time, load_bounded, read_file, tree, with_children, write_files
+from leafmill.plans.extract import block_stream, cancellable, children_of, extract, in_time, load_bounded, read_file, tree, with_children, write_files
 
 
 def word(body, rels=""):
@@ -174,3 +174,34 @@ def test_embedded_files_and_markers():
     out = read(packed.getvalue(), "x.docx")
     assert [(c.name, c.content) for c in out.children] == [("n.txt", b"inside"), ("other.bin", b"plain")] and out.features["has_embedded_files"] and not out.features["has_macros"]
     assert [auto_marker(k, 4) for k in ("arabicPeriod", "arabicParenR", "alphaUcParenBoth", "romanLcPlain", "other")] == ["4.", "4)", "(D)", "iv", "4."]
+
+
+def test_block_stream():
+    from leafmill.model import flat
+
+    text = "\n\n".join(f"paragraph {k} \U0001f600" for k in range(9)).encode()
+    rows = list(block_stream(text, Options(filename="x.txt")))
+    assert rows == flat(read_file(text, Options(filename="x.txt"))[1].blocks)
+    assert list(block_stream(show(), Options())) == flat(read_file(show(), Options())[1].blocks)
+    some = block_stream(text, Options(filename="x.txt"))
+    assert next(some)["text"].startswith("paragraph 0")
+    some.close()
+
+
+def test_cancelling(spark):
+    import threading
+
+    ended = []
+    with cancellable(spark, "leafmill-test") as cancel:
+        def sleeping(frames):
+            time.sleep(20)
+            yield from frames
+
+        slow = spark.range(4, numPartitions=4).mapInPandas(sleeping, "id long")
+        timer = threading.Timer(2, lambda: ended.append(cancel()))
+        timer.start()
+        began = time.monotonic()
+        with pytest.raises(Exception):
+            slow.collect()
+    assert ended and time.monotonic() - began < 18
+    assert spark.range(3).count() == 3
