@@ -100,6 +100,9 @@ reading("encodings", "SELECT k AS doc_id, ['utf-8', 'utf-16le', 'utf-16be', 'win
         lambda k, n, m: (b"\xff\xfe" if m % 4 == 1 else b"\xfe\xff" if m % 4 == 2 else b"") + f"größe {n}".encode(("utf-8", "utf-16le", "utf-16be", "cp1252")[m % 4]), lambda d: d.select("doc_id", "encoding", "text"))
 
 
+reading("html_entities", "SELECT k AS doc_id, '<' || n || '> &amp ' || chr(CAST(65 + m AS INTEGER)) || chr(39) || ' &bogus; ' || chr(8230) || chr(65533) AS text FROM s", "x.html", lambda k, n, m: f"<p>&lt;{n}&gt; &amp &#{65 + m};&apos; &bogus; &hellip;&#0;", lambda d: d.select("doc_id", "text"))
+
+
 def tar_of(name: str, text: str) -> bytes:
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w") as t:
@@ -113,6 +116,8 @@ CHILD = lambda d: d.where("depth > 0").select("doc_id", "path", "text")  # noqa:
 reading("gzip_files", "SELECT k AS doc_id, 'x.txt' AS path, n || ' ' || m AS text FROM s", "x.txt.gz", lambda k, n, m: gzip.compress(f"{n} {m}".encode()), CHILD)
 reading("tar_files", "SELECT k AS doc_id, 'd/' || m || '.txt' AS path, n AS text FROM s", "x.tar", lambda k, n, m: tar_of(f"./d/../d/{m}.txt", n), lambda d: d.where("depth > 0").select("doc_id", F.replace("path", F.lit("d/d/"), F.lit("d/")).alias("path"), "text"))
 reading("children_listed", "SELECT k AS doc_id, 'a/' || m || '.txt' AS path, 'listed' AS status, CAST(length(n) AS BIGINT) AS size FROM s UNION ALL SELECT k, '.DS_Store', 'skipped', 0 FROM s", "x.zip", lambda k, n, m: zipped(**{f"a/{m}.txt": n, ".DS_Store": ""}), lambda d: E.children_of(d).select("doc_id", "path", "status", "size"), children="list")
+reading("nested_archives", "SELECT k AS doc_id, unnest(['b.zip', 'b.zip/c.zip', 'b.zip/c.zip/' || m || '.txt']) AS path, unnest(['', '', n]) AS text FROM s", "x.zip", lambda k, n, m: zipped(**{"b.zip": zipped(**{"c.zip": zipped(**{f"{m}.txt": n})})}), CHILD)
+reading("depth_limit", "SELECT k AS doc_id, 'b.zip' AS path, 'DEPTH_LIMIT' AS code FROM s", "x.zip", lambda k, n, m: zipped(**{"b.zip": zipped(**{"c.txt": n})}), lambda d: d.where("depth = 1").select("doc_id", "path", F.get("warnings", 0)["code"].alias("code")), child_depth=1)
 reading("limited_files", "SELECT k AS doc_id, 'TRUNCATED' AS code, n AS text FROM s", "x.txt", lambda k, n, m: f"{n}\n\n{'long ' * 40}", lambda d: d.select("doc_id", F.get("warnings", 0)["code"].alias("code"), "text"), output_chars=60, on_limit="truncate")
 reading("transformed_files", "SELECT k AS doc_id, upper(n) AS text FROM s", "x.txt", lambda k, n, m: f"{n}\n\ndrop {m}", lambda d: d.select("doc_id", "text"), transform=lambda b: None if (b.text or "").startswith("drop") else Block(b.kind, (b.text or "").upper()))
 reading("damaged_files", "SELECT k AS doc_id, 'CORRUPT_FILE' AS error FROM s", "x.docx", lambda k, n, m: zipped(**{"[Content_Types].xml": TYPES("wordprocessingml.document"), "word/document.xml": f"<w:document {n}"}), lambda d: d.select("doc_id", "error"))
@@ -144,6 +149,13 @@ def pdf(k: int, n: str, m: int) -> bytes:
     return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(body)) + b"trailer <</Root 1 0 R>>"
 
 
+def pdf_columns(k: int, n: str, m: int) -> bytes:
+    at = lambda x, y, t: f"1 0 0 1 {x} {y} Tm ({t}) Tj "
+    content = ("BT /F1 10 Tf " + "".join(at(72, 700 - 12 * i, f"left {n} line {i} goes") + at(320, 700 - 12 * i, f"right {m} column line {i} is there") for i in range(4)) + "ET").encode()
+    body = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>", b"<</Length %d>>stream\n%s\nendstream" % (len(content), content), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>"]
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(body)) + b"trailer <</Root 1 0 R>>"
+
+
 def message(k: int, n: str, m: int) -> bytes:
     u = lambda t: t.encode("utf-16le")
     return write_compound({"__properties_version1.0": bytes(32), "__substg1.0_0037001F": u(n), "__substg1.0_0C1A001F": u("Ann"), "__substg1.0_1000001F": u(f"nation {m}")})
@@ -223,6 +235,7 @@ reading("xlsx_files", table_rows("'name|share'", "n || '|' || m || '%'", caption
 reading("pptx_files", columns(row("heading", "n")), "x.pptx", pptx, SOLID)
 reading("pptx_charts", table_rows("'|A'", "'x|' || m"), "x.pptx", pptx, cells)
 reading("pdf_files", columns(row("heading", "n"), row("paragraph", "'nation ' || m || ' and a hyphenated word, as lines have them, one two three four.'")), "x.pdf", pdf, SOLID)
+reading("pdf_columns", columns(*[row("paragraph", " || ' ' || ".join(f"'{a} ' || {c} || ' {w} {i}{z}'" for i in range(4))) for a, c, w, z in (("left", "n", "line", " goes"), ("right", "m", "column line", " is there"))]), "x.pdf", pdf_columns, SOLID)
 reading("msg_files", columns(row("paragraph", "'nation ' || m")), "x.msg", message, SOLID)
 reading("msg_headers", table_rows("'Field|Value'", "'From|Ann'", "'Subject|' || n"), "x.msg", message, cells)
 reading("xls_files", table_rows("'name|nation'", "n || '|' || m"), "x.xls", workbook, cells)
@@ -244,3 +257,27 @@ def markdown_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["markdown_rendered"] = markdown_rendered
 ORACLE_SQL["markdown_rendered"] = f"""WITH s AS ({ROWS}) SELECT k AS doc_id, '# ' || n || chr(10) || chr(10) || 'nation **' || m || '** of [x](http://y/)' || chr(10) || chr(10) || '1. a ' || m || chr(10) || '2. b' || chr(10) || chr(10)
   || '| h | k |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || m || ' |' || chr(10) || chr(10) || '```py' || chr(10) || m || chr(10) || '```' AS markdown FROM s"""
+
+
+def json_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files rendered as JSON, and fields of it."""
+    made = E.extract(files(spark, sf_dir, "x.csv", lambda k, n, m: f"name,nation\n{n},{m}\n".encode()), name_col="name")
+    of = lambda path: F.get_json_object("json", path)
+    return R.to_json(made).select("doc_id", of("$.format").alias("format"), of("$.blocks[0].kind").alias("kind"), of("$.blocks[0].rows[1][0].text").alias("name"), of("$.blocks[0].rows[1][1].address").alias("address"))
+
+
+QUERIES["json_rendered"] = json_rendered
+ORACLE_SQL["json_rendered"] = f"WITH s AS ({ROWS}) SELECT k AS doc_id, 'csv' AS format, 'table' AS kind, n AS name, 'B2' AS address FROM s"
+
+
+def chunked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by section of files with headings, with their context."""
+    from leafmill.operators import chunks as K
+
+    made = E.extract(files(spark, sf_dir, "x.md", lambda k, n, m: f"# {n}\n\nabout {m}\n\n## Part\n\nmore {k}\n".encode()), name_col="name")
+    return K.with_context(K.chunk_arrays(made, "doc_id"), "doc_id").select("chunk_id", "context", "text", F.col("overlap").cast("long").alias("overlap"))
+
+
+QUERIES["chunked_files"] = chunked_files
+ORACLE_SQL["chunked_files"] = f"""WITH s AS ({ROWS}) SELECT k || '#0' AS chunk_id, n AS context, n || chr(10) || chr(10) || 'about ' || m AS text, CAST(0 AS BIGINT) AS overlap FROM s
+  UNION ALL SELECT k || '#1', n || ' › Part', 'Part' || chr(10) || chr(10) || 'more ' || k, 0 FROM s"""

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import codecs
-import html
 import re
 from dataclasses import dataclass, field, replace
+from html.entities import name2codepoint
 
 from leafmill.model import Block, Cell, Options, Result, Run, Style, collapsed
 
@@ -39,6 +39,28 @@ CONTAINERS = frozenset(["div", "section", "article", "main", "td", "body", ""])
 MIN_PARAGRAPH = 25
 
 
+_REFERENCE = re.compile(r"&(?:#[xX]([0-9A-Fa-f]+)|#([0-9]+)|([A-Za-z][A-Za-z0-9]*));")
+#: Signs of a reference, at most.
+REFERENCE = 40
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded: those that end in a semicolon, of numbers and of the names of HTML 4."""
+
+    def one(m: re.Match) -> str:
+        if len(m[0]) > REFERENCE:
+            return m[0]
+        if m[3]:
+            code = 39 if m[3] == "apos" else name2codepoint.get(m[3], -1)
+        else:
+            code = int(m[1], 16) if m[1] else int(m[2])
+        if code < 0 or code > 0x10FFFF:
+            return m[0]
+        return "\ufffd" if code == 0 or 0xD800 <= code < 0xE000 else chr(code)
+
+    return _REFERENCE.sub(one, text) if "&" in text else text
+
+
 @dataclass
 class Node:
     tag: str
@@ -54,7 +76,7 @@ def parse(text: str) -> Node:
 
     def add(value: str) -> None:
         if value:
-            stack[-1].children.append(html.unescape(value))
+            stack[-1].children.append(decoded(value))
 
     def close(kinds: set[str], bounds: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -83,7 +105,7 @@ def parse(text: str) -> Node:
             close({"p"}, {"table", "td", "th", "li", "button", "blockquote", "div"} - {tag})
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        node = Node(tag, {k.lower(): html.unescape("".join(v)) for k, *v in _ATTRIBUTE.findall(m[3])})
+        node = Node(tag, {k.lower(): decoded("".join(v)) for k, *v in _ATTRIBUTE.findall(m[3])})
         stack[-1].children.append(node)
         if tag in VOID:
             continue
