@@ -98,13 +98,14 @@ def delimited_kinds(text: Column) -> Column:
 
 def drop_quoted(text: Column) -> Column:
     """An e-mail text without what it answers: all from the first reply mark on, and lines that begin with >."""
+    # No part can match one stretch in two ways, so a line is read a few times at most.
+    line, full = r"[^\n]*+", r"(?![ \t]*(?:\n|\z))"
+    wrote, below = r"[^\n]*wrote:[ \t]*(?=\n|\z)", rf"(?:\n{line}){{0,4}}?\n[ \t]*+"
     marks = "|".join((
-        r"(?s:On (?:(?!\n\n)[^\n]*\n?){1,3}?[^\n]*wrote:[ \t]*(?=\n|\z))",
-        r"-{2,}[ \t]*Original Message[ \t]*-{2,}",
-        r"From:[^\n]*(?:\n[^\n]*){0,4}?\n(?:Sent:|Date:[^\n]*(?:\n[^\n]*){0,3}?\nSubject:|Subject:[^\n]*(?:\n[^\n]*){0,3}?\nDate:)",
-        r"_{4,}[ \t]*\n+From:",
+        rf"On {wrote}", rf"On {line}\n{full}{wrote}", rf"On {line}\n{full}{line}\n{full}{wrote}", r"-{2,}[ \t]*Original Message[ \t]*-{2,}",
+        rf"From:{line}{below}Sent:", rf"From:{line}(?={below}Date:)(?={below}Subject:)", r"_{4,}+[ \t]*+\n(?:[ \t]*+\n)*+[ \t]*+From:",
     ))
-    head = F.regexp_replace(lf(text), f"(?s)(?:\\A|(?<=\n))[ \t]*(?:{marks}).*\\z", "")
+    head = F.regexp_replace(lf(text), f"(?s)(?:\\A|(?<=\n))[ \t]*+(?:{marks}).*\\z", "")
     kept = F.filter(F.split(head, "\n", -1), lambda x: ~x.rlike(r"\A[ \t]*>"))
     return F.regexp_replace(F.array_join(kept, "\n"), r"\s+\z", "")
 

@@ -14,7 +14,9 @@ from leafmill.model import Block, Child, Options, Result, normal, table_of
 from leafmill.sources import html as pages
 
 SHOWN = ("From", "To", "Cc", "Date", "Subject")
-_REPLY = re.compile(r"(?:^|(?<=\n))[ \t]*(?:On (?:(?!\n\n)[^\n]*\n?){1,3}?[^\n]*wrote:[ \t]*(?=\n|$)|-{2,}[ \t]*Original Message[ \t]*-{2,}|_{4,}[ \t]*\n+From:|From:[^\n]*(?:\n[^\n]*){0,4}?\nSent:).*\Z", re.S)
+_ORIGINAL = re.compile(r"-{2,}[ \t]*Original Message[ \t]*-{2,}")
+#: Lines that an attribution, and the fields of a reply header, may go on for.
+WRAPPED, FIELDS = 3, 5
 
 
 def header(message: Message, name: str) -> str:
@@ -47,10 +49,30 @@ def iso_date(value: str) -> str | None:
     return when.strftime("%Y-%m-%dT%H:%M:%S.") + f"{when.microsecond // 1000:03}Z"
 
 
+def reply_begins(lines: list[str], k: int) -> bool:
+    """Whether what a message answers begins at a line (lines without white space around them)."""
+    line = lines[k]
+    if line.startswith("On "):
+        for j in range(k, min(len(lines), k + WRAPPED)):
+            if j > k and not lines[j]:
+                break
+            if lines[j].endswith("wrote:"):
+                return True
+    if line.startswith("From:"):
+        below = lines[k + 1 : k + 1 + FIELDS]
+        has = lambda name: any(x.startswith(name) for x in below)
+        return has("Sent:") or has("Date:") and has("Subject:")
+    if len(line) >= 4 and not line.strip("_"):
+        return next((x for x in lines[k + 1 :] if x), "").startswith("From:")
+    return bool(_ORIGINAL.match(line))
+
+
 def drop_quoted(text: str) -> str:
     """What a message itself says: up to the first reply mark, without lines that begin with >."""
-    kept = _REPLY.sub("", text.replace("\r\n", "\n"))
-    return "\n".join(x for x in kept.split("\n") if not re.match(r"[ \t]*>", x)).rstrip()
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    bare = [x.strip(" \t") for x in lines]
+    end = next((k for k in range(len(lines)) if bare[k] and bare[k][0] in "OF-_" and reply_begins(bare, k)), len(lines))
+    return "\n".join(x for x, y in zip(lines[:end], bare) if not y.startswith(">")).rstrip(" \t\n\x0b\f\r")
 
 
 def body_text(part: Message) -> str:

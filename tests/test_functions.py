@@ -68,3 +68,23 @@ def test_leaves(spark):
     docs = spark.createDataFrame([(1, '{"a": {"b c": [1, null, "x"], "e": {}}, "t": true}'), (2, "nonsense"), (3, "[]"), (4, "5")], "id int, j string")
     got = sorted((r["id"], r["path"], r["value"]) for r in json_leaves(docs, "id", "j").collect())
     assert got == [(1, '$.a["b c"][0]', "1"), (1, '$.a["b c"][1]', "null"), (1, '$.a["b c"][2]', "x"), (1, "$.t", "true"), (4, "$", "5")]
+
+
+def test_replies_against_lines(spark):
+    """The pattern for columns against the reader's pass over lines, which has no pattern for it."""
+    import random
+    import time
+
+    from leafmill.sources.mail import drop_quoted
+
+    r = random.Random(4)
+    parts = ["On Mon, A B wrote:", "On Mon, A B", "<a@b.c> wrote:", "wrote:", "From: x", "Sent: y", "Date: z", "Subject: s", "-----Original Message-----", "--Original Message", "_____", "", " ", "> old", "  > older", "text", "On we go", "wrote: more", "From here on", "\tOn Tue wrote:  ", "___", "____ x"]
+    texts = ["\n".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(1500)]
+    got = values(spark, [(t,) for t in texts], "t string", T.drop_quoted(F.col("t")))
+    for t, (x,) in zip(texts, got):
+        assert x == drop_quoted(t), t
+    assert sum(x != t.rstrip(" \t\n") for t, (x,) in zip(texts, got)) > 300
+    long = ["On " + "a b " * 50_000, ("On " + "x" * 300 + "\n") * 2_000, "From: a\n" * 20_000, "_" * 200_000, "-" * 200_000, "On a\nOn b\n" * 20_000]
+    began = time.monotonic()
+    values(spark, [(t,) for t in long], "t string", T.drop_quoted(F.col("t")))
+    assert [drop_quoted(t)[:2] for t in long] == ["On", "On", "Fr", "__", "--", "On"] and time.monotonic() - began < 20
