@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from leafmill.llm.quality import fit, fit_forest, quality_rules, rule_stats
+from leafmill.llm.quality import fit, fit_forest, order_statistics, passes_base, quality_rules, rates, rule_stats
 
 
 def plain(text):
@@ -81,3 +82,36 @@ def test_one_id_with_many_texts(spark):
     labels = spark.createDataFrame([(k, int(k > 0), 0) for k in range(20)], "doc_id long, quality int, toxic int")
     got = fit(docs, labels, sample_rows=200)
     assert got is not None and quality_rules(docs, got).count() == 600
+
+
+def test_all_labelled_rows_count(spark, monkeypatch):
+    """Centre, scale, draws and threshold are those of all labelled rows, however these are dealt and joined."""
+    r = random.Random(9)
+    good = lambda k: " ".join(f"{'A' * r.randint(0, 2)}w{r.randint(0, 10 ** r.randint(1, 6))}{'!' * (r.random() < k % 3 / 9)}" for _ in range(r.randint(12, 40)))
+    texts = [(k, good(k) if k % 4 else " ".join(f"#{j}*x" for j in range(r.randint(12, 30)))) for k in range(24_000)]
+    docs = spark.createDataFrame(texts + texts[:50], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k, _ in texts], "doc_id long, quality int, toxic int")
+    forest = fit(docs, labels)
+    marks = {x["doc_id"]: x["mark"] for x in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark")).collect()}
+    stats = {k: rule_stats(t) for k, t in texts}
+    base = [k for k, s in stats.items() if passes_base(np.array([s]))[0]]
+    grown = np.array([stats[k] for k in base if k % 4 and marks[k] % 2 == 0])
+    held = np.array([stats[k] for k in base if k % 4 and marks[k] % 2])
+    bad = np.array([stats[k] for k in base if k % 4 == 0])
+    assert len(grown) + len(held) + len(bad) > 20_000
+    assert (forest.centre == np.sort(rates(grown), axis=0)[(len(grown) - 1) // 2]).all()
+    assert np.allclose(forest.scale, np.maximum(rates(grown).std(axis=0), 1 / grown[:, 0].mean()), rtol=1e-4)
+    low = np.sort(forest.score(held))[::-1][int(0.002 * len(held))]
+    above = forest.score(bad)[forest.score(bad) > low]
+    assert abs(forest.threshold - ((low + above.min()) / 2 if len(above) else low + 1e-9)) < 1e-12
+    monkeypatch.setattr("leafmill.llm.quality.BROADCAST_ROWS", 10)
+    again = fit(docs.repartition(7), labels.repartition(3))
+    assert again.threshold == forest.threshold and (again.cut == forest.cut).all() and (again.scale == forest.scale).all()
+
+
+def test_order_statistics(spark):
+    r = random.Random(6)
+    rows = [(r.choice((0.0, 1.5, r.random(), r.random() * 1e6)), float(r.randint(0, 3))) for _ in range(900)]
+    values = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    for rank in (0, 1, 449, 898, 899):
+        assert order_statistics(values, [rank, 899 - rank]).tolist() == [sorted(x[0] for x in rows)[rank], sorted(x[1] for x in rows)[899 - rank]]
