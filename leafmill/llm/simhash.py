@@ -8,10 +8,14 @@ bucket bit planes lie vertically, 64 fingerprints to a word; carry-save counters
 word is abandoned as soon as all its 64 distances exceed the radius. What leaves a bucket are links that connect what
 all its links do, one fewer than linked fingerprints at most (all of them for FEW or fewer), never all pairs.
 
-similar_texts() is the same comparison for texts whose word shingles are alike by a given share. That share bounds no
-distance of fingerprints: at 0.8 two texts differ in some 10 of 64 bits, often in 15, and no choice of bit ranges keeps
-buckets of so wide a radius small. So its buckets are those of min-wise hashes of the shingles, its radius is wide, and
-each link that leaves a bucket is checked by the exact share of common shingles.
+similar_texts() links texts whose word shingles are alike by a given share. That share bounds no distance of
+fingerprints: at 0.8 two texts differ in some 10 of 64 bits, often in 15 and in more if they are short. So the comparison
+by fingerprints, in buckets of min-wise hashes, is its first pass alone, which finds most links and joins groups of near
+copies at little cost. A second pass is exact: in one order of all shingles, two texts that are alike share one of each
+other's first n - ceil(similarity * n) + 1 of n shingles. Texts of different components of the first pass that share such
+a one meet, all with all, if their sizes permit it and the parities of their shingles, counted by bits of the hash,
+differ in no more bits than the shingles may. Neither test loses a pair, whatever the order; common shingles (by a
+sample, for speed alone) come last in it. Each link of both passes is checked by the exact share of common shingles.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other;
 repeated rows stay repeated rows of one class; an empty table gives an empty result. Columns beside the id and the
@@ -22,6 +26,7 @@ without words are alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -45,11 +50,20 @@ SEED = 42
 BROADCAST_ROWS = 200_000
 #: Rows that a task of a bucket join should have, at least and at most.
 TASK_ROWS = (10_000, 500_000)
-#: similar_texts: texts meet that share the least hashes of all ROWS of one of BANDS. Of pairs that are just 0.8 alike
-#: that is 0.998; of pairs that are 0.3 alike, one in thirty. Their fingerprints may differ in WIDE bits.
+#: similar_texts, first pass: texts meet that share the least hashes of all ROWS of one of BANDS. Of pairs that are just
+#: 0.8 alike that is 0.998; of pairs that are 0.3 alike, one in thirty. Their fingerprints may differ in WIDE bits.
 BANDS = 16
 ROWS = 5
 WIDE = 18
+#: Second pass: texts that common shingles are counted in, in how many of these a shingle is common, and how many are kept.
+ORDER_ROWS = 8_000
+COMMON = 4
+COMMON_KEPT = 100_000
+#: Least and most words of 64 parity bits of a text; there are two to four bits for a shingle up to that many.
+PARITY_WORDS = (1, 128)
+#: Parity words that are compared at once, and pairs that are held before they go out.
+COMPARED = 1 << 21
+PAIRS = 1 << 19
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -333,40 +347,186 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in made]
 
 
+def needed(n: np.ndarray | int, share: Fraction):
+    """Shingles that n ones must at least have in common with others to be alike."""
+    return -(-share.numerator * n // share.denominator)
+
+
+def leading(shingles: np.ndarray, share: Fraction, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Those of the distinct shingles, in ascending order, that another text must have one of among its own to be alike.
+    The order is by the weight of common ones, then by hash. Texts without words have one of their own."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        if (found := common[at] == shingles).any():
+            shingles = shingles[np.argsort(np.where(found, weight[at], 0), kind="stable")]
+    return shingles[: n - needed(n, share) + 1]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles is odd, for each of so many ranges of the hash's low bits, in words of 64. Where two
+    texts differ in a bit they differ in a shingle. Half the words, put on the others by exclusive or, are those of half
+    as many ranges."""
+    least, most = PARITY_WORDS
+    words = min(most, max(least, 1 << max(0, 2 * len(shingles) - 1).bit_length() >> 6))
+    odd = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def may_be_alike(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: list[bytes], share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one key and different roots that can be alike by their sizes and parities, none being lost.
+    Rows are in the order of key and size, so the second of a pair has no fewer words of parities than the first."""
+    width = np.array([len(x) // 8 for x in parity])
+    place = np.zeros(len(key), dtype=np.int64)
+    words: dict[tuple[int, int], np.ndarray] = {}  # those of one width, put together to another
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        place[mine] = np.arange(len(mine))
+        x = words[w, w] = np.frombuffer(b"".join(parity[k] for k in mine.tolist()), dtype="<u8").reshape(-1, w)
+        for less in (w >> k for k in range(1, w.bit_length())):
+            x = words[w, less] = x[:, :less] ^ x[:, less:]
+    num, den = share.numerator, share.denominator
+    index = np.arange(len(key))
+    d = 1
+    while len(index := index[index < len(key) - d]):
+        # Rows further on in a group are greater, so a row that one is too large for is done.
+        index = index[(key[index] == key[index + d]) & (num * size[index + d] <= den * size[index])]
+        one = index[root[index] != root[index + d]]
+        both = size[one] + size[one + d]
+        apart = both - 2 * needed(both, Fraction(num, num + den))
+        for w, v in np.unique(np.stack([width[one], width[one + d]], axis=1), axis=0).tolist():
+            at = np.flatnonzero((width[one] == w) & (width[one + d] == v))
+            for part in np.array_split(at, 1 + len(at) * w // COMPARED):
+                a, b = one[part], one[part] + d
+                near = np.bitwise_count(words[w, w][place[a]] ^ words[v, w][place[b]]).sum(axis=1, dtype=np.int64) <= apart[part]
+                yield a[near], b[near]
+        d += 1
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], share: Fraction) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that may be alike from rows (key, node, root, size, parity) sorted by key and size."""
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        made = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
+    def paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, node, root, size = (rows.column(c).to_numpy() for c in ("key", "node", "root", "size"))
+        found, n = [], 0
+        for i, j in may_be_alike(key, root, size, rows.column("parity").to_pylist(), share):
+            found.append(np.sort(np.stack([node[i], node[j]], axis=1), axis=1))
+            if (n := n + len(i)) > PAIRS:
+                yield out(found)
+                found, n = [], 0
+        if n:
+            yield out(found)
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < 16384:
+            continue
+        rows = pa.Table.from_batches(held)
+        key = rows.column("key").to_numpy()
+        if cut := int(np.searchsorted(key, key[-1])):  # the last group may go on in the next batch
+            yield from paired(rows.slice(0, cut))
+        held, n = rows.slice(cut).to_batches(), len(key) - cut
+    if n:
+        yield from paired(pa.Table.from_batches(held))
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of some ORDER_ROWS of texts (node, text) have, ascending, and in how many they are."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, width)) for t in b.column(0).to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    some = texts.where(F.pmod("node", F.lit(max(1, texts.count() // ORDER_ROWS))) == 0).dropDuplicates(["node"]).select("text")
+    found = some.mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    kept = found.orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).toPandas()
+    shingles, n = kept["shingle"].to_numpy(dtype=np.int64).view(np.uint64), kept["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def missed_pairs(classes: DataFrame, roots: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b): pairs of classes (node, size, leading, parity) of different roots that may be alike, none of those that
+    are being lost. Shingles that over CHUNK classes lead with are dealt as pairs of chunks."""
+    spread = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    keyed = classes.select("node", "leading").join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("leading").alias("key"))
+    # Only what texts of different components share goes on.
+    shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    shared = checkpointed(shared)
+    met = checkpointed(keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key"))
+    n = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node"), n).cast("int")
+    pairs = F.when(n <= 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(own, j).cast("long") * n + F.greatest(own, j))
+    )
+    dealt = met.select("node", "root", "key", F.explode(pairs).alias("pair")).select("node", "root", F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"))
+    rows = dealt.join(classes.select("node", "size", "parity"), "node")
+    spread = max(1, min(spread, met.count() // TASK_ROWS[0]), met.count() // TASK_ROWS[1])
+    return rows.select("key", "node", "root", "size", "parity").repartition(spread, "key").sortWithinPartitions("key", "size").mapInArrow(lambda it: _pairs(it, share), "a long, b long")
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, text_hash, component_id, component_hash), a row for each row: texts are linked whose sets of word shingles
     have at least `similarity` of their union in common. The component's id is the smallest that links reach, its hash
     the smallest of that id's texts in the component. Rows without an id are left out."""
     small_batches(docs.sparkSession)
+    share = Fraction(str(similarity))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    common, weight = common_shingles(rows.select("node", "text"), width)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(t, width) for t in b.column(2).to_pylist()]
-            fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "node", "fp", "bands"])
+            distinct = [np.unique(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(1), pa.array(np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)),
+                    pa.array([bands(h) for h in hashes], pa.list_(pa.int64())), pa.array([len(h) for h in distinct], pa.int64()),
+                    pa.array([leading(h, share, common, weight).view(np.int64) for h in distinct], pa.list_(pa.int64())),
+                    pa.array([parities(h).tobytes() for h in distinct], pa.binary()),
+                ],
+                names=["id", "node", "fp", "bands", "size", "leading", "parity"],
+            )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
+    def alike(near: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are alike, by their shingles."""
+        asked = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first"), "node").select("node", F.col("first").alias("id")))
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+        own = rows.join(asked, ["id", "node"], "left_semi").select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+        own = checkpointed(own.dropDuplicates(["node"]))
+        of = lambda name: own.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+        shared, both = F.size(F.array_intersect("of_a", "of_b")).cast("long"), F.size("of_a") + F.size("of_b")
+        enough = shared * share.denominator >= (both - shared) * share.numerator
+        return checkpointed(near.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b"))
+
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     # A class is a distinct text; what is drawn of it is the same for all its rows, so texts need not be dealt anew.
-    drawn = rows.mapInArrow(sketches, f"id {kind}, node long, fp long, bands array<long>")
-    classes = checkpointed(drawn.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    drawn = rows.mapInArrow(sketches, f"id {kind}, node long, fp long, bands array<long>, size long, leading array<long>, parity binary")
+    classes = checkpointed(drawn.groupBy("node").agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "leading", "parity"))))
     keyed = classes.select("node", "fp", F.posexplode("bands").alias("t", "v"))
     # Only what shares a bucket with another goes on.
     shared = checkpointed(keyed.groupBy("t", "v").count().where("count > 1").select("t", "v"))
     met = checkpointed(keyed.join(shared, ["t", "v"]))
-    near = checkpointed(bucket_links(met, WIDE, met.count()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first"), "node").select("node", F.col("first").alias("id")))
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    own = rows.join(asked, ["id", "node"], "left_semi").select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
-    own = checkpointed(own.dropDuplicates(["node"]))
-    of = lambda name: own.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
-    common, both = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    edges = near.join(of("a"), "a").join(of("b"), "b").where((both == 0) | (common >= similarity * (both - common))).select("a", "b")
+    edges = alike(checkpointed(bucket_links(met, WIDE, met.count()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    missed = checkpointed(missed_pairs(classes, checkpointed(components(edges)), share).distinct())
+    if not missed.isEmpty():
+        edges = edges.unionAll(alike(missed))
     roots = checkpointed(components(edges)).withColumnRenamed("node", "own")
     joined = checkpointed(classes.select("node", "first").join(roots, classes["node"] == roots["own"], "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = checkpointed(joined.groupBy("root").agg(F.min(F.struct("first", "node")).alias("least")))

@@ -1,10 +1,11 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import xxhash
 
 from leafmill.llm.components import components
-from leafmill.llm.simhash import Counters, fingerprint, links_large, links_small, near_duplicates, similar_texts, spanning
+from leafmill.llm.simhash import Counters, fingerprint, leading, links_large, links_small, may_be_alike, near_duplicates, needed, parities, similar_texts, spanning
 
 
 def plain(text):
@@ -115,3 +116,56 @@ def test_similar_texts_against_brute_force(spark, odd, nothing):
     assert similar_texts(nothing).count() == 0
     many = spark.createDataFrame([(k, f"one two three four five six seven eight nine ten and so on up to the end of it {' '.join(f'x{j}' for j in range(60))} n{k}") for k in range(400)], "doc_id long, text string")
     assert {x["component_id"] for x in similar_texts(many).collect()} == {0}
+
+
+def test_short_texts_that_are_just_alike(spark):
+    """Four of five shingles are 0.8, though fingerprints of so few differ in more bits than any radius takes."""
+    docs = []
+    for k in range(400):
+        w = [f"w{k}x{j}" for j in range(9)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:8]))]
+    got = {x["doc_id"]: x["component_id"] for x in similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+def test_links_of_large_groups_are_whole(spark, monkeypatch):
+    """Groups where many texts are just below 0.8, all with common passages; small chunks, and a shuffle for broadcasts."""
+    r = random.Random(12)
+    bases = [[f"v{r.randint(0, 9999)}" for _ in range(n)] for n in (40, 40, 90, 300)]
+    passage = [f"p{j}" for j in range(30)]
+    docs = []
+    for k in range(360):
+        w = list(bases[k % 4])
+        for _ in range(r.randint(0, 1 + len(w) // 30)):
+            w[r.randrange(len(w))] = f"z{r.randint(0, 30)}"
+        docs.append((k, " ".join(w + passage * (k % 3 == 0))))
+    pairs = [(a, b) for a, t in docs for b, u in docs if a < b and jaccard(t, u) >= 0.8]
+    want = classes(pairs, [k for k, _ in docs])
+    assert 4 < len(set(want.values())) < 300
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in similar_texts(table).collect()} == want
+    # Without the first pass's help the second alone gives the same.
+    monkeypatch.setattr("leafmill.llm.simhash.bucket_links", lambda keyed, radius, rows: keyed.selectExpr("node as a", "node as b").where("false"))
+    monkeypatch.setattr("leafmill.llm.simhash.CHUNK", 7)
+    monkeypatch.setattr("leafmill.llm.simhash.BROADCAST_ROWS", 5)
+    assert {x["doc_id"]: x["component_id"] for x in similar_texts(table).collect()} == want
+
+
+def test_second_pass_loses_no_pair():
+    rng = np.random.default_rng(3)
+    for share in (Fraction(4, 5), Fraction(3, 10), Fraction(1)):
+        sets = []
+        for n in (0, 1, 2, 5, 9, 60, 130, 700):
+            base = rng.integers(0, 2**64, n, dtype=np.uint64)
+            for _ in range(12):
+                sets.append(np.unique(np.r_[base[rng.random(n) < rng.choice([1, 0.95, 0.6])], rng.integers(0, 2**64, rng.integers(0, 1 + n // 8), dtype=np.uint64)]))
+        sets.sort(key=len)
+        alike = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(np.intersect1d(x, y)) * share.denominator >= share.numerator * len(np.union1d(x, y))}
+        weight = rng.integers(1, 9, 300)
+        common = np.unique(rng.choice(np.concatenate(sets), 300))
+        first = [set(leading(x, share, common, weight).tolist()) for x in sets]
+        assert len(alike) > 20 and all(first[i] & first[j] for i, j in alike)
+        size, root = np.array([len(x) for x in sets]), np.arange(len(sets)) % 90
+        got = [p for i, j in may_be_alike(np.zeros(len(sets)), root, size, [parities(x).tobytes() for x in sets], share) for p in zip(i.tolist(), j.tolist())]
+        assert {p for p in alike if root[p[0]] != root[p[1]]} <= set(got) and len(got) == len(set(got)) and all(root[i] != root[j] for i, j in got)
+    assert [needed(n, Fraction(4, 5)) for n in (0, 1, 4, 5, 6, 35)] == [0, 1, 4, 4, 5, 28]
