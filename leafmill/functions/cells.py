@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from leafmill.sources.numbers import format_number
+from leafmill.sources.numbers import Plain, format_number, plain_sections
 
 
 @F.pandas_udf(StringType())
@@ -18,6 +18,73 @@ def shown(value: pd.Series, code: pd.Series) -> pd.Series:
     return pd.Series([None if v != v or v is None else format_number(float(v), c or "General") for v, c in zip(value, code)])
 
 
+#: Places up to which plain_number() is exact, and the least number beyond it.
+PLACES, BEYOND = 7, 2.0**63
+
+
+def shown_as(value: Column, code: str) -> Column:
+    """Numbers as one workbook format code shows them, the same texts as shown() gives. Plain codes (digits, places, groups,
+    percent, literals) leave the JVM only for numbers beyond 2^63; other codes go through Python."""
+
+    @F.pandas_udf(StringType())
+    def other(values: pd.Series) -> pd.Series:
+        # Most often all are null: the JVM has shown them.
+        return values.astype(object).where(values.notna(), None) if not values.notna().any() else pd.Series([None if v != v else format_number(v, code) for v in values], dtype=object)
+
+    value = value.cast("double")
+    sections = plain_sections(code)
+    if sections is None or any(s.places > PLACES for s in sections):
+        return other(value)
+
+    def of_sign(each: list[Column]) -> Column:
+        out = each[0]
+        if len(each) > 2:
+            out = F.when(value == 0, each[2]).otherwise(out)
+        return F.when(value < 0, each[1]).otherwise(out) if len(each) > 1 else out
+
+    sizes = [_scaled(value, s) for s in sections]
+    fits = of_sign([n < BEYOND for n in sizes])
+    native = of_sign([plain_number(F.when(n < BEYOND, n), s) for n, s in zip(sizes, sections)])
+    native = F.concat(F.when(value < 0, "-").otherwise(""), native) if len(sections) == 1 else native
+    return F.coalesce(native, other(F.when(~fits, value)))
+
+
+def _scaled(value: Column, plain: Plain) -> Column:
+    out = F.abs(value)
+    out = out * F.lit(100.0**plain.percents) if plain.percents else out
+    return out / F.lit(1000.0**plain.scale) if plain.scale else out
+
+
+def plain_number(size: Column, plain: Plain) -> Column:
+    """A number from 0 to below 2^63 as a plain section shows it: exact, halves up after a nudge of 2^-52, as rounded() has it.
+
+    The fraction counts in units of 2^-52: whole ones (units), and a rest that only numbers below 1 have. With c twice the
+    power of ten of the places, the rounded places are floor(((units + 1 + rest) * c + 2^52) / 2^53). Products of the rest
+    with c are exact wherever they matter, as numbers below half the last place have none to show.
+    """
+    ten, c = 10**plain.places, 2 * 10**plain.places
+    whole = F.floor(size)
+    exact = (size - whole.cast("double")) * F.lit(2.0**52)
+    units = F.floor(exact)
+    rest = F.floor((exact - units.cast("double")) * F.lit(float(c))) + F.lit(1 << 52)
+    if plain.places <= 3:
+        part = F.shiftright((units + 1) * c + rest, 53)
+    else:  # in two halves, so that no product is beyond a long
+        high, low = F.shiftright(units + 1, 26) * c, (units + 1).bitwiseAND((1 << 26) - 1) * c
+        part = F.shiftright(high, 27) + F.shiftright(F.shiftleft(high.bitwiseAND((1 << 27) - 1), 26) + low + rest, 53)
+    digits = (whole + F.when(part >= ten, 1).otherwise(0)).cast("string")
+    if not plain.least:
+        digits = F.when(digits == "0", "").otherwise(digits)
+    elif plain.least > 1:
+        digits = F.when(F.length(digits) < plain.least, F.lpad(digits, plain.least, "0")).otherwise(digits)
+    if plain.grouped:
+        digits = F.regexp_replace(digits, r"(?<=\d)(?=(?:\d{3})+\z)", ",")
+    places = F.lpad((part % ten).cast("string"), plain.places, "0") if plain.places else F.lit("")
+    if plain.optional:
+        places = F.regexp_replace(places, f"0{{1,{plain.optional}}}\\z", "")
+    return F.concat(F.lit(""), *[digits if p is None else places if p is True else F.lit(p) for p in plain.pieces], F.when(size.isNotNull(), ""))
+
+
 def column_name(number: Column) -> Column:
     """Letters of a column from 1: A, Z, AA, ... XFD (three letters at most)."""
     n = number.cast("int")

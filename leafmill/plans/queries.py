@@ -264,7 +264,7 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices and discounts shown by workbook format codes."""
     names = ["fixed", "grouped", "percent", "padded", "money"]
     price, discount = F.round("l_extendedprice", 2), F.col("l_discount")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", price.alias("price"), *[C.shown(discount if n == "percent" else price, F.lit(c)).alias(n) for n, c in zip(names, PRICE_CODES)])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", price.alias("price"), *[C.shown_as(discount if n == "percent" else price, c).alias(n) for n, c in zip(names, PRICE_CODES)])
 
 
 @query(r"""SELECT event_id, '$.' || key AS path, CAST(json_extract_string(props, '$.' || key) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")

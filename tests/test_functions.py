@@ -42,6 +42,26 @@ def test_number_formats():
         assert format_number(value, code) == shown, (value, code)
 
 
+def test_number_formats_in_the_jvm(spark):
+    """Plain codes against format_number: halves, what lies next to them, tiny and huge numbers; few go through Python."""
+    import math
+    import random
+
+    r = random.Random(7)
+    numbers = [0.0, -0.0, 0.5, 1.5, 2.5, -0.001, 0.005, 1.005, 901.005, 999.995, 0.9999999, 999999.5, 5e-324, 2.0**-53, 2.0**52 + 0.5, 2.0**53, 2.0**63, -(2.0**63), 1e22, 1e27, 1e300, math.nan, None]
+    for _ in range(400):
+        x = r.choice([r.uniform(0, 1), r.uniform(0, 1e6), (2 * r.randrange(10**6) + 1) / (2 * 10 ** r.randrange(8)), r.randrange(10**9) / 100, math.ldexp(r.random(), r.randrange(-70, 70))])
+        numbers += [x, -x, math.nextafter(x, 0), math.nextafter(x, math.inf), x - 2.0**-52]
+    codes = ["0.00", "#,##0", "0%", "0000000.00", "$#,##0.00", "#.##", "0.0##", "#,##0.0000000", "0.00000", "0.0,", "#,,", "0.00%;(0.0);zero", '"a"0;', "[Red]0.000", "000,000", "0.", "0.0%%", "-", "0.000000000", "0.0E+00", "# ?/?", "0;(0.00);;@", "yyyy", "[>5]0.0;0", "\\x0.0_)", "??0.0", "General", "0 0.0 0"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(numbers)], "k int, x double")
+    for code in codes:
+        got = [x for _, x in sorted(df.select("k", C.shown_as(F.col("x"), code)).collect())]
+        want = [None if x is None or x != x else format_number(x, code) for x in numbers]
+        assert [(x, a, b) for x, a, b in zip(numbers, got, want) if a != b] == [], code
+    plain = df.select(C.plain_number(F.abs("x"), C.plain_sections("0.00")[0]))._jdf.queryExecution().toString()
+    assert "Python" not in plain
+
+
 def test_detection(spark):
     cases = [
         ('{"a": [1]}', "json"), ("[1, 2", "txt"), ('{"a":1}\n{"a":2}\n{"a"', "ndjson"), ("BEGIN:VCALENDAR\n", "ics"), ("WEBVTT\n\n", "vtt"), ("1\n00:00:01,000 --> 00:00:02,000\nx", "srt"), ("% c\n\\documentclass{a}", "latex"), ("From: a\nTo: b\n\nx", "eml"), ("From x\nFrom: a\nTo: b\n\nx", "mbox"),
