@@ -18,22 +18,36 @@ def cells_of(df: DataFrame, sheet: Column, row: Column, columns: list[str]) -> D
     return rows.select("sheet", "row", "c.col", "c.text", "c.raw_type", cell_address(F.col("row"), F.col("c.col")).alias("address"))
 
 
-def sheet_regions(cells: DataFrame, dense: int = 10_000, factor: int = 4) -> DataFrame:
+#: Bytes, by Spark's own estimate, of the cells that one task is dealt; and the most that counts as an estimate.
+TASK_BYTES, TOLD_BYTES = 1 << 20, 1 << 50
+
+
+def by_sheet(cells: DataFrame) -> DataFrame:
+    """Cells dealt by their sheet, to more tasks the more of them there are, so no task's share grows with the input."""
+    size = int(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(max(least, size // TASK_BYTES) if size < TOLD_BYTES else least, "sheet")
+
+
+def sheet_regions(cells: DataFrame, dense: int = 10_000, factor: int = 4, repeated: bool = False) -> DataFrame:
     """(sheet, region, first_row, last_row, first_col, last_col, n_cells): a sheet's one bounding box if its area is at most
-    max(dense, factor * cells); else bands of adjacent rows, parted again into groups of adjacent columns."""
-    box = cells.groupBy("sheet").agg(F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"), F.count(F.lit(1)).alias("n"))
+    max(dense, factor * cells); else bands of adjacent rows, parted again into groups of adjacent columns. repeated: cells
+    may occur more than once, and count once.
+
+    Cells are read and dealt once. A sheet's cells are sorted in one task, and spilled where they are many.
+    """
+    own = by_sheet(cells.select("sheet", "row", "col"))
+    own = own.distinct() if repeated else own
+    sheet = Window.partitionBy("sheet")
+    box = own.sortWithinPartitions("sheet", "row").select("*", *[f(c).over(sheet).alias(n) for n, f, c in (("r1", F.min, "row"), ("r2", F.max, "row"), ("c1", F.min, "col"), ("c2", F.max, "col"))], F.count(F.lit(1)).over(sheet).alias("n"))
     area = (F.col("r2") - F.col("r1") + 1) * (F.col("c2") - F.col("c1") + 1)
-    box = box.withColumn("whole", area <= F.greatest(F.lit(dense).cast("long"), factor * F.col("n")))
-    one = box.where("whole").select("sheet", F.col("r1").alias("first_row"), F.col("r2").alias("last_row"), F.col("c1").alias("first_col"), F.col("c2").alias("last_col"), F.col("n").alias("n_cells"))
-    # Bands: the distinct rows of a sheet are few beside its cells; a gap between two starts a band.
-    sparse = cells.join(box.where(~F.col("whole")).select("sheet"), "sheet", "left_semi")
-    rows = sparse.select("sheet", "row").distinct().withColumn("band", F.col("row") - F.row_number().over(Window.partitionBy("sheet").orderBy("row")))
-    banded = sparse.join(rows, ["sheet", "row"])
-    cols = banded.select("sheet", "band", "col").distinct().withColumn("part", F.col("col") - F.row_number().over(Window.partitionBy("sheet", "band").orderBy("col")))
-    parts = banded.join(cols, ["sheet", "band", "col"]).groupBy("sheet", "band", "part").agg(
+    told = box.withColumn("whole", area <= F.greatest(F.lit(dense).cast("long"), factor * F.col("n"))).drop("r1", "r2", "c1", "c2", "n")
+    told = told.where("whole or (not whole and sheet is not null and row is not null and col is not null)")
+    # A gap between two of a sheet's rows starts a band, and one between two of a band's columns a part.
+    gap = lambda c, w: F.when(~F.col("whole"), F.col(c) - F.dense_rank().over(w.orderBy(c)))
+    parts = told.withColumn("band", gap("row", sheet)).withColumn("part", gap("col", Window.partitionBy("sheet", "band"))).groupBy("sheet", "band", "part").agg(
         F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.count(F.lit(1)).alias("n_cells")).drop("band", "part")
-    order = Window.partitionBy("sheet").orderBy("first_row", "first_col")
-    return one.unionByName(parts).withColumn("region", F.row_number().over(order).cast("long"))
+    return parts.withColumn("region", F.row_number().over(sheet.orderBy("first_row", "first_col")).cast("long"))
 
 
 def region_rows(cells: DataFrame, regions: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY first_row, first_col) A
 def sparse_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's line items as a sheet: orders are rows, parts are columns."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
-    return S.sheet_regions(rows.distinct())
+    return S.sheet_regions(rows, repeated=True)
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_turns FROM conversations GROUP BY conv_id")

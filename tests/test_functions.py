@@ -84,6 +84,43 @@ def test_tables(spark):
     assert S.region_rows(cells, S.sheet_regions(cells).where("sheet = 1")).count() == 4
 
 
+def test_regions_are_dealt_by_size(spark, monkeypatch):
+    """Regions against a walk over cells; cells are dealt once, and to more tasks where there are more of them."""
+    import random
+
+    r = random.Random(5)
+    cells = [(s, r.randrange(60) * (s + 1), r.randrange(40) * (s + 1)) for s in range(4) for _ in range(250)]
+    cells += [(9, None, 3), (9, 1, None), (9, 200000, 7), (9, 1, 8), (9, 2, 8), (None, 1, 1)]
+    df = spark.createDataFrame(cells, "sheet long, row long, col long")
+    want = {(None, 1): (1, 1, 1, 1, 1), (9, 1): (1, 2, 8, 8, 2), (9, 2): (200000, 200000, 7, 7, 1)}
+    for s in range(4):
+        own = {c[1:] for c in cells if c[0] == s}
+        parts = []
+        for band in _runs(sorted({a for a, _ in own})):
+            for part in _runs(sorted({b for a, b in own if a in band})):
+                inside = [(a, b) for a, b in own if a in band and b in part]
+                parts.append((min(a for a, _ in inside), max(a for a, _ in inside), part[0], part[-1], len(inside)))
+        want |= {(s, k + 1): p for k, p in enumerate(sorted(parts, key=lambda p: (p[0], p[2])))}
+    found = S.sheet_regions(df, dense=1, factor=0, repeated=True).where("sheet < 9").collect() + S.sheet_regions(df, dense=100, factor=0, repeated=True).where("sheet = 9 or sheet is null").collect()
+    assert {(x["sheet"], x["region"]): (x["first_row"], x["last_row"], x["first_col"], x["last_col"], x["n_cells"]) for x in found} == want
+    assert len(found) == len(want)
+    stored = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
+    assert "Join" not in S.sheet_regions(stored, repeated=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert S.by_sheet(stored).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(S, "TASK_BYTES", 1000)
+    assert S.by_sheet(stored).rdd.getNumPartitions() > 10
+
+
+def _runs(numbers):
+    out = []
+    for n in numbers:
+        if out and n == out[-1][-1] + 1:
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return out
+
+
 def test_leaves(spark):
     docs = spark.createDataFrame([(1, '{"a": {"b c": [1, null, "x"], "e": {}}, "t": true}'), (2, "nonsense"), (3, "[]"), (4, "5")], "id int, j string")
     got = sorted((r["id"], r["path"], r["value"]) for r in json_leaves(docs, "id", "j").collect())
