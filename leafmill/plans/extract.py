@@ -25,7 +25,7 @@ from leafmill.sources import archives, delimited, detection, html, images, latex
 
 CONTRACT = (1, 0)
 #: Bytes of files whose rows a task gathers before it hands them on.
-HELD_BYTES = 8_000_000
+HELD_BYTES = 2_000_000
 Reader = Callable[[bytes, Options], Result]
 
 
@@ -199,7 +199,7 @@ def extract(files: DataFrame, id_col: str = "doc_id", content_col: str = "conten
                 for row in tree(r.doc_id, r.name or "", bytes(r.content or b""), options, registry):
                     held.append(row)
                     size += row["size"]
-                    if len(held) >= 256 or size >= HELD_BYTES:
+                    if len(held) >= 64 or size >= HELD_BYTES:
                         yield pd.DataFrame(held, columns=fields)
                         held, size = [], 0
         if held:

@@ -121,6 +121,20 @@ def _runs(numbers):
     return out
 
 
+def test_chunks_are_handed_on_early():
+    """However many texts a worker is handed at once, it holds few of their chunks; those are the same ones in order."""
+    import pyarrow as pa
+
+    from leafmill.operators import chunks as K
+
+    docs = [[{"kind": "paragraph", "text": f"Text {k} says so. " * 5000}, {"kind": "paragraph", "text": "End."}] for k in range(40)] + [None, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["id", "blocks"])
+    made = list(K.packed(iter([batch, batch]), "size", 2000, 200, 0, K.units))
+    assert max(sum(map(len, b.column(2).to_pylist())) for b in made) <= K.HELD_UNITS + 2000
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    assert rows == 2 * [(k, *c.values()) for k, d in enumerate(docs) for c in K.chunk(K.tree_of(d or []), "size", 2000, 200, 0)]
+
+
 def test_leaves(spark):
     docs = spark.createDataFrame([(1, '{"a": {"b c": [1, null, "x"], "e": {}}, "t": true}'), (2, "nonsense"), (3, "[]"), (4, "5")], "id int, j string")
     got = sorted((r["id"], r["path"], r["value"]) for r in json_leaves(docs, "id", "j").collect())
